@@ -26,13 +26,13 @@ def knn_exact(spark, sf):
 @query("knn_cut_after", f"""WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY d, vec_id) AS rank FROM pairs)
     SELECT probe_id, CAST(rank AS BIGINT) AS rank, vec_id, round(d, 6) + 0.0 AS distance, round((1 - round(d, 12)) * 100, 2) AS confidence_pct FROM r WHERE rank <= 3 AND d <= 0.8""", ("gallery", "probes"))
 def knn_cut_after(spark, sf):
-    hits = search.knn_join(view(spark, sf, "probes"), view(spark, sf, "gallery"), k=3, threshold=0.8, cut="after", cells=8, carry=())
+    hits = search.knn_join(view(spark, sf, "probes"), view(spark, sf, "gallery"), k=3, threshold=0.8, cut="after", cells=8, block_rows=100, carry=())
     return hits.select("probe_id", F.col("rank").cast("long").alias("rank"), "vec_id", rounded("distance", 6).alias("distance"), V.confidence_pct(F.col("distance")).alias("confidence_pct"))
 
 
 @query("knn_ivf")
 def knn_ivf(spark, sf):
-    hits = search.knn_join(view(spark, sf, "probes"), view(spark, sf, "gallery"), k=5, threshold=0.85, method="ivf", cells=16, nprobe=8)
+    hits = search.knn_join(view(spark, sf, "probes"), view(spark, sf, "gallery"), k=5, threshold=0.85, method="ivf", cells=16, nprobe=8, block_rows=64)
     return hits.select("probe_id", "rank", "vec_id", "person_id", rounded("distance", 6).alias("distance"))
 
 

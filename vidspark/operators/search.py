@@ -34,6 +34,8 @@ def choose_pivots(gallery: DataFrame, *, id: str, n: int) -> np.ndarray:
     """`n` (at most MAX_CELLS) gallery vectors in hash order: a bounded, repeatable choice that only
     steers routing, never the result."""
     n = max(1, min(n, MAX_CELLS))
+    if n == 1:
+        return np.zeros((0, 0))
     rows = gallery.orderBy(F.xxhash64(id), id).limit(n).select("embedding").collect()
     if not rows:
         return np.zeros((0, 0))
@@ -50,16 +52,14 @@ def kmeans_centroids(gallery: DataFrame, *, k: int, seed: int = 7, max_iter: int
     return _units(pd.Series(model.clusterCenters()))
 
 
-def default_cells(gallery: DataFrame) -> int:
-    """About sqrt(n) cells, bounded; one metadata-only count on parquet."""
-    return int(max(1, min(MAX_CELLS, round(gallery.count() ** 0.5 / 4))))
+def default_cells(n: int, block_rows: int) -> int:
+    """About sqrt(n) cells, bounded; a single cell while everything fits in a few blocks."""
+    return 1 if n <= 4 * block_rows else int(min(MAX_CELLS, round(n**0.5)))
 
 
 def _pivot_distances(pivots: np.ndarray) -> Callable[[Column], Column]:
     @F.pandas_udf("array<double>")
     def distances(v: pd.Series) -> pd.Series:
-        if not pivots.size:
-            return pd.Series([[]] * len(v))
         u = _units(v)
         sq = (u**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :] - 2.0 * u @ pivots.T
         return pd.Series(list(np.sqrt(np.maximum(sq, 0.0))))
@@ -67,22 +67,34 @@ def _pivot_distances(pivots: np.ndarray) -> Callable[[Column], Column]:
     return distances
 
 
-def _assign(gallery: DataFrame, pivots: np.ndarray) -> DataFrame:
-    d = _pivot_distances(pivots)(F.col("embedding"))
-    nearest = F.array_min("_pd")
+def _assign(gallery: DataFrame, pivots: np.ndarray, parts: Sequence[str], block_rows: int) -> DataFrame:
+    """Add _cell and _radius. Parts that fit in one block are not cut (cell -1, radius unbounded)."""
+    sizes = gallery.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n"))
+    sized = gallery.join(sizes, list(parts))
+    if len(pivots) < 2:
+        return sized.withColumn("_cell", F.lit(-1)).withColumn("_radius", F.lit(float("inf"))).drop("_n")
+    small = F.col("_n") <= block_rows
     return (
-        gallery.withColumn("_pd", d)
-        .withColumn("_radius", nearest)
-        .withColumn("_cell", (F.array_position("_pd", F.col("_radius")) - 1).cast("int"))
-        .drop("_pd")
+        sized.withColumn("_pd", _pivot_distances(pivots)(F.col("embedding")))
+        .withColumn("_radius", F.array_min("_pd"))
+        .withColumn("_cell", F.when(small, -1).otherwise(F.array_position("_pd", F.col("_radius")).cast("int") - 1))
+        .withColumn("_radius", F.when(small, float("inf")).otherwise(F.col("_radius")))
+        .drop("_pd", "_n")
     )
 
 
 def _route(probes: DataFrame, cells: DataFrame, pivots: np.ndarray, parts: Sequence[str], *, reach: float | None, nprobe: int | None) -> DataFrame:
     """One row per (probe, cell to visit). `cells` holds at most MAX_CELLS entries per part."""
+    if len(pivots) < 2:
+        return probes.withColumn("_cell", F.lit(-1))
     listed = cells.groupBy(*parts).agg(F.collect_list(F.struct("_cell", "_r")).alias("_cells"))
     near = probes.withColumn("_pd", _pivot_distances(pivots)(F.col("embedding"))).join(listed, list(parts))
-    dist = F.transform("_cells", lambda c: F.struct(F.get(F.col("_pd"), c["_cell"]).alias("d"), c["_r"].alias("r"), c["_cell"].alias("cell")))
+
+    def seen(c: Column) -> Column:
+        d = F.when(c["_cell"] >= 0, F.get(F.col("_pd"), c["_cell"])).otherwise(F.lit(0.0))
+        return F.struct(d.alias("d"), c["_r"].alias("r"), c["_cell"].alias("cell"))
+
+    dist = F.transform("_cells", seen)
     if nprobe is not None:
         visit = F.slice(F.array_sort(dist), 1, nprobe)
     else:
@@ -92,36 +104,50 @@ def _route(probes: DataFrame, cells: DataFrame, pivots: np.ndarray, parts: Seque
 
 def _block_join(
     probes: DataFrame, gallery: DataFrame, *, parts: Sequence[str], probe_id: str, gallery_id: str,
-    pivots: np.ndarray, reach: float | None, nprobe: int | None, block_rows: int,
+    pivots: np.ndarray, n_rows: int, reach: float | None, nprobe: int | None, block_rows: int,
     kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
 ) -> DataFrame:
+    """Blocks of both sides, co-grouped. Small parts are packed together into units of about one
+    block, so that millions of little groups do not mean millions of little Python calls."""
     keys = [*parts, "_cell"]
+    packs = max(1, -(-4 * n_rows // block_rows))
+    unit = F.when(F.col("_cell") < 0, F.pmod(F.xxhash64(*parts), F.lit(packs))).otherwise(F.xxhash64(*keys))
     # fresh column identities, so that a table can be joined with itself
     gallery = gallery.select(*[F.col(c).alias(c) for c in gallery.columns])
-    placed = _assign(gallery, pivots)
+    placed = _assign(gallery, pivots, parts, block_rows)
     cells = placed.groupBy(*keys).agg(F.max("_radius").alias("_r"), F.count(F.lit(1)).alias("_g"))
-    routed = _route(probes, cells, pivots, parts, reach=reach, nprobe=nprobe)
-    load = routed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_p"))
+    routed = _route(probes, cells, pivots, parts, reach=reach, nprobe=nprobe).withColumn("_unit", unit)
+    load = routed.groupBy("_unit").agg(F.count(F.lit(1)).alias("_p"))
+    held = cells.withColumn("_unit", unit).groupBy("_unit").agg(F.sum("_g").alias("_g"))
 
     def splits(n: str) -> Column:
         return F.ceil(F.col(n) / F.lit(block_rows)).cast("int")
 
-    plan = cells.join(load, keys).select(*keys, splits("_g").alias("_gs"), splits("_p").alias("_ps"))
+    plan = held.join(load, "_unit").select("_unit", splits("_g").alias("_gs"), splits("_p").alias("_ps"))
     g = (
-        placed.drop("_radius").join(plan, keys)
+        placed.drop("_radius").withColumn("_unit", unit).join(plan, "_unit")
         .withColumn("_gb", F.pmod(F.xxhash64(gallery_id), "_gs").cast("int"))
         .withColumn("_pb", F.explode(F.sequence(F.lit(0), F.col("_ps") - 1)))
         .drop("_gs", "_ps")
     )
     p = (
-        routed.join(plan, keys)
+        routed.join(plan, "_unit")
         .withColumn("_pb", F.pmod(F.xxhash64(probe_id), "_ps").cast("int"))
         .withColumn("_gb", F.explode(F.sequence(F.lit(0), F.col("_gs") - 1)))
         .drop("_gs", "_ps")
     )
-    block = [*keys, "_gb", "_pb"]
-    p, g = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (p, g))
-    return p.groupBy(*block).cogroup(g.groupBy(*block)).applyInPandas(kernel, schema)
+    block = ["_unit", "_gb", "_pb"]
+    spark = probes.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # a stated number of partitions: little bytes, much arithmetic, so tasks must not be coalesced by size
+    p, g = (x.select(*[F.col(c).alias(c) for c in x.columns]).repartition(tasks, *block) for x in (p, g))
+
+    def per_part(pb: pd.DataFrame, gb: pd.DataFrame) -> pd.DataFrame:
+        galleries = dict(list(gb.groupby(keys, sort=False)))
+        out = [kernel(rows, galleries[key]) for key, rows in pb.groupby(keys, sort=False) if key in galleries]
+        return pd.concat(out) if out else kernel(pb.iloc[:0], gb.iloc[:0])
+
+    return p.groupBy(*block).cogroup(g.groupBy(*block)).applyInPandas(per_part, schema)
 
 
 def _chunks(p: pd.DataFrame, g: pd.DataFrame, rows: int = 512):
@@ -154,7 +180,8 @@ def knn_join(
     """
     threshold = threshold or 0.40
     parts = [part] if isinstance(part, str) else list(part)
-    n_cells = cells or default_cells(gallery)
+    n_rows = gallery.count()
+    n_cells = cells or default_cells(n_rows, block_rows)
     if pivots is None:
         pivots = kmeans_centroids(gallery, k=n_cells) if method == "ivf" else choose_pivots(gallery, id=gallery_id, n=n_cells)
     p = probes.select(probe_id, *parts, "embedding").filter(F.size("embedding") > 0)
@@ -183,7 +210,7 @@ def knn_join(
 
     schema = ", ".join([_field(p, probe_id), *[_field(g, c) for c in kept], "distance double"])
     local = _block_join(
-        p, g, parts=parts, probe_id=probe_id, gallery_id=gallery_id, pivots=pivots,
+        p, g, parts=parts, probe_id=probe_id, gallery_id=gallery_id, pivots=pivots, n_rows=n_rows,
         reach=_reach(threshold) if method == "exact" else None, nprobe=nprobe if method == "ivf" else None,
         block_rows=block_rows, kernel=nearest, schema=schema,
     )
@@ -197,7 +224,9 @@ def neighbour_stats(
     """Pairwise distances inside a group, reduced per row: how many rows (itself included) are closer
     than `threshold`, and the smallest and mean distance of those other rows. Pairs are never emitted."""
     v = vectors.select(id, group, "embedding").filter(F.size("embedding") > 0)
-    pivots = choose_pivots(v, id=id, n=cells or default_cells(v)) if pivots is None else pivots
+    n_rows = v.count()
+    if pivots is None:
+        pivots = choose_pivots(v, id=id, n=cells or default_cells(n_rows, block_rows))
 
     def reduce(pb: pd.DataFrame, gb: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -215,7 +244,7 @@ def neighbour_stats(
 
     schema = f"{_field(v, group)}, {_field(v, id)}, n long, m long, s double, lo double"
     partial = _block_join(
-        v, v, parts=[group], probe_id=id, gallery_id=id, pivots=pivots, reach=_reach(threshold), nprobe=None,
+        v, v, parts=[group], probe_id=id, gallery_id=id, pivots=pivots, n_rows=n_rows, reach=_reach(threshold), nprobe=None,
         block_rows=block_rows, kernel=reduce, schema=schema,
     )
     return partial.groupBy(group, id).agg(
@@ -256,7 +285,6 @@ def validate_against(
     reference are kept and not accepted."""
     c = candidates.select(id, on, "embedding")
     r = references.select(ref_index, on, "embedding")
-    pivots = choose_pivots(r, id=ref_index, n=1)
 
     def best(pb: pd.DataFrame, gb: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -273,7 +301,7 @@ def validate_against(
         return pd.concat(out) if out else pd.DataFrame(columns=[id, "d", "ref", "first", "hit"])
 
     part = _block_join(
-        c, r, parts=[on], probe_id=id, gallery_id=ref_index, pivots=pivots, reach=2.0, nprobe=None,
+        c, r, parts=[on], probe_id=id, gallery_id=ref_index, pivots=np.zeros((0, 0)), n_rows=r.count(), reach=None, nprobe=None,
         block_rows=block_rows, kernel=best, schema=f"{_field(c, id)}, d double, ref long, first long, hit boolean",
     )
     merged = part.groupBy(id).agg(
