@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("vectors",)
+AREAS = ("vectors", "matching", "gates", "frames", "tracks")
 
 
 def load():

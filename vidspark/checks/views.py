@@ -50,7 +50,7 @@ VIEWS = {
     "frames": f"""
         SELECT user_id AS video_id, event_id, [HOURS] AS frame_number, CAST([HOURS] AS DOUBLE) / 25.0 AS frame_time,
                value > 5 AS recognized, event_type AS person,
-               CASE WHEN user_id % 7 = 0 THEN least(value, 100.0) ELSE 60.0 + least(value, 400.0) / 10.0 END AS confidence,
+               CASE WHEN user_id % 7 = 0 THEN least(value, 100.0) * 0.9973 ELSE 60.0 + least(value, 400.0) / 10.7 END AS confidence,
                CAST(event_id % 3 + 1 AS BIGINT) AS occurrences,
                CAST(event_id * 37 % 600 AS DOUBLE) AS blur, CAST(event_id * 11 % 70 AS DOUBLE) AS contrast,
                CAST(event_id * 17 % 256 AS DOUBLE) AS brightness, CAST(event_id * 5 % 60 AS DOUBLE) AS edges
@@ -64,7 +64,7 @@ VIEWS = {
     "track_votes": f"""
         SELECT user_id AS video_id, CAST(floor([HOURS] / 48) * 5 AS BIGINT) + {EVENT_INDEX} AS track_id, event_id AS det_id, [HOURS] AS frame_number,
                CASE WHEN event_id % 4 = 3 THEN NULL WHEN event_id % 3 = 0 THEN 'ana' WHEN event_id % 11 = 1 THEN 'ivo' ELSE concat('p', CAST(user_id % 4 AS STRING)) END AS person,
-               60.0 + least(value, 400.0) / 10.0 AS confidence
+               60.0 + least(value, 400.0) / 10.7 AS confidence
         FROM events""",
     "runs_a": """
         SELECT o_orderkey AS image_id, [OSEC] AS ts,
