@@ -70,16 +70,16 @@ VIEWS = {
         SELECT o_orderkey AS image_id, [OSEC] AS ts,
                CASE o_orderstatus WHEN 'P' THEN 'no_match' ELSE 'success' END AS status,
                concat('p', CAST(o_custkey % 7 AS STRING)) AS person,
-               CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE round(40.0 + CAST(floor(o_totalprice) AS BIGINT) % 6000 / 100.0, 2) END AS confidence,
-               round(0.5 + CAST(floor(o_totalprice) AS BIGINT) % 4000 / 1000.0, 3) AS seconds,
+               CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE round(40e0 + CAST(floor(o_totalprice) AS BIGINT) % 6000 / 100e0, 2) END AS confidence,
+               round(5e-1 + CAST(floor(o_totalprice) AS BIGINT) % 4000 / 1000e0, 3) AS seconds,
                CASE WHEN o_orderkey % 3 = 0 THEN concat('p', CAST(o_custkey % 5 AS STRING)) END AS ground_truth
         FROM orders""",
     "runs_b": """
         SELECT o_orderkey AS image_id, [OSEC] AS ts,
                CASE WHEN o_orderkey % 4 = 1 THEN 'error' ELSE 'success' END AS status,
                concat('p', CAST(CASE WHEN o_orderkey % 5 = 0 THEN o_custkey % 3 ELSE o_custkey % 7 END AS STRING)) AS person,
-               round(45.0 + CAST(floor(o_totalprice) AS BIGINT) % 5500 / 100.0, 2) AS confidence,
-               CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE round(0.5 + CAST(floor(o_totalprice) AS BIGINT) % 3000 / 1000.0, 3) END AS seconds
+               round(45e0 + CAST(floor(o_totalprice) AS BIGINT) % 5500 / 100e0, 2) AS confidence,
+               CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE round(5e-1 + CAST(floor(o_totalprice) AS BIGINT) % 3000 / 1000e0, 3) END AS seconds
         FROM orders""",
     "catalog_files": """
         SELECT doc_id AS file_id, lang AS domain, CASE WHEN doc_id % 2 = 0 THEN 'local' ELSE 'remote' END AS storage, n_chars AS bytes,

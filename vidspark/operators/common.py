@@ -95,3 +95,11 @@ def rounded(c: Column | str, places: int) -> Column:
 def pct(part: Column, whole: Column, places: int = 2) -> Column:
     """Share in percent; null where the whole is 0."""
     return F.when(whole != 0, F.round(part / whole * 100, places))
+
+
+def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The values of the row before, per key, as prev_*. Numbered rows joined to their predecessor,
+    so that a hot key is spread over tasks."""
+    ranked = numbered(df, keys, order, name="_rn")
+    before = ranked.select(*keys, (F.col("_rn") + 1).alias("_rn"), *[F.col(c).alias(f"prev_{c}") for c in columns])
+    return ranked.join(before, [*keys, "_rn"], "left").drop("_rn")
