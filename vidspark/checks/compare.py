@@ -67,7 +67,7 @@ def weekly_summary(spark, sf):
     return w.select(F.date_format("week.start", "yyyy-MM-dd").alias("week"), "total", "both_failed", "agreements", "agreement_rate", "accuracy_b", "improvement")
 
 
-@query("recommendations", f"""WITH {CMP}, s AS (SELECT date_trunc('month', ts) AS mon, {AGG} FROM m GROUP BY 1)
+@query("recommendations", f"""WITH {CMP}, s AS (SELECT date_trunc('month', ts) AS mon, {AGG.replace("time_difference) * 1000, 1)", "time_difference) * 1000, 2)")} FROM m GROUP BY 1)
     SELECT strftime(mon, '%Y-%m') AS month, coalesce(nullif(concat_ws(' | ', CASE WHEN improvement > 10 THEN printf('strong: b is %.2f%% more accurate, consider migration', improvement) WHEN improvement > 5 THEN printf('b is %.2f%% more accurate, continue testing', improvement)
         WHEN improvement > 0 THEN printf('b is slightly more accurate (%.2f%%), collect more data', improvement) WHEN improvement < -5 THEN printf('warning: b is %.2f%% less accurate, review configuration', abs(improvement)) END,
         CASE WHEN only_b_succeeded_pct > only_a_succeeded_pct + 10 THEN printf('b succeeds where a does not (%.2f%% vs %.2f%%)', only_b_succeeded_pct, only_a_succeeded_pct) WHEN only_a_succeeded_pct > only_b_succeeded_pct + 10 THEN printf('a succeeds where b does not (%.2f%% vs %.2f%%), investigate', only_a_succeeded_pct, only_b_succeeded_pct) END,

@@ -62,7 +62,7 @@ def entries(spark, sf):
     single = F.struct(p.alias("person"), c.alias("confidence"))
     k = F.col("l_linenumber") % 4
     text = F.when(~F.col("recognized"), F.lit("{}")).when(k == 0, F.to_json(full)).when(k == 1, F.to_json(best)).when(k == 2, F.to_json(plain)).otherwise(F.to_json(single))
-    return r.withColumn("top_matches", S.top_matches(F.from_json(text, S.RESULT_SCHEMA)))
+    return r.withColumn("result", F.from_json(text, S.RESULT_SCHEMA)).withColumn("top_matches", S.top_matches(F.col("result")))
 
 
 TOP = """SELECT *, 'x_' || l_partkey % 9 AS other, l_linenumber % 4 AS k FROM rec_log"""

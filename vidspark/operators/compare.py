@@ -91,7 +91,7 @@ def recommendations() -> Column:
         F.when(b > a + 10, F.format_string("b succeeds where a does not (%.2f%% vs %.2f%%)", b, a))
         .when(a > b + 10, F.format_string("a succeeds where b does not (%.2f%% vs %.2f%%), investigate", a, b)),
         F.when(agree > 90, F.format_string("high agreement (%.2f%%)", agree)).when(agree < 70, F.format_string("low agreement (%.2f%%), review disagreements", agree)),
-        F.when(ms < -100, F.format_string("b is %.0f ms faster", F.abs(ms))).when(ms > 500, F.format_string("b is %.0f ms slower", ms)),
+        F.when(ms < -100, F.format_string("b is %.0f ms faster", F.bround(F.abs(ms), 0))).when(ms > 500, F.format_string("b is %.0f ms slower", F.bround(ms, 0))),
     ]
     found = F.array_compact(F.array(*rules))
     return F.when(F.size(found) == 0, F.array(F.lit("continue collecting data"))).otherwise(found)
