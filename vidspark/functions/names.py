@@ -209,18 +209,13 @@ def checked_rename(name: Column, proposal: Column) -> Column:
 
 
 def name_pairs(text: Column) -> Column:
-    """Capitalised word pairs of a text that may be names, in order, as an array."""
-    words = F.transform(
-        F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.regexp_replace(w, r"""^[.,!?:;"'-]+|[.,!?:;"'-]+$""", "")
-    )
-    nexts = F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1)))
-    pairs = F.zip_with(words, nexts, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-
-    def capital(w: Column) -> Column:
-        return w.rlike(r"^\p{Lu}\p{L}+$")
-
-    good = F.filter(pairs, lambda p: p["b"].isNotNull() & capital(p["a"]) & capital(p["b"]) & ~p["a"].isin(*NO_NAME_WORDS))
-    return F.filter(F.transform(good, lambda p: F.concat(p["a"], F.lit(" "), p["b"])), lambda n: F.length(n) > 5)
+    """Capitalised word pairs of a text that may be names, in order, as an array. One regular expression
+    finds the (overlapping) pairs; only those are taken apart."""
+    mark, word = r"""[.,!?:;"'-]*""", r"\p{Lu}\p{L}+"
+    pair = rf"(?<!\S)(?=({mark}{word}{mark}\s+{mark}{word}){mark}(?!\S))"
+    found = F.transform(F.regexp_extract_all(text, F.lit(pair), F.lit(1)), lambda p: F.regexp_replace(F.regexp_replace(p, r"""[.,!?:;"'-]+""", ""), r"\s+", " "))
+    starts = "|".join(NO_NAME_WORDS)
+    return F.filter(found, lambda n: (F.length(n) > 5) & ~n.rlike(f"^({starts}) "))
 
 
 def first_last(full: Column) -> Column:

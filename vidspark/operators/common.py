@@ -16,6 +16,14 @@ def parameter_table(spark: SparkSession, rows: Iterable[tuple], schema: str) ->
     return F.broadcast(spark.createDataFrame(list(rows), schema))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitioned on `keys` into a stated number of partitions: for little bytes and much
+    arithmetic (Python tasks), where coalescing by size would leave cores idle."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)  # without keys: round robin
+
+
 def with_group(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
     """Attach group aggregates by aggregate + join: partial sums before the shuffle, and a hot key
     is split by the adaptive skew join, which a window over the same keys would not allow."""

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vidspark.operators.common import parameter_table, pct, top_per_group
+from vidspark.operators.common import parameter_table, pct, spread, top_per_group
 
 
 def group_boxes(
@@ -28,7 +28,7 @@ def group_boxes(
     spots = placed.groupBy(image, x, y).agg(
         F.min(order).alias("_first"), F.min_by(F.struct(*rest), F.struct(distance, order)).alias("_best")
     ).select(image, x, y, "_first", *[F.col(f"_best.{c}").alias(c) for c in rest])
-    laid = spots.repartition(image).sortWithinPartitions(image, "_first")
+    laid = spread(spots, image).sortWithinPartitions(image, "_first")
 
     def openers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, xs, ys = None, [], []

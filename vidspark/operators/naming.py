@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vidspark.functions.names import block_ratio, normalize_name, starts_lowercase, strip
-from vidspark.operators.common import parameter_table, top_per_group
+from vidspark.operators.common import parameter_table, spread, top_per_group
 from vidspark.params import MergeRules
 
 
@@ -53,10 +53,15 @@ def candidate_pairs(left: DataFrame, right: DataFrame, *, ratio: float, keys: Se
     def joined(short: DataFrame, long: DataFrame, s: str, l: str) -> DataFrame:  # noqa: E741
         a = _keys(short, ratio, True, keys).withColumnRenamed("form", s)
         b = _keys(long, ratio, False, keys).withColumnRenamed("form", l)
-        return a.join(b, [*keys, "_la", "_lb", "_seg", "_text"]).select(*keys, "l", "r").filter("l <> r")
+        met = a.join(b, [*keys, "_la", "_lb", "_seg", "_text"]).filter("l <> r")
+        # unmatched characters on both sides bound the edit distance; checked before anything is shuffled
+        surplus = f"CAST(_la + _lb - 2 * ceil({ratio} * (_la + _lb) / 2 - 1e-9) AS INT)"
+        return met.filter(F.expr(f"levenshtein(l, r, {surplus}) >= 0")).select(*keys, "l", "r")
 
-    both = joined(left, right, "l", "r").unionByName(joined(right, left, "r", "l"))
-    return both.distinct().filter(F.expr(_bag_ok("l", "r", ratio)))
+    both = joined(left, right, "l", "r")
+    mirrored = both.select(*keys, F.col("r").alias("l"), F.col("l").alias("r")) if left is right else joined(right, left, "r", "l")
+    once = spread(both.unionByName(mirrored), *keys, "l", "r").dropDuplicates([*keys, "l", "r"])
+    return once.filter(F.expr(_bag_ok("l", "r", ratio)))
 
 
 def scored_pairs(left: DataFrame, right: DataFrame, *, threshold: float, keys: Sequence[str] = ()) -> DataFrame:
@@ -72,7 +77,8 @@ def similar_names(persons: DataFrame, *, name: str = "name", threshold: float =
     looked = everyone if sources is None else sources.select(F.col(name).alias("target")).distinct().withColumn("form", normalize_name(F.col("target")))
     looked = looked.select(F.col("target").alias("source"), F.col("form").alias("l"))
     forms = everyone.select("form").distinct()
-    scored = scored_pairs(looked.select(F.col("l").alias("form")).distinct(), forms, threshold=threshold)
+    asked = forms if sources is None else looked.select(F.col("l").alias("form")).distinct()
+    scored = scored_pairs(asked, forms, threshold=threshold)
     equal = looked.select("l").distinct().select("l", F.col("l").alias("r"), F.lit(100.0).alias("similarity"))
     pairs = scored.select("l", "r", "similarity").unionByName(equal)
     out = looked.join(pairs, "l").join(everyone.withColumnRenamed("form", "r"), "r").filter("source <> target")

@@ -1,27 +1,32 @@
 """Vector joins: exact and approximate k nearest neighbours, neighbour counts, best reference.
 
-All of them share one plan. Gallery rows go to the cell of their nearest pivot; probes go to every
+A gallery whose size is checked to be below `broadcast_bytes` is broadcast, and the probes are scanned
+without a shuffle. Beyond that all of them share one plan. Gallery rows go to the cell of their nearest pivot; probes go to every
 cell that can still hold a match (exact) or to the `nprobe` nearest cells (approximate). On unit
 vectors the squared euclidean distance is twice the cosine distance, so the triangle inequality on
-pivots rules cells out without losing a pair. Cells larger than `block_rows` are split by salt on
+pivots rules cells out without losing a pair. Cells larger than a block are split by salt on
 both sides, which bounds every task whatever the key distribution, and each block pair is one numpy
 product that returns only the reduced rows, never all pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vidspark.operators.common import top_per_group
+from vidspark.operators.common import spread, top_per_group
+from vidspark.session import cut_lineage
 
-BLOCK_ROWS = 8192
+MIN_BLOCK, MAX_BLOCK = 1024, 8192
 MAX_CELLS = 1024
+BROADCAST_BYTES = 64 << 20
+SMALL = 1_000_000
 _DIGITS = 12
+_SLACK = 1e-9
 
 
 def _units(vectors: pd.Series) -> np.ndarray:
@@ -30,6 +35,9 @@ def _units(vectors: pd.Series) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
+Kernel = Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame]
+
+
 def choose_pivots(gallery: DataFrame, *, id: str, n: int) -> np.ndarray:
     """`n` (at most MAX_CELLS) gallery vectors in hash order: a bounded, repeatable choice that only
     steers routing, never the result."""
@@ -102,10 +110,62 @@ def _route(probes: DataFrame, cells: DataFrame, pivots: np.ndarray, parts: Seque
     return near.withColumn("_visit", F.explode(visit)).withColumn("_cell", F.col("_visit.cell")).drop("_pd", "_cells", "_visit")
 
 
+def _small_gallery(gallery: DataFrame, n_rows: int, limit: int) -> bool:
+    """Whether the vectors, as doubles, stay below the limit; wide rows are looked at only if few."""
+    if limit <= 0 or n_rows > SMALL:
+        return False
+    dim = gallery.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return n_rows * dim * 8 <= limit
+
+
+def _vector_join(
+    probes: DataFrame, gallery: DataFrame, *, parts: Sequence[str], probe_id: str, gallery_id: str, method: str, threshold: float | None,
+    nprobe: int, cells: int | None, pivots: np.ndarray | None, block_rows: int | None, broadcast_bytes: int, kernel: Kernel, schema: str,
+) -> DataFrame:
+    """Apply `kernel` to probes and the gallery rows of their part, whole or in blocks."""
+    # tied to a data column, so that a constant part is not folded out of the join keys
+    probes, gallery = (
+        x.filter(F.size("embedding") > 0).select(*[F.when(F.size("embedding") > 0, F.col(c)).alias(c) if c in parts else F.col(c) for c in x.columns])
+        for x in (probes, gallery)
+    )
+    n_rows = gallery.count()
+    if method == "exact" and pivots is None and cells is None and _small_gallery(gallery, n_rows, broadcast_bytes):
+        return _broadcast_join(probes, gallery, parts=parts, gallery_id=gallery_id, kernel=kernel, schema=schema)
+    rows = block_rows or max(MIN_BLOCK, min(MAX_BLOCK, -(-n_rows // probes.sparkSession.sparkContext.defaultParallelism)))
+    if pivots is None:
+        n_cells = cells or default_cells(n_rows, rows)
+        pivots = kmeans_centroids(gallery, k=n_cells) if method == "ivf" else choose_pivots(gallery, id=gallery_id, n=n_cells if threshold is not None else 1)
+    reach = None if threshold is None else float(np.sqrt(2.0 * max(threshold, 0.0)))
+    return _block_join(
+        probes, gallery, parts=parts, probe_id=probe_id, gallery_id=gallery_id, pivots=pivots, n_rows=n_rows, reach=reach,
+        nprobe=nprobe if method == "ivf" else None, block_rows=rows, kernel=kernel, schema=schema,
+    )
+
+
+def _broadcast_join(probes: DataFrame, gallery: DataFrame, *, parts: Sequence[str], gallery_id: str, kernel: Kernel, schema: str) -> DataFrame:
+    """Probes scanned in place against a broadcast gallery of checked size."""
+    parts = list(parts)
+    held = gallery.toArrow().to_pandas().sort_values(gallery_id, kind="stable")
+    by_part = {k: (g.drop(columns="embedding").reset_index(drop=True), _units(g["embedding"])) for k, g in held.groupby(parts, sort=False)}
+    shared = probes.sparkSession.sparkContext.broadcast(by_part)
+    empty = next(iter(by_part.values()), None)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        galleries = shared.value
+        for b in batches:
+            for key, rows in b.groupby(parts, sort=False):
+                if key in galleries:
+                    yield kernel(rows, *galleries[key])
+
+    if empty is None:
+        return probes.sparkSession.createDataFrame([], schema)
+    # few probes sit in few files: spread the arithmetic; many are scanned where they are
+    return (spread(probes) if probes.count() <= SMALL else probes).mapInPandas(scan, schema)
+
+
 def _block_join(
-    probes: DataFrame, gallery: DataFrame, *, parts: Sequence[str], probe_id: str, gallery_id: str,
-    pivots: np.ndarray, n_rows: int, reach: float | None, nprobe: int | None, block_rows: int,
-    kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
+    probes: DataFrame, gallery: DataFrame, *, parts: Sequence[str], probe_id: str, gallery_id: str, pivots: np.ndarray, n_rows: int,
+    reach: float | None, nprobe: int | None, block_rows: int, kernel: Kernel, schema: str,
 ) -> DataFrame:
     """Blocks of both sides, co-grouped. Small parts are packed together into units of about one
     block, so that millions of little groups do not mean millions of little Python calls."""
@@ -115,8 +175,12 @@ def _block_join(
     # fresh column identities, so that a table can be joined with itself
     gallery = gallery.select(*[F.col(c).alias(c) for c in gallery.columns])
     placed = _assign(gallery, pivots, parts, block_rows)
+    if len(pivots) > 1:
+        placed = cut_lineage(placed)  # read three times below: place every vector once
     cells = placed.groupBy(*keys).agg(F.max("_radius").alias("_r"), F.count(F.lit(1)).alias("_g"))
     routed = _route(probes, cells, pivots, parts, reach=reach, nprobe=nprobe).withColumn("_unit", unit)
+    if len(pivots) > 1:
+        routed = cut_lineage(routed)
     load = routed.groupBy("_unit").agg(F.count(F.lit(1)).alias("_p"))
     held = cells.withColumn("_unit", unit).groupBy("_unit").agg(F.sum("_g").alias("_g"))
 
@@ -137,29 +201,23 @@ def _block_join(
         .drop("_gs", "_ps")
     )
     block = ["_unit", "_gb", "_pb"]
-    spark = probes.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    # a stated number of partitions: little bytes, much arithmetic, so tasks must not be coalesced by size
-    p, g = (x.select(*[F.col(c).alias(c) for c in x.columns]).repartition(tasks, *block) for x in (p, g))
+    p, g = (spread(x.select(*[F.col(c).alias(c) for c in x.columns]), *block) for x in (p, g))
 
     def per_part(pb: pd.DataFrame, gb: pd.DataFrame) -> pd.DataFrame:
+        gb = gb.sort_values(gallery_id, kind="stable")
         galleries = dict(list(gb.groupby(keys, sort=False)))
-        out = [kernel(rows, galleries[key]) for key, rows in pb.groupby(keys, sort=False) if key in galleries]
-        return pd.concat(out) if out else kernel(pb.iloc[:0], gb.iloc[:0])
+        out = [kernel(rows, galleries[k].reset_index(drop=True), _units(galleries[k]["embedding"])) for k, rows in pb.groupby(keys, sort=False) if k in galleries]
+        return pd.concat(out) if out else kernel(pb.iloc[:0], gb.iloc[:0], np.zeros((0, 1)))
 
     return p.groupBy(*block).cogroup(g.groupBy(*block)).applyInPandas(per_part, schema)
 
 
-def _chunks(p: pd.DataFrame, g: pd.DataFrame, rows: int = 512):
-    """Distance slabs of one block pair, at most rows x block_rows at a time."""
-    gu = _units(g["embedding"])
+def _chunks(p: pd.DataFrame, units: np.ndarray, rows: int = 512):
+    """Distance slabs of probes against gallery units, at most `rows` rows at a time."""
     for lo in range(0, len(p), rows):
         part = p.iloc[lo : lo + rows]
-        yield part, np.round(1.0 - _units(part["embedding"]) @ gu.T, _DIGITS)
-
-
-def _reach(threshold: float) -> float:
-    return float(np.sqrt(2.0 * max(threshold, 0.0)))
+        d = _units(part["embedding"]) @ units.T
+        yield part, np.subtract(1.0, d, out=d)
 
 
 def _field(df: DataFrame, name: str, as_name: str | None = None) -> str:
@@ -170,7 +228,7 @@ def knn_join(
     probes: DataFrame, gallery: DataFrame, *, k: int, threshold: float = 0.40, part: str | Sequence[str] = "domain",
     cut: str = "before", method: str = "exact", nprobe: int = 16, cells: int | None = None,
     probe_id: str = "probe_id", gallery_id: str = "vec_id", carry: Sequence[str] = ("person_id",),
-    pivots: np.ndarray | None = None, block_rows: int = BLOCK_ROWS,
+    pivots: np.ndarray | None = None, block_rows: int | None = None, broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """k nearest gallery rows per probe inside `part`, closer than `threshold`.
 
@@ -180,59 +238,55 @@ def knn_join(
     """
     threshold = threshold or 0.40
     parts = [part] if isinstance(part, str) else list(part)
-    n_rows = gallery.count()
-    n_cells = cells or default_cells(n_rows, block_rows)
-    if pivots is None:
-        pivots = kmeans_centroids(gallery, k=n_cells) if method == "ivf" else choose_pivots(gallery, id=gallery_id, n=n_cells)
-    p = probes.select(probe_id, *parts, "embedding").filter(F.size("embedding") > 0)
-    g = gallery.select(gallery_id, *parts, *[c for c in carry if c not in parts], "embedding").filter(F.size("embedding") > 0)
+    p = probes.select(probe_id, *parts, "embedding")
+    g = gallery.select(gallery_id, *parts, *[c for c in carry if c not in parts], "embedding")
     kept = [gallery_id, *[c for c in carry if c not in parts]]
     strict = cut == "before"
 
-    def nearest(pb: pd.DataFrame, gb: pd.DataFrame) -> pd.DataFrame:
+    def nearest(pb: pd.DataFrame, gb: pd.DataFrame, units: np.ndarray) -> pd.DataFrame:
         out = []
         if len(pb) and len(gb):
-            gb = gb.sort_values(gallery_id, kind="stable").reset_index(drop=True)
             kk = min(k, len(gb))
-            for part_rows, d in _chunks(pb, gb):
-                kth = np.partition(d, kk - 1, axis=1)[:, kk - 1 : kk]
-                keep = (d <= kth) & ((d < threshold) if strict else (d <= threshold))
+            for part_rows, d in _chunks(pb, units):
+                keep = d <= threshold + _SLACK
+                if keep.sum() > 4 * kk * len(d):
+                    keep &= d <= np.partition(d, kk - 1, axis=1)[:, kk - 1 : kk] + _SLACK
                 r, c = np.nonzero(keep)
-                order = np.lexsort((c, d[r, c], r))
-                r, c = r[order], c[order]
-                pos = np.arange(len(r)) - np.searchsorted(r, r, side="left")
-                r, c = r[pos < k], c[pos < k]
+                v = np.round(d[r, c], _DIGITS)
+                near = v < threshold if strict else v <= threshold
+                r, c, v = r[near], c[near], v[near]
+                order = np.lexsort((c, v, r))
+                r, c, v = r[order], c[order], v[order]
+                first = np.arange(len(r)) - np.searchsorted(r, r, side="left") < k
+                r, c, v = r[first], c[first], v[first]
                 hit = gb.loc[c, kept].reset_index(drop=True)
                 hit.insert(0, probe_id, part_rows[probe_id].to_numpy()[r])
-                hit["distance"] = d[r, c]
+                hit["distance"] = v
                 out.append(hit)
         return pd.concat(out) if out else pd.DataFrame(columns=[probe_id, *kept, "distance"])
 
     schema = ", ".join([_field(p, probe_id), *[_field(g, c) for c in kept], "distance double"])
-    local = _block_join(
-        p, g, parts=parts, probe_id=probe_id, gallery_id=gallery_id, pivots=pivots, n_rows=n_rows,
-        reach=_reach(threshold) if method == "exact" else None, nprobe=nprobe if method == "ivf" else None,
-        block_rows=block_rows, kernel=nearest, schema=schema,
+    local = _vector_join(
+        p, g, parts=parts, probe_id=probe_id, gallery_id=gallery_id, method=method, threshold=threshold, nprobe=nprobe, cells=cells, pivots=pivots,
+        block_rows=block_rows, broadcast_bytes=broadcast_bytes, kernel=nearest, schema=schema,
     )
     return top_per_group(local, [probe_id], [F.col("distance"), F.col(gallery_id)], k)
 
 
 def neighbour_stats(
     vectors: DataFrame, *, group: str, threshold: float, id: str = "vec_id", cells: int | None = None,
-    pivots: np.ndarray | None = None, block_rows: int = BLOCK_ROWS,
+    pivots: np.ndarray | None = None, block_rows: int | None = None, broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Pairwise distances inside a group, reduced per row: how many rows (itself included) are closer
     than `threshold`, and the smallest and mean distance of those other rows. Pairs are never emitted."""
-    v = vectors.select(id, group, "embedding").filter(F.size("embedding") > 0)
-    n_rows = v.count()
-    if pivots is None:
-        pivots = choose_pivots(v, id=id, n=cells or default_cells(n_rows, block_rows))
+    v = vectors.select(id, group, "embedding")
 
-    def reduce(pb: pd.DataFrame, gb: pd.DataFrame) -> pd.DataFrame:
+    def reduce(pb: pd.DataFrame, gb: pd.DataFrame, units: np.ndarray) -> pd.DataFrame:
         out = []
         if len(pb) and len(gb):
             gid = gb[id].to_numpy()
-            for part_rows, d in _chunks(pb, gb):
+            for part_rows, d in _chunks(pb, units):
+                d = np.round(d, _DIGITS, out=d)
                 near = d < threshold
                 other = near & (part_rows[id].to_numpy()[:, None] != gid[None, :])
                 out.append(pd.DataFrame({
@@ -243,9 +297,9 @@ def neighbour_stats(
         return pd.concat(out) if out else pd.DataFrame(columns=[group, id, "n", "m", "s", "lo"])
 
     schema = f"{_field(v, group)}, {_field(v, id)}, n long, m long, s double, lo double"
-    partial = _block_join(
-        v, v, parts=[group], probe_id=id, gallery_id=id, pivots=pivots, n_rows=n_rows, reach=_reach(threshold), nprobe=None,
-        block_rows=block_rows, kernel=reduce, schema=schema,
+    partial = _vector_join(
+        v, v, parts=[group], probe_id=id, gallery_id=id, method="exact", threshold=threshold, nprobe=0, cells=cells, pivots=pivots,
+        block_rows=block_rows, broadcast_bytes=broadcast_bytes, kernel=reduce, schema=schema,
     )
     return partial.groupBy(group, id).agg(
         F.sum("n").alias("neighbours"),
@@ -278,20 +332,19 @@ def consensus(
 
 def validate_against(
     candidates: DataFrame, references: DataFrame, *, on: str, threshold: float = 0.50, id: str = "cand_id",
-    ref_index: str = "ref_idx", block_rows: int = BLOCK_ROWS,
+    ref_index: str = "ref_idx", block_rows: int | None = None, broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Each candidate against all references of its group: the smallest distance and its reference,
     the first reference in index order that passes, accepted or not. Candidates whose group has no
     reference are kept and not accepted."""
     c = candidates.select(id, on, "embedding")
     r = references.select(ref_index, on, "embedding")
-
-    def best(pb: pd.DataFrame, gb: pd.DataFrame) -> pd.DataFrame:
+    def best(pb: pd.DataFrame, gb: pd.DataFrame, units: np.ndarray) -> pd.DataFrame:
         out = []
         if len(pb) and len(gb):
-            gb = gb.sort_values(ref_index, kind="stable").reset_index(drop=True)
             idx = gb[ref_index].to_numpy()
-            for part_rows, d in _chunks(pb, gb):
+            for part_rows, d in _chunks(pb, units):
+                d = np.round(d, _DIGITS, out=d)
                 low, ok = d.argmin(1), d < threshold
                 first = np.where(ok.any(1), idx[ok.argmax(1)], -1)
                 out.append(pd.DataFrame({
@@ -300,9 +353,10 @@ def validate_against(
                 }))
         return pd.concat(out) if out else pd.DataFrame(columns=[id, "d", "ref", "first", "hit"])
 
-    part = _block_join(
-        c, r, parts=[on], probe_id=id, gallery_id=ref_index, pivots=np.zeros((0, 0)), n_rows=r.count(), reach=None, nprobe=None,
-        block_rows=block_rows, kernel=best, schema=f"{_field(c, id)}, d double, ref long, first long, hit boolean",
+    schema = f"{_field(c, id)}, d double, ref long, first long, hit boolean"
+    part = _vector_join(
+        c, r, parts=[on], probe_id=id, gallery_id=ref_index, method="exact", threshold=None, nprobe=0, cells=None, pivots=None,
+        block_rows=block_rows, broadcast_bytes=broadcast_bytes, kernel=best, schema=schema,
     )
     merged = part.groupBy(id).agg(
         F.min(F.struct("d", "ref")).alias("_m"), F.min(F.when(F.col("hit"), F.col("first"))).alias("first_passing_ref"),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vidspark.operators.common import runs
+from vidspark.operators.common import runs, spread
 from vidspark.params import Tracking, TrackVote
 
 BOX = ["x1", "y1", "x2", "y2"]
@@ -109,7 +109,7 @@ def track(dets: DataFrame, params: Tracking = Tracking(), *, video: str = "video
         rows = interval_join(rows, pieces, keys=[video], pos=frame, lo="_piece", hi="run_end").drop("run_end")
     else:
         rows = rows.withColumn("_piece", F.lit(0).cast("long"))
-    laid = rows.repartition(video, "_piece").sortWithinPartitions(video, "_piece", frame, det)
+    laid = spread(rows, video, "_piece").sortWithinPartitions(video, "_piece", frame, det)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tracker, current, last, held = None, None, None, None

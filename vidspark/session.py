@@ -15,6 +15,9 @@ def build_session(app: str = "vidspark", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # one core per task: the matrix products must not start threads of their own
+        "spark.executorEnv.OMP_NUM_THREADS": "1",
+        "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",
     }
     settings.update(conf)
     builder = SparkSession.builder.appName(app)
