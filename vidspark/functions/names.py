@@ -32,8 +32,8 @@ def _ascii(ch: str) -> str:
     return unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode("ascii")
 
 
-# Latin letters with a compatibility decomposition, by rule: Latin-1 to Extended-B and Extended Additional.
-_LATIN = {chr(c): _ascii(chr(c)) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]}
+# Latin letters with a compatibility decomposition, by rule: Latin-1 to Extended-B, and Extended Additional.
+_LATIN = {chr(c): _ascii(chr(c)) for c in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00)]}
 LATIN_FROM = "".join(k for k, v in _LATIN.items() if len(v) == 1)
 LATIN_TO = "".join(v for v in _LATIN.values() if len(v) == 1)
 LATIN_LONG = tuple((k, v) for k, v in _LATIN.items() if len(v) > 1)
