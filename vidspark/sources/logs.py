@@ -9,13 +9,10 @@ from vidspark.operators.logs import flat_export
 from vidspark.schemas import COMPARISON, REJECTION
 
 
-def read_records(spark: SparkSession, path: str, schema=COMPARISON, *, start: str | None = None, end: str | None = None, ids: list[str] | None = None, id: str = "comparison_id", ts: str = "timestamp") -> DataFrame:
+def read_records(spark: SparkSession, path: str, schema: str = COMPARISON, *, start: str | None = None, end: str | None = None, ids: list[str] | None = None, id: str = "comparison_id", ts: str = "timestamp") -> DataFrame:
     """JSON records of a folder; unreadable files and records are set aside, not fatal. The range is
     inclusive at both ends."""
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    full = StructType([*schema.fields, StructField("_corrupt", StringType())])
-    df = spark.read.schema(full).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", multiLine=True)
+    df = spark.read.schema(f"{schema}, _corrupt STRING").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", multiLine=True)
     df = df.filter(F.col(id).isNotNull())
     if start:
         df = df.filter(F.col(ts) >= F.lit(start).cast("timestamp"))
@@ -29,7 +26,7 @@ def append_dated(log: DataFrame, path: str, *, date: str = "date") -> None:
     log.write.mode("append").partitionBy(date).parquet(path)
 
 
-def read_dated(spark: SparkSession, path: str, *, date: str | None = None, schema=REJECTION) -> DataFrame:
+def read_dated(spark: SparkSession, path: str, *, date: str | None = None, schema: str = REJECTION) -> DataFrame:
     """A dated log; with `date` only that partition is listed and read. The schema is stated."""
     df = spark.read.schema(schema).parquet(path)
     return df if date is None else df.filter(F.col("date") == F.lit(date).cast("date"))
@@ -52,8 +49,8 @@ def write_report(report: DataFrame, path: str, *, run_id: str) -> None:
     report.write.mode("overwrite").json(f"{path}/run_id={run_id}")
 
 
-def read_latest_report(spark: SparkSession, path: str, schema) -> DataFrame:
+def read_latest_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of the newest run: its id is a partition value, so the other runs are not read."""
-    runs = spark.read.schema(schema.simpleString()[7:-1] + ",run_id:string" if not isinstance(schema, str) else f"{schema}, run_id string").json(path)
+    runs = spark.read.schema(f"{schema}, run_id STRING").json(path)
     latest = runs.agg(F.max("run_id").alias("run_id"))
     return runs.join(F.broadcast(latest), "run_id", "left_semi")  # one row
