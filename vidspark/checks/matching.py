@@ -143,16 +143,12 @@ def box_scaling(spark, sf):
                     m["x1"].alias("mx1"), m["y1"].alias("my1"), m["x2"].alias("mx2"), m["y2"].alias("my2"))
 
 
-@query("box_iou", """WITH p AS (SELECT *, lag(x1) OVER w AS px1, lag(y1) OVER w AS py1, lag(x2) OVER w AS px2, lag(y2) OVER w AS py2 FROM detections WINDOW w AS (PARTITION BY video_id ORDER BY det_id)),
-    i AS (SELECT det_id, least(x2, px2) - greatest(x1, px1) AS w, least(y2, py2) - greatest(y1, py1) AS h FROM p WHERE px1 IS NOT NULL)
+@query("box_iou", """WITH i AS (SELECT a.det_id, least(a.x2, b.x2) - greatest(a.x1, b.x1) AS w, least(a.y2, b.y2) - greatest(a.y1, b.y1) AS h FROM detections a JOIN detections b ON b.det_id = a.det_id + 1)
     SELECT det_id, round(CASE WHEN w <= 0 OR h <= 0 THEN 0.0 ELSE w * h / (20000 - w * h) END, 6) AS iou FROM i""", ("detections",))
 def box_iou(spark, sf):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("video_id").orderBy("det_id")
-    d = view(spark, sf, "detections").withColumn("b", F.struct("x1", "y1", "x2", "y2"))
-    d = d.withColumn("prev", F.lag("b").over(w)).filter(F.col("prev").isNotNull())
-    return d.select("det_id", F.round(V.iou(F.col("b"), F.col("prev")), 6).alias("iou"))
+    d = view(spark, sf, "detections").select("det_id", F.struct("x1", "y1", "x2", "y2").alias("b"))
+    m = d.join(d.select((F.col("det_id") - 1).alias("det_id"), F.col("b").alias("next")), "det_id")
+    return m.select("det_id", F.round(V.iou(F.col("b"), F.col("next")), 6).alias("iou"))
 
 
 @query("box_layouts", """SELECT det_id, CASE det_id % 6 WHEN 5 THEN 0.0 ELSE x1 END AS x1, CASE det_id % 6 WHEN 5 THEN 0.0 ELSE y1 END AS y1,

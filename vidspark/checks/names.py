@@ -170,17 +170,17 @@ def merge_candidates(spark, sf):
     return naming.in_report_order(naming.merge_candidates(people))
 
 
-@query("linked_groups", """WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey - c_nationkey AS b FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_custkey > c_nationkey), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e),
+@query("linked_groups", """WITH RECURSIVE e AS (SELECT c_custkey AS a, abs(c_custkey - c_nationkey) AS b FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e),
     r(id, root) AS (SELECT a, a FROM u UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.root WHERE u.b < r.root OR true) SELECT id, min(root) AS root FROM r GROUP BY id""")
 def linked_groups(spark, sf):
-    c = table(spark, sf, "customer").filter("c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_custkey > c_nationkey")
-    return connected_groups(c.select(F.col("c_custkey").alias("a"), (F.col("c_custkey") - F.col("c_nationkey")).alias("b")), a="a", b="b")
+    c = table(spark, sf, "customer").filter("c_mktsegment IN ('BUILDING', 'MACHINERY')")
+    return connected_groups(c.select(F.col("c_custkey").alias("a"), F.abs(F.col("c_custkey") - F.col("c_nationkey")).alias("b")), a="a", b="b")
 
 
-@query("resolved_merges", """WITH RECURSIVE d AS (SELECT c_custkey AS s, CAST(floor(c_custkey / 3) AS BIGINT) AS t FROM customer WHERE c_acctbal < 5000 AND c_custkey > 0),
+@query("resolved_merges", """WITH RECURSIVE d AS (SELECT c_custkey AS s, CAST(floor(c_custkey / 3) AS BIGINT) AS t FROM customer WHERE c_acctbal < 5000 AND c_custkey <> floor(c_custkey / 3)),
     r AS (SELECT s, t, 1 AS n FROM d UNION ALL SELECT r.s, d.t, n + 1 FROM r JOIN d ON r.t = d.s) SELECT s AS source_id, arg_max(t, n) AS target_id FROM r GROUP BY s""")
 def resolved_merges(spark, sf):
-    d = table(spark, sf, "customer").filter("c_acctbal < 5000 AND c_custkey > 0").select(F.col("c_custkey").alias("source_id"), F.floor(F.col("c_custkey") / 3).alias("target_id"))
+    d = table(spark, sf, "customer").filter("c_acctbal < 5000").select(F.col("c_custkey").alias("source_id"), F.floor(F.col("c_custkey") / 3).alias("target_id")).filter("source_id <> target_id")
     return resolve_merges(d)
 
 

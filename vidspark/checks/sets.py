@@ -22,12 +22,14 @@ def first_source_wins(spark, sf):
     return L.first_source_wins(sources)
 
 
-@query("name_sets", """SELECT name, 'only_a' AS side FROM (SELECT DISTINCT person AS name FROM rec_log WHERE batch_id < 20 AND person < 's2' EXCEPT SELECT person FROM rec_log WHERE batch_id >= 20 AND person > 's15') x
-    UNION ALL SELECT name, 'both' FROM (SELECT person AS name FROM rec_log WHERE batch_id < 20 AND person < 's2' INTERSECT SELECT person FROM rec_log WHERE batch_id >= 20 AND person > 's15') y""", ("rec_log",))
+NAMED = "SELECT l_returnflag, l_linestatus, 'n' || l_partkey || '_' || l_suppkey AS name FROM lineitem"
+
+
+@query("name_sets", f"""SELECT name, 'only_a' AS side FROM (SELECT name FROM ({NAMED}) q WHERE l_returnflag = 'A' EXCEPT SELECT name FROM ({NAMED}) q WHERE l_linestatus = 'O') x
+    UNION ALL SELECT name, 'both' FROM (SELECT name FROM ({NAMED}) q WHERE l_returnflag = 'A' INTERSECT SELECT name FROM ({NAMED}) q WHERE l_linestatus = 'O') y""")
 def name_sets(spark, sf):
-    r = view(spark, sf, "rec_log")
-    a = r.filter("batch_id < 20 AND person < 's2'").select(F.col("person").alias("name"))
-    b = r.filter("batch_id >= 20 AND person > 's15'").select(F.col("person").alias("name"))
+    n = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", F.concat(F.lit("n"), "l_partkey", F.lit("_"), "l_suppkey").alias("name"))
+    a, b = n.filter("l_returnflag = 'A'").select("name"), n.filter("l_linestatus = 'O'").select("name")
     return a.subtract(b).withColumn("side", F.lit("only_a")).unionByName(a.intersect(b).withColumn("side", F.lit("both")))
 
 

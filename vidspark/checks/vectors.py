@@ -94,17 +94,38 @@ def verify_single(spark, sf):
     return out.select("vec_id", "ref_id", rounded("distance", 6).alias("distance"), "verified")
 
 
-@query("cosine_variants", f"""WITH m AS (SELECT label, vec_id, embedding, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings)
-    SELECT vec_id, {DIST.format(a='embedding', b='nxt')} AS distance, round({RAW.format(a='embedding', b='nxt')}, 4) + 0.0 AS distance_eps, round(1 - {RAW.format(a='embedding', b='nxt')}, 6) + 0.0 AS confidence FROM m WHERE nxt IS NOT NULL""")
+@query("cosine_variants", f"""WITH m AS (SELECT a.vec_id, a.embedding, b.embedding AS nxt FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+    SELECT vec_id, {DIST.format(a='embedding', b='nxt')} AS distance, round({RAW.format(a='embedding', b='nxt')}, 4) + 0.0 AS distance_eps, round(1 - {RAW.format(a='embedding', b='nxt')}, 6) + 0.0 AS confidence FROM m""")
 def cosine_variants(spark, sf):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("label").orderBy("vec_id")
-    m = table(spark, sf, "embeddings").withColumn("nxt", F.lead("embedding").over(w)).filter(F.col("nxt").isNotNull())
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    m = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("nxt")), "vec_id")
     d = V.cosine_distance(F.col("embedding"), F.col("nxt"))
     return m.select("vec_id", rounded(d, 6).alias("distance"), rounded(V.cosine_distance_eps(F.col("embedding"), F.col("nxt")), 4).alias("distance_eps"), rounded(V.confidence(d), 6).alias("confidence"))
 
 
+@query("sql_functions", f"""WITH m AS (SELECT a.vec_id, a.embedding, b.embedding AS nxt FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+    SELECT vec_id, {DIST.format(a='embedding', b='nxt')} AS distance, 'Ana_' || vec_id AS safe, round(CASE WHEN vec_id % 150 >= 100 THEN 0.0 ELSE (100 - vec_id % 150) * 100 / (20000.0e0 - (100 - vec_id % 150) * 100) END, 6) AS overlap FROM m""")
+def sql_functions(spark, sf):
+    """The functions registered for spark.sql."""
+    from vidspark.functions.sql import register_functions
+
+    register_functions(spark)
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return spark.sql("""SELECT a.vec_id, round(cosine_distance(a.embedding, b.embedding), 6) + 0D AS distance, safe_name(concat('Ána ', a.vec_id)) AS safe,
+        round(iou(0D, 0D, 100D, 100D, a.vec_id % 150, 0D, a.vec_id % 150 + 100, 100D), 6) AS overlap FROM {e} a JOIN {e} b ON b.vec_id = a.vec_id + 1""", e=e)
+
+
+@query("knn_table_function", f"""WITH p AS (SELECT a.vec_id AS probe_id, b.vec_id, {RAW.format(a='a.embedding', b='b.embedding')} AS d FROM embeddings a, embeddings b), r AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY d, vec_id) AS rank FROM p)
+    SELECT probe_id, rank, vec_id, round(d, 6) + 0.0 AS distance FROM r WHERE rank <= 3 AND d < 0.9""")
+def knn_table_function(spark, sf):
+    from vidspark.functions.sql import register_knn
+
+    e = table(spark, sf, "embeddings")
+    register_knn(spark, e)
+    hits = spark.sql("SELECT * FROM knn(TABLE(SELECT vec_id AS probe_id, embedding FROM {e}) PARTITION BY (probe_id), 3, 0.9D)", e=e)
+    return hits.select("probe_id", F.col("rank").cast("long").alias("rank"), "vec_id", rounded("distance", 6).alias("distance"))
+
+
 @query("valid_vectors", "SELECT CAST(label AS BIGINT) AS label, count(*) AS n, count(*) FILTER (len(embedding) = 64) AS valid_64, count(*) FILTER (len(embedding) = 512) AS valid_512 FROM embeddings GROUP BY ALL")
 def valid_vectors(spark, sf):
     return table(spark, sf, "embeddings").groupBy(F.col("label").cast("long").alias("label")).agg(

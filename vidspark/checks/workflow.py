@@ -186,13 +186,13 @@ def delete_cascade(spark, sf):
     return a.unionByName(v.agg(F.lit("vector").alias("kind"), F.count("*").alias("n"), F.sum("o_orderkey").alias("check_sum")))
 
 
-DEC = """d AS (SELECT c_custkey AS s, CASE WHEN c_acctbal < 2000 THEN 'MERGE' WHEN c_acctbal < 3000 THEN 'RENAME' WHEN c_acctbal < 3500 THEN 'DELETE' ELSE 'SKIP' END AS action, CAST(floor(c_custkey / 3) AS BIGINT) AS t FROM customer WHERE c_custkey > 0),
+DEC = """d AS (SELECT c_custkey AS s, CASE WHEN c_acctbal < 2000 THEN 'MERGE' WHEN c_acctbal < 3000 THEN 'RENAME' WHEN c_acctbal < 3500 THEN 'DELETE' ELSE 'SKIP' END AS action, CAST(floor(c_custkey / 3) AS BIGINT) AS t FROM customer WHERE c_custkey <> floor(c_custkey / 3)),
     m AS (SELECT s, t FROM d WHERE action = 'MERGE'), r AS (SELECT s, t, 1 AS n FROM m UNION ALL SELECT r.s, m.t, n + 1 FROM r JOIN m ON r.t = m.s), f AS (SELECT s, arg_max(t, n) AS t FROM r GROUP BY s)"""
 
 
 def decisions(spark, sf):
     b = F.col("c_acctbal")
-    c = table(spark, sf, "customer").filter("c_custkey > 0")
+    c = table(spark, sf, "customer").filter("c_custkey <> floor(c_custkey / 3)")
     return c.select(F.col("c_custkey").alias("source_id"), F.when(b < 2000, "MERGE").when(b < 3000, "RENAME").when(b < 3500, "DELETE").otherwise("SKIP").alias("action"), F.floor(F.col("c_custkey") / 3).alias("target_id"), F.concat(F.lit("new "), "c_name").alias("new_name"))
 
 

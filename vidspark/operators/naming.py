@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vidspark.functions.names import block_ratio, normalize_name, starts_lowercase, strip
 from vidspark.operators.common import parameter_table, spread, top_per_group
 from vidspark.params import MergeRules
+from vidspark.session import cut_lineage
 
 
 def _keys(forms: DataFrame, ratio: float, shorter: bool, keys: Sequence[str]) -> DataFrame:
@@ -137,9 +138,10 @@ def merge_candidates(persons: DataFrame, *, id: str = "person_id", name: str = "
         F.when(F.col("target").isNull(), "RENAME").otherwise("MERGE").alias("action"),
     )
     only = rest.select(F.col(name).alias("source"))
-    spelled = spelling_variants(persons, name=name, pairs=rules.spelling).join(only, "source", "left_semi")
+    # both are used by the rules after them: computed once
+    spelled = cut_lineage(spelling_variants(persons, name=name, pairs=rules.spelling).join(only, "source", "left_semi"))
     nick = nickname_matches(persons, name=name, nicknames=rules.nicknames, surname_similarity=rules.surname_similarity)
-    nick = nick.join(only, "source", "left_semi").join(spelled, "source", "left_anti")
+    nick = cut_lineage(nick.join(only, "source", "left_semi").join(spelled, "source", "left_anti"))
     left_over = rest.select(name).join(spelled.unionByName(nick).select(F.col("source").alias(name)), name, "left_anti")
     dup = similar_names(persons, name=name, threshold=rules.duplicate_similarity, sources=left_over)
 

@@ -18,7 +18,9 @@ def match_stream(probes: DataFrame, gallery: DataFrame, out: str, checkpoint: st
     replaces itself."""
 
     def match(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # counted, then searched
         knn_join(batch, gallery, **knn).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch.unpersist()
 
     return probes.writeStream.foreachBatch(match).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
