@@ -47,12 +47,22 @@ def match_analysis_bonus(spark, sf):
     return _scored(M.match_analysis(matches(spark, sf), threshold=0.9, size_bonus=True))
 
 
-@query("box_groups")
+# Greedy grouping, one opener per image and round: the first position no opener so far covers.
+GROUPED = """, spots AS (SELECT image_id, x_pct AS x, y_pct AS y, min(seq) AS f FROM matches GROUP BY ALL),
+    open_(image_id, os) AS (SELECT image_id, [arg_min({'x': x, 'y': y}, f)] FROM spots GROUP BY 1
+        UNION ALL SELECT o.image_id, list_append(any_value(o.os), arg_min({'x': s.x, 'y': s.y}, s.f)) FROM open_ o JOIN spots s ON s.image_id = o.image_id
+            WHERE len(list_filter(o.os, lambda l: abs(l.x - s.x) <= 10 AND abs(l.y - s.y) <= 10)) = 0 GROUP BY o.image_id),
+    last_ AS (SELECT image_id, arg_max(os, len(os)) AS os FROM open_ GROUP BY 1),
+    grp AS (SELECT m.*, list_position(list_transform(os, lambda l: abs(l.x - m.x_pct) <= 10 AND abs(l.y - m.y_pct) <= 10), true) - 1 AS box_group FROM matches m JOIN last_ USING (image_id)),
+    grouped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, box_group ORDER BY distance, seq) AS pick FROM grp) x WHERE pick = 1)"""
+
+
+@query("box_groups", f"WITH RECURSIVE {MATCHES}{GROUPED} SELECT image_id, CAST(box_group AS BIGINT) AS box_group, person, seq, round(distance, 6) + 0.0 AS distance FROM grouped", G)
 def box_groups(spark, sf):
     return M.group_boxes(matches(spark, sf)).select("image_id", "box_group", "person", "seq", rounded("distance", 6).alias("distance"))
 
 
-@query("match_analysis_grouped")
+@query("match_analysis_grouped", f"WITH RECURSIVE {MATCHES}{GROUPED}" + SCORE.format(src="grouped", t="0.95", bonus="w * h / 100.0e0 * 0.15e0"), G)
 def match_analysis_grouped(spark, sf):
     return _scored(M.match_analysis(M.group_boxes(matches(spark, sf)), threshold=0.95, size_bonus=True))
 

@@ -50,9 +50,10 @@ def word_forms(spark, sf):
     return words(spark, sf).select("w", N.safe_name(c).alias("safe"), N.normalize_text(c).alias("text_form"), N.normalize_person_name(c).alias("file_form"))
 
 
-@query("safe_name_exact")
+@query("safe_name_exact", f"SELECT w, {SAFE.replace('{c}', 'w')} AS safe FROM ({TOKENS}) t")
 def safe_name_exact(spark, sf):
-    """The exact decomposition (any script) over every word of the documents."""
+    """The exact decomposition (any script) over every word of the documents; their letters are Latin,
+    so the folding table gives the same."""
     return words(spark, sf).select("w", N.safe_name(F.col("w"), exact=True).alias("safe"))
 
 

@@ -141,6 +141,7 @@ def with_views(names: tuple[str, ...], body: str) -> str:
     body = body.strip()
     if not ctes:
         return body
-    if body.upper().startswith("WITH "):
-        return f"WITH {ctes}, {body[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{ctes}, {body[len(start):]}"
     return f"WITH {ctes} {body}"

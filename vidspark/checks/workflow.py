@@ -125,14 +125,20 @@ def session_state(spark, sf):
     return WF.session_state(e, session="session", seq="event_id")
 
 
-@query("admit_capped")
+@query("admit_capped", """WITH f AS (SELECT DISTINCT 'P' || l_partkey % 60 AS person, strftime(DATE '2024-01-01' + CAST(l_suppkey % 30 AS INTEGER), '%Y-%m-%d') AS day,
+        concat_ws('_', 'f', lpad(CAST((l_partkey * 7919 + l_suppkey * 104729) % 1000000 AS VARCHAR), 6, '0'), l_orderkey, l_linenumber, l_suppkey, l_partkey) AS filename, min(l_returnflag) AS flag FROM lineitem GROUP BY ALL),
+    o AS (SELECT * FROM f WHERE flag = 'A' AND person > 'P3'), n AS (SELECT * FROM f WHERE NOT (flag = 'A' AND person > 'P3')), od AS (SELECT person, day, count(*) AS c FROM o GROUP BY ALL), ot AS (SELECT person, count(*) AS c FROM o GROUP BY ALL),
+    d AS (SELECT n.*, row_number() OVER (PARTITION BY n.person, n.day ORDER BY filename DESC) + coalesce(od.c, 0) <= 3 AS dok, coalesce(ot.c, 0) AS t FROM n LEFT JOIN od USING (person, day) LEFT JOIN ot USING (person)),
+    r AS (SELECT *, t + coalesce(count(*) FILTER (dok) OVER (PARTITION BY person ORDER BY filename DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
+    SELECT filename, person, day, dok AND before < 40 AS admitted, CASE WHEN dok AND before < 40 THEN NULL WHEN before >= 40 THEN 'person_limit' ELSE 'daily_limit' END AS reason FROM r""")
 def admit_capped(spark, sf):
     li = table(spark, sf, "lineitem")
     hashed = F.lpad(((F.col("l_partkey") * 7919 + F.col("l_suppkey") * 104729) % 1000000).cast("string"), 6, "0")
     files = li.select(F.concat(F.lit("P"), F.col("l_partkey") % 60).alias("person"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("l_suppkey") % 30).cast("int")), "yyyy-MM-dd").alias("day"),
-                      F.concat_ws("_", F.lit("f"), hashed, "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").alias("filename"), "l_returnflag").dropDuplicates(["filename"])
-    old, new = files.filter("l_returnflag = 'A' AND person > 'P3'"), files.filter("NOT (l_returnflag = 'A' AND person > 'P3')")
-    return WF.admit_capped(new, old.drop("l_returnflag")).select("filename", "person", "day", "admitted", "reason")
+                      F.concat_ws("_", F.lit("f"), hashed, "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").alias("filename"), "l_returnflag")
+    files = files.groupBy("person", "day", "filename").agg(F.min("l_returnflag").alias("flag"))
+    old, new = files.filter("flag = 'A' AND person > 'P3'"), files.filter("NOT (flag = 'A' AND person > 'P3')")
+    return WF.admit_capped(new, old.drop("flag")).select("filename", "person", "day", "admitted", "reason")
 
 
 @query("admit_capped_day", """WITH f AS (SELECT DISTINCT 'c' || lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS person, strftime(o_orderdate, '%Y') AS day, 'f_' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS filename FROM orders),
