@@ -56,6 +56,11 @@ def vote_frames_by_count(spark, sf):
     return FR.vote_frames(view(spark, sf, "frames"), params=FrameVote(weighted=False))
 
 
+@query("person_frames", "SELECT video_id, person, frame_number, round(frame_time, 4) AS frame_time FROM frames WHERE recognized", ("frames",))
+def person_frames(spark, sf):
+    return FR.person_frames(view(spark, sf, "frames")).select("video_id", "person", "frame_number", F.round("frame_time", 4).alias("frame_time"))
+
+
 @query("dynamic_minimum", "WITH t AS (SELECT video_id, count(*) AS total_frames FROM frames GROUP BY 1) SELECT video_id, total_frames, greatest(5, least(15, CAST(floor(total_frames * CAST(0.03 AS DOUBLE)) AS BIGINT))) AS minimum FROM t", ("frames",))
 def dynamic_minimum(spark, sf):
     t = FR.frame_totals(view(spark, sf, "frames"), video="video_id")
