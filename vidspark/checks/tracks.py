@@ -21,6 +21,16 @@ def track(spark, sf):
     return T.track(view(spark, sf, "detections"), frame_step=1)
 
 
+@query("track_per_slot", """WITH o AS (SELECT *, CASE WHEN frame_number - lag(frame_number) OVER (PARTITION BY video_id, slot ORDER BY frame_number) <= 3 THEN 0 ELSE 1 END AS o FROM single_detections),
+    r AS (SELECT *, sum(o) OVER (PARTITION BY video_id, slot ORDER BY frame_number ROWS UNBOUNDED PRECEDING) AS run FROM o), t AS (SELECT video_id, slot, run, min(frame_number) AS f, arg_min(det_id, frame_number) AS d FROM r GROUP BY ALL),
+    n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY f, d) - 1 AS track_id FROM t)
+    SELECT video_id, frame_number, det_id, track_id FROM r JOIN n USING (video_id, slot, run)""", ("single_detections",))
+def track_per_slot(spark, sf):
+    """One detection per slot and frame, and slots that do not overlap: a track is then a run of frames
+    with at most two missing, which SQL can say too."""
+    return T.track(view(spark, sf, "single_detections"), frame_step=1)
+
+
 @query("track_lengths")
 def track_lengths(spark, sf):
     return T.track_lengths(T.track(view(spark, sf, "detections")))

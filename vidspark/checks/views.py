@@ -60,6 +60,10 @@ VIEWS = {
                CAST(slot * 120 + det_id % 11 AS DOUBLE) AS x1, CAST(slot * 30 + det_id % 7 AS DOUBLE) AS y1,
                CAST(slot * 120 + det_id % 11 + 100 AS DOUBLE) AS x2, CAST(slot * 30 + det_id % 7 + 100 AS DOUBLE) AS y2
         FROM (SELECT user_id AS video_id, event_id AS det_id, event_id AS vec_id, {EVENT_INDEX} AS slot, CAST(floor([HOURS] / 12) AS BIGINT) AS frame_number FROM events) d""",
+    "single_detections": f"""
+        SELECT video_id, frame_number, det_id, slot, CAST(slot * 120 + det_id % 11 AS DOUBLE) AS x1, CAST(slot * 30 + det_id % 7 AS DOUBLE) AS y1,
+               CAST(slot * 120 + det_id % 11 + 100 AS DOUBLE) AS x2, CAST(slot * 30 + det_id % 7 + 100 AS DOUBLE) AS y2
+        FROM (SELECT user_id AS video_id, CAST(floor([HOURS] / 12) AS BIGINT) AS frame_number, {EVENT_INDEX} AS slot, min(event_id) AS det_id FROM events GROUP BY 1, 2, 3) d""",
     "track_votes": f"""
         SELECT user_id AS video_id, CAST(floor([HOURS] / 48) * 5 AS BIGINT) + {EVENT_INDEX} AS track_id, event_id AS det_id, [HOURS] AS frame_number,
                CASE WHEN event_id % 4 = 3 THEN NULL WHEN event_id % 3 = 0 THEN 'ana' WHEN event_id % 11 = 1 THEN 'ivo' ELSE concat('p', CAST(user_id % 4 AS STRING)) END AS person,

@@ -15,7 +15,8 @@ from vidspark.operators.workflow import upsert
 
 def match_stream(probes: DataFrame, gallery: DataFrame, out: str, checkpoint: str, **knn) -> StreamingQuery:
     """Arriving probes against the gallery. Each batch writes its own folder, so that a repeated batch
-    replaces itself."""
+    replaces itself. The gallery is kept between batches."""
+    gallery = gallery.persist()
 
     def match(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # counted, then searched
