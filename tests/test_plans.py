@@ -62,6 +62,7 @@ def test_fuzzy_join_is_an_equi_join(spark):
     n = spark.createDataFrame([(i, f"name {i}") for i in range(50)], "person_id long, name string")
     text = plan(naming.similar_names(n))
     assert "NestedLoop" not in text and "Cartesian" not in text
+    assert text.count("ArrowEvalPython") == 1  # after the pairs are made distinct, and only there
 
 
 def test_valid_box_join_uses_the_grid(spark):

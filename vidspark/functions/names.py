@@ -54,7 +54,9 @@ def nfkd_ascii(c: Column) -> Column:
 
 def fold_latin(c: Column) -> Column:
     """Compatibility decomposition of Latin letters, staying in the JVM; other non-ASCII is kept."""
-    return F.translate(_replace_all(c, LATIN_LONG), LATIN_FROM, LATIN_TO)
+    ligature = "[" + "".join(k for k, _ in LATIN_LONG) + "]"
+    spelled = F.when(c.rlike(ligature), _replace_all(c, LATIN_LONG)).otherwise(c)  # rare: one look, not a replace each
+    return F.translate(spelled, LATIN_FROM, LATIN_TO)
 
 
 def to_ascii(c: Column, exact: bool = False) -> Column:
@@ -188,7 +190,8 @@ def block_ratio(a: Column, b: Column) -> Column:
     def ratios(s: pd.Series, t: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else one(x, y) for x, y in zip(s, t)], dtype="float64")
 
-    return F.pandas_udf(ratios, "double")(a, b)
+    # kept in place: a filter on the ratio must not move it below the de-duplication of its input
+    return F.pandas_udf(ratios, "double").asNondeterministic()(a, b)
 
 
 def looks_transcribed(name: Column) -> Column:

@@ -52,8 +52,9 @@ def candidate_pairs(left: DataFrame, right: DataFrame, *, ratio: float, keys: Se
     keys = list(keys)
 
     def joined(short: DataFrame, long: DataFrame, s: str, l: str) -> DataFrame:  # noqa: E741
-        a = _keys(short, ratio, True, keys).withColumnRenamed("form", s)
-        b = _keys(long, ratio, False, keys).withColumnRenamed("form", l)
+        # the forms are few bytes that unfold into many keys: spread them before they do
+        a = _keys(spread(short, "form"), ratio, True, keys).withColumnRenamed("form", s)
+        b = _keys(spread(long, "form"), ratio, False, keys).withColumnRenamed("form", l)
         met = a.join(b, [*keys, "_la", "_lb", "_seg", "_text"]).filter("l <> r")
         # unmatched characters on both sides bound the edit distance; checked before anything is shuffled
         surplus = f"CAST(_la + _lb - 2 * ceil({ratio} * (_la + _lb) / 2 - 1e-9) AS INT)"
