@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidspark.llm import quality_rules
+from vidspark.llm import content_sort, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,15 +38,15 @@ def _rules_sql() -> str:
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(quality_rules.STOP_WORDS))
 QUALITY_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
-wins AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), i -> struct_pack(i := i, g := w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s FROM d),
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+wins AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: struct_pack(i := i, g := w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s FROM d),
 again AS (SELECT doc_id, s.i AS i FROM wins QUALIFY count(*) OVER (PARTITION BY doc_id, s.g) > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + o) AS c FROM again, (SELECT unnest([0, 1, 2]) AS o) GROUP BY doc_id),
-m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c, 0)::BIGINT AS n_repeat_words, len(lines) AS nl,
-    len(list_filter(w, x -> lower(x) IN ({_STOPS}))) AS ns, len(list_filter(w, x -> regexp_matches(x, '\p{{L}}'))) AS nt,
-    len(list_filter(lines, x -> regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS nb, len(list_filter(lines, x -> regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS ne
+    len(list_filter(w, lambda x: lower(x) IN ({_STOPS}))) AS ns, len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS nt,
+    len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS nb, len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS ne
     FROM d LEFT JOIN cov ON cov.doc_id IS NOT DISTINCT FROM d.doc_id),
 r AS (SELECT *, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS word_length, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbol_ratio,
     CASE WHEN n_words > 0 THEN ns / n_words ELSE 0 END AS stop_ratio, CASE WHEN n_words > 0 THEN nt / n_words ELSE 0 END AS letter_ratio,
@@ -59,3 +59,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@register("op3_content_sort", r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+    doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM d""")
+def op3_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_sort.decisions(table(spark, sf_dir, "documents"))
