@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidspark.llm import content_sort, quality_rules, simhash
+from vidspark.llm import content_sort, mixing, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,25 @@ def op3_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_simhash")
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
+
+
+MIX_SQL = rf"""
+WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, coalesce(doc_id::VARCHAR, '') AS k FROM documents),
+z AS (SELECT *, floor(sqrt(size::DOUBLE) * 1024)::BIGINT AS r, (('0x' || md5(k)[1:13])::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM d),
+s1 AS (SELECT source, sum(size)::BIGINT AS ss, sum(r * size) AS moment, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT] AS w FROM z GROUP BY source),
+s2 AS (SELECT *, ss * 2.0::DOUBLE AS cap, (sum(ss) OVER () * 1.5::DOUBLE - coalesce(sum(ss * 2.0::DOUBLE) OVER (ORDER BY ss * 2.0::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY ss * 2.0::DOUBLE / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM s1),
+s3 AS (SELECT *, coalesce(least(cap, w * max(CASE WHEN lv < cap / w THEN lv END) OVER ()), cap) AS target FROM s2),
+s4 AS (SELECT *, CASE WHEN ss > 0 THEN floor(target / ss) ELSE 0 END::BIGINT AS c FROM s3),
+s5 AS (SELECT *, target - c * ss AS rest, moment::DOUBLE / nullif(ss, 0) AS mean FROM s4),
+q1 AS (SELECT z.*, s5.ss, s5.target, s5.c, s5.rest, least(0.999::DOUBLE, rest / ss * r::DOUBLE / mean) AS pi FROM z JOIN s5 ON z.source IS NOT DISTINCT FROM s5.source),
+q2 AS (SELECT *, CASE WHEN size > 0 AND rest > 0 THEN (u / (1 - u)) / (pi / (1 - pi)) END AS q FROM q1),
+q3 AS (SELECT *, q IS NOT NULL AND sum(CASE WHEN q IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q NULLS LAST, k, size) <= rest AS head FROM q2),
+q4 AS (SELECT *, rest - sum(CASE WHEN head THEN size ELSE 0 END) OVER (PARTITION BY source) AS l FROM q3),
+q5 AS (SELECT *, row_number() OVER (PARTITION BY source, NOT head AND q IS NOT NULL AND abs(l - size) < l ORDER BY abs(l - size), q, k, size) = 1 AND NOT head AND q IS NOT NULL AND abs(l - size) < l AS closing FROM q4)
+SELECT doc_id, size, ss AS source_size, target, CASE WHEN size > 0 THEN size * (c + (head OR closing)::BIGINT) ELSE 0 END::BIGINT AS taken FROM q5"""
+
+
+@register("op1_pareto_mix", MIX_SQL)
+def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0).drop("copies")
