@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,8 @@ def build_session(app: str = "vidspark", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # checkpoints go when nothing refers to them any more
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # one core per task: the matrix products must not start threads of their own
         "spark.executorEnv.OMP_NUM_THREADS": "1",
         "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",
@@ -29,10 +32,13 @@ def build_session(app: str = "vidspark", master: str | None = None, **conf: str)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a local one only where none is named (tests)."""
+    """The shared folder named by the cluster. Only a session on one machine may go without: it gets a
+    temporary folder, which the executors of a cluster could not read."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError(f"master {sc.master}: set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="vidspark-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
@@ -43,3 +49,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors, and fixes row placement."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Written as Parquet to the shared checkpoint folder and read again: for wide rows, which a
+    checkpoint would hold uncompressed."""
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
