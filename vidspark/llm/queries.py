@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidspark.llm import content_sort, mixing, quality_rules, simhash
+from vidspark.llm import content_sort, mixing, packing, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,15 @@ SELECT doc_id, size, ss AS source_size, target, CASE WHEN size > 0 THEN size * (
 @register("op1_pareto_mix", MIX_SQL)
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0).drop("copies")
+
+
+def word_tokenizer() -> str:
+    """The public vocabulary file the packing queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@register("op5_bin_completion")
+def op5_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), word_tokenizer(), capacity=4096, end=1)
