@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidspark.llm import content_sort, mixing, packing, quality_rules, simhash
+from vidspark.llm import content_sort, mixing, packing, quality_rules, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +106,15 @@ def word_tokenizer() -> str:
 @register("op5_bin_completion")
 def op5_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), word_tokenizer(), capacity=4096, end=1)
+
+
+@register("op6_de_bruijn", rf"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+hit AS (SELECT doc_id, i FROM p QUALIFY min(doc_id) OVER (PARTITION BY md5(g)) < doc_id),
+cov AS (SELECT doc_id, list(DISTINCT i + o) AS c FROM hit, (SELECT unnest(range(0, 50)) AS o) GROUP BY doc_id),
+k AS (SELECT d.doc_id, len(w) AS n, coalesce(len(c), 0) AS r, CASE WHEN c IS NULL THEN w ELSE list_transform(list_sort(list_filter(range(1, len(w) + 1), lambda x: NOT list_contains(c, x))), lambda x: w[x]) END AS kept
+    FROM d LEFT JOIN cov USING (doc_id))
+SELECT doc_id, n::BIGINT AS n_words, r::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""")
+def op6_de_bruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents"), window=50)
