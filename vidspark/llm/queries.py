@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidspark.llm import content_sort, mixing, packing, quality_rules, simhash, substrings
+from vidspark.llm import content_sort, mixing, packing, quality_rules, simhash, substrings, suffix_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +118,8 @@ k AS (SELECT d.doc_id, len(w) AS n, coalesce(len(c), 0) AS r, CASE WHEN c IS NUL
 SELECT doc_id, n::BIGINT AS n_words, r::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""")
 def op6_de_bruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(table(spark, sf_dir, "documents"), window=50)
+
+
+@register("op7_suffix_tree")
+def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.scored(table(spark, sf_dir, "documents"), folds=7, fold=2)
