@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidspark.llm import content_sort, language_id, mixing, packing, quality_rules, simhash, substrings, suffix_tree
+from vidspark.llm import content_sort, language_id, mixing, packing, personal_data, quality_rules, simhash, substrings, suffix_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,3 +128,8 @@ def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_word_backoff")
 def op4_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(table(spark, sf_dir, "documents"), folds=4, fold=2)
+
+
+@register("op2_bootstrapped_contexts")
+def op2_bootstrapped_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_spans(table(spark, sf_dir, "documents"))
