@@ -5,8 +5,8 @@ cut off is shared again by weight (solved at once: sources in order of size per
 A source with target T and size S gives every document floor(T / S) certain whole copies. The rest R is
 a sample of further copies: a document has inclusion odds pi / (1 - pi) with pi proportional to the
 square root of its size (expected words R), random odds U / (1 - U), and the rank q = random odds /
-inclusion odds; the sample is the head of that order, of fixed size R in words. One closing document,
-the unsampled one nearest in size to what is left, ends it.
+inclusion odds; the sample is the head of that order, of fixed size R in words. Up to `CLOSING` closing
+documents, each the unsampled one nearest in size to what is left (only the last may be larger), end it.
 
 The order is never sorted as a whole: words are summed per source and bucket of q, and only the one
 bucket in which a source's budget ends is ordered. The outcome is one small row per source; whether a
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from vidspark.llm.text import only, trimmed, word_count
 from vidspark.session import cut_lineage
 
-BUCKETS = 4096
+BUCKETS, CLOSING = 4096, 4
 #: Sources up to which their table is broadcast (a few hundred bytes each).
 BROADCAST_SOURCES = 20_000
 
@@ -75,7 +75,7 @@ def _with_source(rows: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
 
 
 def plan(rows: DataFrame, *, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> tuple[DataFrame, bool]:
-    """(one row per source: sizes, target, certain copies, where its sample ends, closing document;
+    """(one row per source: sizes, target, certain copies, where its sample ends, closing documents;
     whether that table may be broadcast). `rows`: doc_id, source, size, best read from a cut lineage."""
     sources = targets(rows, weights=weights, share=share, cap=cap)
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -93,13 +93,15 @@ def plan(rows: DataFrame, *, weights: Sequence[float] = (3, 1, 2), share: float
     inside = F.col("_before") + F.sum("size").over(W.partitionBy("source").orderBy("_q", "_key", "size"))
     cut = last.withColumn("_upto", inside).filter("_upto <= _rest").groupBy("source").agg(F.max("_at").alias("_cut"), F.max("_upto").alias("_taken"))
     ends = ends.join(cut.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    ends = cut_lineage(ends.withColumn("_taken", F.coalesce("_taken", "_before")))
-    left = F.abs(F.col("_rest") - F.col("_taken") - F.col("size"))
-    outside = _with_source(ranked, ends, small).filter(~_sampled()).withColumn("_left", left).filter(F.col("_left") < F.col("_rest") - F.col("_taken"))
-    closing = outside.groupBy("source").agg(F.min_by(F.struct("_key", "size"), F.struct("_left", "_at")).alias("_closing"))
-    whole = sources
-    for more in (ends.select("source", "_end", "_cut"), closing):
-        whole = whole.join(more.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    ends = cut_lineage(ends.withColumn("_taken", F.coalesce("_taken", "_before")).withColumn("_closing", F.array().cast(f"array<{ranked.select(F.struct('_key', 'size').alias('c')).schema['c'].dataType.simpleString()}>")))
+    for turn in range(CLOSING):
+        left = F.col("_rest") - F.col("_taken")
+        outside = _with_source(ranked, ends, small).filter(~_sampled() & ~F.array_contains("_closing", F.struct("_key", "size")))
+        outside = outside.withColumn("_left", F.abs(left - F.col("size"))).filter((F.col("_left") < left) & ((F.col("size") <= left) | F.lit(turn == CLOSING - 1)))
+        more = outside.groupBy(F.col("source").alias("_s")).agg(F.min_by(F.struct("_key", "size"), F.struct("_left", "_at")).alias("_more"))
+        ends = ends.join(more, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+        ends = cut_lineage(ends.withColumn("_taken", F.col("_taken") + F.coalesce("_more.size", F.lit(0))).withColumn("_closing", F.when(F.col("_more").isNotNull(), F.concat("_closing", F.array("_more"))).otherwise(F.col("_closing"))).drop("_more"))
+    whole = sources.join(ends.select(F.col("source").alias("_s"), "_end", "_cut", "_closing"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     return cut_lineage(whole), small
 
 
@@ -112,7 +114,7 @@ def with_copies(rows: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
     """`rows` (doc_id, source, size and any more) with source_size, target and copies."""
     out = _with_source(rows.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), sources, small).withColumn("_q", _odds())
     out = out.withColumn("_bucket", F.floor(F.col("_q") / (1 + F.col("_q")) * BUCKETS)).withColumn("_at", F.struct("_q", "_key", "size"))
-    extra = F.coalesce(F.col("_q").isNotNull() & (_sampled() | F.col("_closing").eqNullSafe(F.struct("_key", "size"))), F.lit(False))
+    extra = F.coalesce(F.col("_q").isNotNull() & (_sampled() | F.array_contains("_closing", F.struct("_key", "size"))), F.lit(False))
     return out.withColumn("copies", F.when(F.col("size") > 0, F.col("_copies") + extra.cast("long")).otherwise(F.lit(0).cast("long"))).select(*rows.columns, "source_size", "target", "copies")
 
 

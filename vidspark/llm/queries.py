@@ -74,6 +74,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def _closing_sql() -> str:
+    """Each round takes the document nearest in size to what is left; only the last may exceed it."""
+    fit = lambda k: "NOT head AND q IS NOT NULL AND " + ("abs(l - size) < l" if k == 4 + mixing.CLOSING else "abs(l - size) < l AND size <= l")
+    return ",\n".join(
+        f"q{k} AS (SELECT * REPLACE (head OR chosen AS head, l - coalesce(sum(CASE WHEN chosen THEN size END) OVER (PARTITION BY source), 0) AS l) FROM (SELECT * EXCLUDE (chosen), {fit(k)} AND row_number() OVER (PARTITION BY source, {fit(k)} ORDER BY abs(l - size), q, k, size) = 1 AS chosen FROM q{k - 1}))"
+        for k in range(5, 5 + mixing.CLOSING)
+    )
+
+
 MIX_SQL = rf"""
 WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, coalesce(doc_id::VARCHAR, '') AS k FROM documents),
 z AS (SELECT *, floor(sqrt(size::DOUBLE) * 1024)::BIGINT AS r, (('0x' || md5(k)[1:13])::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM d),
@@ -86,9 +95,9 @@ s5 AS (SELECT *, target - c * ss AS rest, moment::DOUBLE / nullif(ss, 0) AS mean
 q1 AS (SELECT z.*, s5.ss, s5.target, s5.c, s5.rest, least(0.999::DOUBLE, rest / ss * r::DOUBLE / mean) AS pi FROM z JOIN s5 ON z.source IS NOT DISTINCT FROM s5.source),
 q2 AS (SELECT *, CASE WHEN size > 0 AND rest > 0 THEN (u / (1 - u)) / (pi / (1 - pi)) END AS q FROM q1),
 q3 AS (SELECT *, q IS NOT NULL AND sum(CASE WHEN q IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q NULLS LAST, k, size) <= rest AS head FROM q2),
-q4 AS (SELECT *, rest - sum(CASE WHEN head THEN size ELSE 0 END) OVER (PARTITION BY source) AS l FROM q3),
-q5 AS (SELECT *, row_number() OVER (PARTITION BY source, NOT head AND q IS NOT NULL AND abs(l - size) < l ORDER BY abs(l - size), q, k, size) = 1 AND NOT head AND q IS NOT NULL AND abs(l - size) < l AS closing FROM q4)
-SELECT doc_id, size, ss AS source_size, target, CASE WHEN size > 0 THEN size * (c + (head OR closing)::BIGINT) ELSE 0 END::BIGINT AS taken FROM q5"""
+q4 AS (SELECT *, rest - sum(CASE WHEN head THEN size ELSE 0 END) OVER (PARTITION BY source) AS l, false AS chosen FROM q3),
+{_closing_sql()}
+SELECT doc_id, size, ss AS source_size, target, CASE WHEN size > 0 THEN size * (c + head::BIGINT) ELSE 0 END::BIGINT AS taken FROM q{4 + mixing.CLOSING}"""
 
 
 @register("op1_pareto_mix", MIX_SQL)
