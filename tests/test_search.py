@@ -126,18 +126,30 @@ def test_validation(spark, data, plan):
         assert got[i].first_passing_ref == (ok[0] if ok else None) and got[i].accepted == bool(ok)
 
 
-def test_sql_functions_and_table_function(spark, sf):
-    from vidspark.functions.sql import register_functions, register_knn
+def test_sql_functions(spark, sf):
+    from vidspark.functions.sql import register_functions
 
     register_functions(spark)
-    e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    e.createOrReplaceTempView("emb")
+    spark.read.parquet(f"{sf}/embeddings.parquet").createOrReplaceTempView("emb")
     r = spark.sql("SELECT cosine_distance(a.embedding, a.embedding) AS d, iou(0, 0, 100, 100, 50, 0, 150, 100) AS o, safe_name('Đorđe Čolić-Žan!') AS s FROM emb a LIMIT 1").first()
     assert r.d == pytest.approx(0, abs=1e-12) and r.o == pytest.approx(1 / 3) and r.s == "Djordje_Colic-Zan"
-    register_knn(spark, e)
-    e.select(F.col("vec_id").alias("probe_id"), "embedding").createOrReplaceTempView("probes_t")
-    got = spark.sql("SELECT * FROM knn(TABLE(probes_t) PARTITION BY (probe_id), 3, 0.9D)")
-    want = search.knn_join(e.withColumnRenamed("vec_id", "probe_id").withColumn("domain", F.lit("a")), e.withColumn("domain", F.lit("a")), k=3, threshold=0.9, carry=())
-    assert {(r.probe_id, r["rank"], r.vec_id) for r in got.collect()} == {(r.probe_id, r["rank"], r.vec_id) for r in want.collect()}
-    with pytest.raises(ValueError):
-        register_knn(spark, e, max_bytes=10)
+
+
+def test_default_cells_and_their_bound(spark, sf):
+    """The default number of cells works for a small gallery; too many are refused, not cut."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").withColumn("domain", F.lit("a"))
+    p = e.withColumnRenamed("vec_id", "probe_id").select("probe_id", "domain", "embedding")
+    few = search.knn_join(p.limit(5), e, k=1, threshold=0.5, method="ivf", carry=())
+    assert few.count() == 5
+    for method in ("exact", "ivf"):
+        with pytest.raises(ValueError):
+            search.knn_join(p, e, k=1, method=method, cells=search.MAX_CELLS + 1, carry=()).count()
+    assert search.knn_join(p, e.limit(0), k=1, carry=()).count() == 0
+
+
+def test_ivf_means_the_same_in_small_parts(spark, sf):
+    """A part of one block is searched in its nearest cells only, like any other."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").withColumn("domain", F.lit("a"))
+    p = e.withColumnRenamed("vec_id", "probe_id").select("probe_id", "domain", "embedding")
+    runs = [search.knn_join(p, e, k=20, threshold=2.0, method="ivf", cells=16, nprobe=1, block_rows=rows, carry=()).count() for rows in (64, 100_000)]
+    assert runs[0] == runs[1] < search.knn_join(p, e, k=20, threshold=2.0, carry=()).count()

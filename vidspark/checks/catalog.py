@@ -90,11 +90,11 @@ def images_containing_name(spark, sf):
     return C.images_of_person(f.filter("storage = 'local'"), f.filter("storage = 'remote'"), strict_reference="src1")
 
 
-@query("reconcile", """WITH f AS (SELECT DISTINCT 'd' || l_suppkey % 3 AS domain, 'f' || l_partkey AS filename FROM lineitem WHERE l_returnflag = 'A' AND l_discount > 0.04), v AS (SELECT 'd' || l_suppkey % 3 AS domain, 'f' || l_partkey AS filename, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_tax > 0.05 GROUP BY ALL)
+@query("reconcile", """WITH f AS (SELECT DISTINCT 'd' || l_suppkey % 3 AS domain, 'f' || l_partkey AS filename FROM lineitem WHERE l_returnflag = 'A'), v AS (SELECT 'd' || l_suppkey % 3 AS domain, 'f' || l_partkey AS filename, count(*) AS n FROM lineitem WHERE l_returnflag <> 'A' GROUP BY ALL)
     SELECT domain, count(f.filename) AS files, CAST(coalesce(sum(n), 0) AS BIGINT) AS vectors, count(*) FILTER (f.filename IS NOT NULL AND n IS NOT NULL) AS files_with_vector, count(*) FILTER (n IS NULL) AS files_without_vector, count(*) FILTER (f.filename IS NULL) AS orphan_vectors FROM f FULL OUTER JOIN v USING (domain, filename) GROUP BY domain""")
 def reconcile(spark, sf):
     li = table(spark, sf, "lineitem").select(F.concat(F.lit("d"), F.col("l_suppkey") % 3).alias("domain"), F.concat(F.lit("f"), "l_partkey").alias("filename"), "l_returnflag", "l_discount", "l_tax")
-    return C.reconcile(li.filter("l_returnflag = 'A' AND l_discount > 0.04"), li.filter("l_returnflag = 'R' AND l_tax > 0.05"))
+    return C.reconcile(li.filter("l_returnflag = 'A'"), li.filter("l_returnflag <> 'A'"))
 
 
 @query("batch_numbers", "SELECT domain, filename, printf('batch_%04d', CAST(floor((row_number() OVER (PARTITION BY domain ORDER BY filename) - 1) / 150) AS BIGINT) + 1) AS batch FROM catalog_files", ("catalog_files",))
@@ -121,6 +121,6 @@ def token_cost(spark, sf):
     return C.token_cost(view(spark, sf, "token_usage"), prices=[("model-a", 0.4, 1.6), ("model-b", 2.0, 8.0), ("model-c", 0.1, 0.4)])
 
 
-@query("duplicate_ids", "SELECT l_partkey AS key, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1 HAVING count(*) > 1")
+@query("duplicate_ids", "SELECT l_partkey AS key, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1")
 def duplicate_ids(spark, sf):
-    return C.duplicate_ids(table(spark, sf, "lineitem").filter("l_returnflag = 'A'").withColumnRenamed("l_partkey", "key"), key="key")
+    return C.duplicate_ids(table(spark, sf, "lineitem").withColumnRenamed("l_partkey", "key"), key="key")

@@ -88,14 +88,14 @@ def sampled_frames(spark, sf):
     return s.select("video_id", "event_id", "frame_number", F.round("timestamp", 6).alias("timestamp"))
 
 
-@query("correlate_sources", """WITH conf AS (SELECT DISTINCT o_custkey % 50 AS video_id, 'Ana_P' || (o_custkey % 7) AS person FROM orders WHERE o_orderstatus = 'F'),
+@query("correlate_sources", """WITH conf AS (SELECT DISTINCT o_custkey % 50 AS video_id, 'Ana_P' || (o_custkey % 7) AS person FROM orders),
     lists AS (SELECT o_custkey % 50 AS video_id, ['ana p' || (o_custkey % 11)] AS a, CASE WHEN o_orderstatus = 'O' THEN ['Ana P' || (o_custkey % 3), 'Iva K'] END AS b FROM orders),
     n AS (SELECT video_id, lower(trim(replace(unnest(list_concat(coalesce(a, []), coalesce(b, []))), '_', ' '))) AS name FROM lists), r AS (SELECT video_id, name, count(*) AS mentions FROM n GROUP BY ALL)
     SELECT video_id, name, person, mentions, CASE WHEN person IS NULL THEN 'analysis' WHEN mentions IS NULL THEN 'vectors' ELSE 'both' END AS found_in FROM (SELECT *, lower(replace(person, '_', ' ')) AS name FROM conf) c FULL OUTER JOIN r USING (video_id, name)""")
 def correlate_sources(spark, sf):
     o = table(spark, sf, "orders")
     vid = (F.col("o_custkey") % 50).alias("video_id")
-    conf = o.filter("o_orderstatus = 'F'").select(vid, F.concat(F.lit("Ana_P"), F.col("o_custkey") % 7).alias("person")).distinct()
+    conf = o.select(vid, F.concat(F.lit("Ana_P"), F.col("o_custkey") % 7).alias("person")).distinct()
     lists = o.select(vid, F.array(F.concat(F.lit("ana p"), F.col("o_custkey") % 11)).alias("speakers"),
                      F.when(F.col("o_orderstatus") == "O", F.array(F.concat(F.lit("Ana P"), F.col("o_custkey") % 3), F.lit("Iva K"))).alias("people"))
     return FR.correlate_sources(conf, lists, video="video_id", fields=["speakers", "people"])

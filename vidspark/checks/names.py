@@ -171,17 +171,17 @@ def merge_candidates(spark, sf):
     return naming.in_report_order(naming.merge_candidates(people))
 
 
-@query("linked_groups", """WITH RECURSIVE e AS (SELECT c_custkey AS a, abs(c_custkey - c_nationkey) AS b FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e),
+@query("linked_groups", """WITH RECURSIVE e AS (SELECT c_custkey AS a, abs(c_custkey - c_nationkey) AS b FROM customer), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e),
     r(id, root) AS (SELECT a, a FROM u UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.root WHERE u.b < r.root OR true) SELECT id, min(root) AS root FROM r GROUP BY id""")
 def linked_groups(spark, sf):
-    c = table(spark, sf, "customer").filter("c_mktsegment IN ('BUILDING', 'MACHINERY')")
+    c = table(spark, sf, "customer")
     return connected_groups(c.select(F.col("c_custkey").alias("a"), F.abs(F.col("c_custkey") - F.col("c_nationkey")).alias("b")), a="a", b="b")
 
 
-@query("resolved_merges", """WITH RECURSIVE d AS (SELECT c_custkey AS s, CAST(floor(c_custkey / 3) AS BIGINT) AS t FROM customer WHERE c_acctbal < 5000 AND c_custkey <> floor(c_custkey / 3)),
+@query("resolved_merges", """WITH RECURSIVE d AS (SELECT c_custkey AS s, CAST(floor(c_custkey / 3) AS BIGINT) AS t FROM customer WHERE c_custkey <> floor(c_custkey / 3)),
     r AS (SELECT s, t, 1 AS n FROM d UNION ALL SELECT r.s, d.t, n + 1 FROM r JOIN d ON r.t = d.s) SELECT s AS source_id, arg_max(t, n) AS target_id FROM r GROUP BY s""")
 def resolved_merges(spark, sf):
-    d = table(spark, sf, "customer").filter("c_acctbal < 5000").select(F.col("c_custkey").alias("source_id"), F.floor(F.col("c_custkey") / 3).alias("target_id")).filter("source_id <> target_id")
+    d = table(spark, sf, "customer").select(F.col("c_custkey").alias("source_id"), F.floor(F.col("c_custkey") / 3).alias("target_id")).filter("source_id <> target_id")
     return resolve_merges(d)
 
 
@@ -205,15 +205,13 @@ def relevance_scores(spark, sf):
 
 
 @query("geo_and_bytes", """SELECT o_orderkey, round((o_custkey % 90 + (o_orderkey % 60) / 60.0e0 + (o_orderkey % 3600 / 60.0e0) / 3600.0e0) * CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END, 8) + 0.0 AS decimal_degrees,
-    CASE WHEN b < 1024 THEN printf('%.2f B', b) WHEN b < 1048576 THEN printf('%.2f KB', b / 1024) WHEN b < 1073741824 THEN printf('%.2f MB', b / 1048576) WHEN b < 1099511627776 THEN printf('%.2f GB', b / 1073741824) ELSE printf('%.2f TB', b / 1099511627776) END AS bytes,
-    CAST(o_custkey * 2 AS DOUBLE) AS sequential, round(greatest(2.0e0, o_custkey * 2 / 3.0e0), 6) AS parallel FROM (SELECT *, CAST(CAST(floor(o_totalprice) AS BIGINT) * CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 1000000 ELSE 100000000 END AS DOUBLE) AS b FROM orders) x""")
+    CASE WHEN b < 1024 THEN printf('%.2f B', b) WHEN b < 1048576 THEN printf('%.2f KB', b / 1024) WHEN b < 1073741824 THEN printf('%.2f MB', b / 1048576) WHEN b < 1099511627776 THEN printf('%.2f GB', b / 1073741824) ELSE printf('%.2f TB', b / 1099511627776) END AS bytes FROM (SELECT *, CAST(CAST(floor(o_totalprice) AS BIGINT) * CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 1000000 ELSE 100000000 END AS DOUBLE) AS b FROM orders) x""")
 def geo_and_bytes(spark, sf):
     o = table(spark, sf, "orders")
     k = F.col("o_orderkey")
     dms = F.array((F.col("o_custkey") % 90).cast("double"), (k % 60).cast("double"), k % 3600 / 60.0)
     size = F.floor("o_totalprice") * F.when(k % 4 == 0, 1).when(k % 4 == 1, 1000).when(k % 4 == 2, 1000000).otherwise(100000000)
-    est = S.search_estimate(F.col("o_custkey"))
-    return o.select("o_orderkey", (F.round(S.dms_to_decimal(dms, F.when(k % 2 == 0, "N").otherwise("S")), 8) + 0.0).alias("decimal_degrees"), S.human_bytes(size).alias("bytes"), est["sequential"].alias("sequential"), F.round(est["parallel"], 6).alias("parallel"))
+    return o.select("o_orderkey", (F.round(S.dms_to_decimal(dms, F.when(k % 2 == 0, "N").otherwise("S")), 8) + 0.0).alias("decimal_degrees"), S.human_bytes(size).alias("bytes"))
 
 
 @query("video_ids", """SELECT event_id, substr(md5(CAST(event_id AS VARCHAR)), 1, 12) AS video_id FROM events""")

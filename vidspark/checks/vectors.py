@@ -17,8 +17,8 @@ PAIRS = f"""pairs AS (SELECT p.probe_id, p.image_id, g.vec_id, g.person_id, p.do
 
 @query("knn_exact", f"""WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY d, vec_id) AS rank FROM pairs WHERE d < 0.85)
     SELECT r.probe_id, r.rank, r.vec_id, n.name AS person, round(r.d, 6) + 0.0 AS distance FROM r JOIN persons n ON n.person_id = r.person_id WHERE rank <= 5""", ("persons", "gallery", "probes"))
-def knn_exact(spark, sf):
-    hits = search.knn_join(view(spark, sf, "probes"), view(spark, sf, "gallery"), k=5, threshold=0.85)
+def knn_exact(spark, sf, **options):
+    hits = search.knn_join(view(spark, sf, "probes"), view(spark, sf, "gallery"), k=5, threshold=0.85, **options)
     named = hits.join(view(spark, sf, "persons").select("person_id", F.col("name").alias("person")), "person_id")
     return named.select("probe_id", F.col("rank").cast("long").alias("rank"), "vec_id", "person", rounded("distance", 6).alias("distance"))
 
@@ -38,9 +38,9 @@ def knn_ivf(spark, sf):
 
 @query("knn_ivf_all_cells", f"""WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY d, vec_id) AS rank FROM pairs WHERE d < 0.85)
     SELECT probe_id, rank, vec_id, person_id, round(d, 6) + 0.0 AS distance FROM r WHERE rank <= 5""", ("gallery", "probes"))
-def knn_ivf_all_cells(spark, sf):
+def knn_ivf_all_cells(spark, sf, cells=8, nprobe=8, block_rows=64):
     """The approximate join with every cell visited is exact."""
-    hits = search.knn_join(view(spark, sf, "probes"), view(spark, sf, "gallery"), k=5, threshold=0.85, method="ivf", cells=8, nprobe=8, block_rows=64)
+    hits = search.knn_join(view(spark, sf, "probes"), view(spark, sf, "gallery"), k=5, threshold=0.85, method="ivf", cells=cells, nprobe=nprobe, block_rows=block_rows)
     return hits.select("probe_id", F.col("rank").cast("long").alias("rank"), "vec_id", "person_id", rounded("distance", 6).alias("distance"))
 
 
@@ -56,9 +56,9 @@ def top_by_distance(spark, sf):
 @query("pair_distances", f"""WITH pairs AS (SELECT a.label AS grp, a.vec_id, b.vec_id AS other, {RAW.format(a='a.embedding', b='b.embedding')} AS d FROM embeddings a JOIN embeddings b ON a.label = b.label)
     SELECT CAST(grp AS BIGINT) AS grp, vec_id, count(*) AS neighbours, round(min(d) FILTER (other <> vec_id), 6) AS min_distance, round(avg(d) FILTER (other <> vec_id), 6) AS mean_distance
     FROM pairs WHERE d < 0.9 GROUP BY ALL""")
-def pair_distances(spark, sf):
+def pair_distances(spark, sf, **options):
     v = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("long").alias("grp"), "embedding")
-    s = search.neighbour_stats(v, group="grp", threshold=0.9)
+    s = search.neighbour_stats(v, group="grp", threshold=0.9, **options)
     return s.select("grp", "vec_id", "neighbours", F.round("min_distance", 6).alias("min_distance"), F.round("mean_distance", 6).alias("mean_distance"))
 
 
@@ -66,8 +66,8 @@ def pair_distances(spark, sf):
     c AS (SELECT grp, id, count(*) AS n FROM pairs WHERE d < 0.02 GROUP BY ALL),
     best AS (SELECT grp, id, n FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n DESC, id) AS rn FROM c) x WHERE rn = 1 AND n >= 4)
     SELECT p.grp, p.other AS copy_id, b.id AS centre_id, b.n AS cluster_size, round(p.d, 6) + 0.0 AS distance FROM best b JOIN pairs p ON p.grp = b.grp AND p.id = b.id WHERE p.d < 0.02""", ("copies",))
-def consensus(spark, sf):
-    c = search.consensus(view(spark, sf, "copies"), group="grp", id="copy_id", threshold=0.02, min_size=4)
+def consensus(spark, sf, **options):
+    c = search.consensus(view(spark, sf, "copies"), group="grp", id="copy_id", threshold=0.02, min_size=4, **options)
     return c.select("grp", "copy_id", "centre_id", "cluster_size", rounded("distance", 6).alias("distance"))
 
 
@@ -84,11 +84,11 @@ def consensus_by_label(spark, sf):
 @query("validate_references", f"""WITH v AS (SELECT CAST(label AS BIGINT) AS person_id, vec_id, embedding FROM embeddings),
     pairs AS (SELECT c.copy_id, c.grp, r.vec_id, {RAW.format(a='c.embedding', b='r.embedding')} AS d FROM copies c JOIN v o ON o.vec_id = c.grp JOIN v r ON r.person_id = o.person_id)
     SELECT copy_id, grp, round(min(d), 6) + 0.0 AS min_distance, arg_min(vec_id, d) AS best_ref, min(vec_id) FILTER (d < 0.8) AS first_passing_ref, coalesce(bool_or(d < 0.8), false) AS accepted FROM pairs GROUP BY copy_id, grp""", ("copies",))
-def validate_references(spark, sf):
+def validate_references(spark, sf, **options):
     v = table(spark, sf, "embeddings")
     refs = v.select(F.col("label").alias("person_id"), F.col("vec_id").alias("ref_idx"), "embedding")
     cands = view(spark, sf, "copies").join(v.select(F.col("vec_id").alias("grp"), F.col("label").alias("person_id")), "grp")
-    out = search.validate_against(cands, refs, on="person_id", id="copy_id", threshold=0.8)
+    out = search.validate_against(cands, refs, on="person_id", id="copy_id", threshold=0.8, **options)
     return out.select("copy_id", "grp", rounded("min_distance", 6).alias("min_distance"), "best_ref", "first_passing_ref", "accepted")
 
 
@@ -123,19 +123,46 @@ def sql_functions(spark, sf):
         round(iou(0D, 0D, 100D, 100D, a.vec_id % 150, 0D, a.vec_id % 150 + 100, 100D), 6) AS overlap FROM {e} a JOIN {e} b ON b.vec_id = a.vec_id + 1""", e=e)
 
 
-@query("knn_table_function", f"""WITH p AS (SELECT a.vec_id AS probe_id, b.vec_id, {RAW.format(a='a.embedding', b='b.embedding')} AS d FROM embeddings a, embeddings b), r AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY d, vec_id) AS rank FROM p)
-    SELECT probe_id, rank, vec_id, round(d, 6) + 0.0 AS distance FROM r WHERE rank <= 3 AND d < 0.9""")
-def knn_table_function(spark, sf):
-    from vidspark.functions.sql import register_knn
+def ragged(df, key):
+    """Some vectors missing, some of another length."""
+    k = F.col(key)
+    return df.withColumn("embedding", F.when(k % 9 == 4, F.lit(None)).when(k % 11 == 3, F.slice("embedding", 1, 10)).otherwise(F.col("embedding")))
 
-    e = table(spark, sf, "embeddings")
-    register_knn(spark, e)
-    hits = spark.sql("SELECT * FROM knn(TABLE(SELECT vec_id AS probe_id, embedding FROM {e}) PARTITION BY (probe_id), 3, 0.9D)", e=e)
+
+@query("knn_ragged", f"""WITH {PAIRS}, ok AS (SELECT * FROM pairs WHERE NOT (probe_id % 9 = 4 OR probe_id % 11 = 3 OR vec_id % 9 = 4 OR vec_id % 11 = 3) AND d < 0.85), r AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY d, vec_id) AS rank FROM ok)
+    SELECT probe_id, rank, vec_id, round(d, 6) + 0.0 AS distance FROM r WHERE rank <= 5""", ("gallery", "probes"))
+def knn_ragged(spark, sf):
+    """Rows without a vector, or with one of another length, are left out on both sides."""
+    hits = search.knn_join(ragged(view(spark, sf, "probes"), "probe_id"), ragged(view(spark, sf, "gallery"), "vec_id"), k=5, threshold=0.85, carry=())
     return hits.select("probe_id", F.col("rank").cast("long").alias("rank"), "vec_id", rounded("distance", 6).alias("distance"))
 
 
+@query("vectors_set_aside", """SELECT vec_id, CASE WHEN vec_id % 9 = 4 THEN 'no_vector' ELSE 'wrong_dimension' END AS reject_reason FROM embeddings WHERE vec_id % 9 = 4 OR vec_id % 11 = 3""")
+def vectors_set_aside(spark, sf):
+    from vidspark.sources.tables import split_valid
+
+    return split_valid(ragged(table(spark, sf, "embeddings"), "vec_id"), dim=64, keys=("vec_id",))[1].select("vec_id", "reject_reason")
+
+
 @query("valid_vectors", "SELECT CAST(label AS BIGINT) AS label, count(*) AS n, count(*) FILTER (len(embedding) = 64) AS valid_64, count(*) FILTER (len(embedding) = 512) AS valid_512 FROM embeddings GROUP BY ALL")
 def valid_vectors(spark, sf):
     return table(spark, sf, "embeddings").groupBy(F.col("label").cast("long").alias("label")).agg(
         F.count("*").alias("n"), F.count_if(V.valid_vector(F.col("embedding"), 64)).alias("valid_64"),
         F.count_if(V.valid_vector(F.col("embedding"), 512)).alias("valid_512"))
+
+
+BLOCKS = {"broadcast_bytes": 0, "block_rows": 64}
+
+
+def in_blocks(name, run):
+    """The same query with the block path forced, against the same SQL."""
+    from vidspark.checks.registry import ORACLES
+
+    query(f"{name}_in_blocks", ORACLES[name])(run)
+
+
+in_blocks("knn_exact", lambda spark, sf: knn_exact(spark, sf, cells=8, **BLOCKS))
+in_blocks("pair_distances", lambda spark, sf: pair_distances(spark, sf, cells=4, **BLOCKS))
+in_blocks("consensus", lambda spark, sf: consensus(spark, sf, **BLOCKS))
+in_blocks("validate_references", lambda spark, sf: validate_references(spark, sf, **BLOCKS))
+in_blocks("knn_ivf_all_cells", lambda spark, sf: knn_ivf_all_cells(spark, sf, cells=None, nprobe=search.MAX_CELLS, block_rows=None))

@@ -164,12 +164,12 @@ def stop_at_target(spark, sf):
     return WF.stop_at_target(seq, group="l_suppkey", seq="seq", accepted="ok", already=5).select("l_suppkey", "seq", "ok", "accepted_so_far")
 
 
-@query("upsert_coalesce", """WITH s AS (SELECT c_custkey AS k, c_name AS name, c_mktsegment AS seg, CAST(NULL AS VARCHAR) AS note FROM customer WHERE c_acctbal < 6000),
+@query("upsert_coalesce", """WITH s AS (SELECT c_custkey AS k, c_name AS name, c_mktsegment AS seg, CAST(NULL AS VARCHAR) AS note FROM customer),
     c AS (SELECT o_custkey AS k, arg_max(name, seq) FILTER (name IS NOT NULL) AS name, arg_max(seg, seq) FILTER (seg IS NOT NULL) AS seg, arg_max(note, seq) FILTER (note IS NOT NULL) AS note
         FROM (SELECT o_custkey, o_orderkey AS seq, CASE WHEN o_orderkey % 5 = 0 THEN 'n' || o_orderkey END AS name, CASE WHEN o_orderstatus = 'P' THEN o_orderpriority END AS seg, CASE WHEN o_orderkey % 3 = 1 THEN o_orderstatus END AS note FROM orders) x GROUP BY 1)
     SELECT k, coalesce(c.name, s.name) AS name, coalesce(c.seg, s.seg) AS seg, coalesce(c.note, s.note) AS note FROM s FULL OUTER JOIN c USING (k)""")
 def upsert_coalesce(spark, sf):
-    s = table(spark, sf, "customer").filter("c_acctbal < 6000").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("seg"), F.lit(None).cast("string").alias("note"))
+    s = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("seg"), F.lit(None).cast("string").alias("note"))
     o = F.col("o_orderkey")
     c = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), o.alias("seq"), F.when(o % 5 == 0, F.concat(F.lit("n"), o)).alias("name"), F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority")).alias("seg"), F.when(o % 3 == 1, F.col("o_orderstatus")).alias("note"))
     return WF.upsert(s, c, keys=["k"], order="seq")
@@ -255,10 +255,10 @@ def retention(spark, sf):
     return WF.retain(e, day="day", as_of="2024-01-31", size="bytes")[1]
 
 
-@query("new_images", "SELECT DISTINCT filename FROM (SELECT 'f' || l_partkey || '_' || l_suppkey AS filename FROM lineitem WHERE l_returnflag = 'N' EXCEPT SELECT 'f' || l_partkey || '_' || l_suppkey FROM lineitem WHERE l_returnflag = 'A') x")
+@query("new_images", "SELECT DISTINCT filename FROM (SELECT 'f' || l_partkey || '_' || l_suppkey AS filename FROM lineitem WHERE l_returnflag = 'N' EXCEPT SELECT 'f' || l_partkey || '_' || l_suppkey FROM lineitem WHERE l_returnflag <> 'N') x")
 def new_images(spark, sf):
     li = table(spark, sf, "lineitem").select("l_returnflag", F.concat(F.lit("f"), F.col("l_partkey"), F.lit("_"), F.col("l_suppkey")).alias("filename"))
-    return li.filter("l_returnflag = 'N'").select("filename").subtract(li.filter("l_returnflag = 'A'").select("filename"))
+    return li.filter("l_returnflag = 'N'").select("filename").subtract(li.filter("l_returnflag <> 'N'").select("filename"))
 
 
 @query("gallery_load", "SELECT vec_id, 'person_' || person_id AS person FROM gallery WHERE domain = 'north' AND len(embedding) > 0", ("gallery",))

@@ -24,12 +24,6 @@ def human_bytes(n: Column) -> Column:
     return out.otherwise(F.format_string("%.2f TB", F.bround(size / 1024.0**4, 2)))
 
 
-def search_estimate(shards: Column, threads: int = 3) -> Column:
-    """struct<sequential, parallel> seconds to search that many shards."""
-    seconds = shards * 2
-    return F.struct(seconds.cast("double").alias("sequential"), F.greatest(F.lit(2.0), seconds / F.lit(threads)).alias("parallel"))
-
-
 def parse_date(text: Column) -> Column:
     """First layout that parses; null (never the clock) where none does."""
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATE_LAYOUTS])

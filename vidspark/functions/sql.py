@@ -1,9 +1,8 @@
-"""SQL registration: session functions without Python workers, and a k-NN table function."""
+"""SQL registration: session functions without Python workers."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 from vidspark.functions.names import LATIN_FROM, LATIN_LONG, LATIN_TO, SPELLED_OUT
 
@@ -33,28 +32,3 @@ def register_functions(spark: SparkSession) -> None:
         "CREATE OR REPLACE TEMPORARY FUNCTION safe_name(s STRING) RETURNS STRING "
         f"RETURN regexp_replace(translate({folded}, ' ', '_'), '[^A-Za-z0-9_-]', '')"
     )
-
-
-def register_knn(spark: SparkSession, gallery: DataFrame, *, name: str = "knn", max_bytes: int = 64 << 20) -> None:
-    """Python table function `knn(TABLE(probes), k, threshold)` over a gallery that fits the checked
-    byte bound; larger galleries go through `knn_join`."""
-    import numpy as np
-    from pyspark.sql.functions import udtf
-
-    dim = gallery.select(F.max(F.size("embedding")).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    if (dim["d"] or 0) * dim["n"] * 8 > max_bytes:
-        raise ValueError("gallery exceeds the bound of the table function; use knn_join")
-    rows = gallery.select("vec_id", "embedding").orderBy("vec_id").collect()
-    ids = np.array([r[0] for r in rows])
-    units = np.array([r[1] for r in rows], dtype=float)
-    units /= np.maximum(np.linalg.norm(units, axis=1, keepdims=True), 1e-300)
-
-    class Knn:
-        def eval(self, row, k: int, threshold: float):
-            v = np.asarray(row["embedding"], dtype=float)
-            d = np.round(1.0 - units @ (v / max(np.linalg.norm(v), 1e-300)), 12)
-            for rank, i in enumerate(np.argsort(d, kind="stable")[:k], start=1):
-                if d[i] < threshold:
-                    yield row["probe_id"], rank, int(ids[i]), float(d[i])
-
-    spark.udtf.register(name, udtf(Knn, returnType="probe_id long, rank int, vec_id long, distance double"))

@@ -4,7 +4,9 @@ A gallery whose size is checked to be below `broadcast_bytes` is broadcast, and
 without a shuffle. Beyond that all of them share one plan. Gallery rows go to the cell of their nearest pivot; probes go to every
 cell that can still hold a match (exact) or to the `nprobe` nearest cells (approximate). On unit
 vectors the squared euclidean distance is twice the cosine distance, so the triangle inequality on
-pivots rules cells out without losing a pair. Cells larger than a block are split by salt on
+pivots rules cells out without losing a pair. Rows whose vector is missing, or of another length than
+the gallery's, are left out on both sides (`sources.tables.split_valid` lists them). Cells larger than a
+block are split by salt on
 both sides, which bounds every task whatever the key distribution, and each block pair is one numpy
 product that returns only the reduced rows, never all pairs.
 """
@@ -39,9 +41,9 @@ Kernel = Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame]
 
 
 def choose_pivots(gallery: DataFrame, *, id: str, n: int) -> np.ndarray:
-    """`n` (at most MAX_CELLS) gallery vectors in hash order: a bounded, repeatable choice that only
-    steers routing, never the result."""
-    n = max(1, min(n, MAX_CELLS))
+    """`n` gallery vectors in hash order: a bounded, repeatable choice that only steers routing, never
+    the result."""
+    n = _bounded(n)
     if n == 1:
         return np.zeros((0, 0))
     rows = gallery.orderBy(F.xxhash64(id), id).limit(n).select("embedding").collect()
@@ -51,15 +53,25 @@ def choose_pivots(gallery: DataFrame, *, id: str, n: int) -> np.ndarray:
 
 
 def kmeans_centroids(gallery: DataFrame, *, k: int, seed: int = 7, max_iter: int = 10) -> np.ndarray:
-    """Coarse quantiser for the approximate join, fitted distributed over the whole gallery."""
+    """Coarse quantiser for the approximate join, fitted distributed over the whole gallery. One cell
+    needs no fit: it is the whole part."""
+    if _bounded(k) < 2:
+        return np.zeros((0, 0))
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     feats = gallery.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = KMeans(k=min(k, MAX_CELLS), seed=seed, maxIter=max_iter).fit(feats)
+    model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(feats)
     return _units(pd.Series(model.clusterCenters()))
 
 
+def _bounded(cells: int) -> int:
+    """Cells are held by every task; more than MAX_CELLS is refused rather than cut."""
+    if cells > MAX_CELLS:
+        raise ValueError(f"{cells} cells; at most {MAX_CELLS} are supported")
+    return max(1, cells)
+
+
 def default_cells(n: int, block_rows: int) -> int:
     """About sqrt(n) cells, bounded; a single cell while everything fits in a few blocks."""
     return 1 if n <= 4 * block_rows else int(min(MAX_CELLS, round(n**0.5)))
@@ -75,13 +87,14 @@ def _pivot_distances(pivots: np.ndarray) -> Callable[[Column], Column]:
     return distances
 
 
-def _assign(gallery: DataFrame, pivots: np.ndarray, parts: Sequence[str], block_rows: int) -> DataFrame:
-    """Add _cell and _radius. Parts that fit in one block are not cut (cell -1, radius unbounded)."""
+def _assign(gallery: DataFrame, pivots: np.ndarray, parts: Sequence[str], block_rows: int, whole_small: bool) -> DataFrame:
+    """Add _cell and _radius. With `whole_small` (exact search, where it changes no result), parts that fit
+    in one block are not cut (cell -1, radius unbounded)."""
     sizes = gallery.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n"))
     sized = gallery.join(sizes, list(parts))
     if len(pivots) < 2:
         return sized.withColumn("_cell", F.lit(-1)).withColumn("_radius", F.lit(float("inf"))).drop("_n")
-    small = F.col("_n") <= block_rows
+    small = (F.col("_n") <= block_rows) & F.lit(whole_small)
     return (
         sized.withColumn("_pd", _pivot_distances(pivots)(F.col("embedding")))
         .withColumn("_radius", F.array_min("_pd"))
@@ -110,26 +123,27 @@ def _route(probes: DataFrame, cells: DataFrame, pivots: np.ndarray, parts: Seque
     return near.withColumn("_visit", F.explode(visit)).withColumn("_cell", F.col("_visit.cell")).drop("_pd", "_cells", "_visit")
 
 
-def _small_gallery(gallery: DataFrame, n_rows: int, limit: int) -> bool:
-    """Whether the vectors, as doubles, stay below the limit; wide rows are looked at only if few."""
-    if limit <= 0 or n_rows > SMALL:
-        return False
-    dim = gallery.agg(F.max(F.size("embedding"))).first()[0] or 0
-    return n_rows * dim * 8 <= limit
+def _dimension(gallery: DataFrame, dim: int | None) -> tuple[int, int]:
+    """(length of the vectors, rows that have it): the given one, else the most frequent. One pass over
+    the gallery's vector sizes."""
+    sizes = {r["d"]: r["n"] for r in gallery.filter(F.size("embedding") > 0).groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if dim is None:
+        dim = max(sizes, key=lambda d: (sizes[d], d), default=0)
+    return dim, sizes.get(dim, 0)
 
 
 def _vector_join(
     probes: DataFrame, gallery: DataFrame, *, parts: Sequence[str], probe_id: str, gallery_id: str, method: str, threshold: float | None,
-    nprobe: int, cells: int | None, pivots: np.ndarray | None, block_rows: int | None, broadcast_bytes: int, kernel: Kernel, schema: str,
+    nprobe: int, cells: int | None, pivots: np.ndarray | None, block_rows: int | None, broadcast_bytes: int, kernel: Kernel, schema: str, dim: int | None = None,
 ) -> DataFrame:
     """Apply `kernel` to probes and the gallery rows of their part, whole or in blocks."""
+    dim, n_rows = _dimension(gallery, dim)
     # tied to a data column, so that a constant part is not folded out of the join keys
     probes, gallery = (
-        x.filter(F.size("embedding") > 0).select(*[F.when(F.size("embedding") > 0, F.col(c)).alias(c) if c in parts else F.col(c) for c in x.columns])
+        x.filter(F.size("embedding") == dim).select(*[F.when(F.size("embedding") > 0, F.col(c)).alias(c) if c in parts else F.col(c) for c in x.columns])
         for x in (probes, gallery)
     )
-    n_rows = gallery.count()
-    if method == "exact" and pivots is None and cells is None and _small_gallery(gallery, n_rows, broadcast_bytes):
+    if method == "exact" and pivots is None and cells is None and n_rows <= SMALL and n_rows * dim * 8 <= broadcast_bytes:
         return _broadcast_join(probes, gallery, parts=parts, gallery_id=gallery_id, kernel=kernel, schema=schema)
     rows = block_rows or max(MIN_BLOCK, min(MAX_BLOCK, -(-n_rows // probes.sparkSession.sparkContext.defaultParallelism)))
     if pivots is None:
@@ -171,10 +185,12 @@ def _block_join(
     block, so that millions of little groups do not mean millions of little Python calls."""
     keys = [*parts, "_cell"]
     packs = max(1, -(-4 * n_rows // block_rows))
-    unit = F.when(F.col("_cell") < 0, F.pmod(F.xxhash64(*parts), F.lit(packs))).otherwise(F.xxhash64(*keys))
+    unit = F.pmod(F.xxhash64(*keys), F.lit(packs))
+    if nprobe is None:
+        unit = F.when(F.col("_cell") < 0, unit).otherwise(F.xxhash64(*keys))
     # fresh column identities, so that a table can be joined with itself
     gallery = gallery.select(*[F.col(c).alias(c) for c in gallery.columns])
-    placed = _assign(gallery, pivots, parts, block_rows)
+    placed = _assign(gallery, pivots, parts, block_rows, nprobe is None)
     if len(pivots) > 1:
         placed = cut_lineage(placed)  # read three times below: place every vector once
     cells = placed.groupBy(*keys).agg(F.max("_radius").alias("_r"), F.count(F.lit(1)).alias("_g"))
@@ -228,13 +244,14 @@ def knn_join(
     probes: DataFrame, gallery: DataFrame, *, k: int, threshold: float = 0.40, part: str | Sequence[str] = "domain",
     cut: str = "before", method: str = "exact", nprobe: int = 16, cells: int | None = None,
     probe_id: str = "probe_id", gallery_id: str = "vec_id", carry: Sequence[str] = ("person_id",),
-    pivots: np.ndarray | None = None, block_rows: int | None = None, broadcast_bytes: int = BROADCAST_BYTES,
+    pivots: np.ndarray | None = None, block_rows: int | None = None, broadcast_bytes: int = BROADCAST_BYTES, dim: int | None = None,
 ) -> DataFrame:
     """k nearest gallery rows per probe inside `part`, closer than `threshold`.
 
     `cut="before"` keeps distance < threshold, `cut="after"` keeps distance <= threshold (a cutoff
     applied to the ranked list selects the same rows). A threshold of 0 means the default 0.40.
-    `method="exact"` visits every cell that can hold a match, `"ivf"` only the `nprobe` nearest.
+    `method="exact"` visits every cell that can hold a match, `"ivf"` only the `nprobe` nearest of its part,
+    whatever the part's size. `dim`: the vectors' length; by default the most frequent in the gallery.
     """
     threshold = threshold or 0.40
     parts = [part] if isinstance(part, str) else list(part)
@@ -268,7 +285,7 @@ def knn_join(
     schema = ", ".join([_field(p, probe_id), *[_field(g, c) for c in kept], "distance double"])
     local = _vector_join(
         p, g, parts=parts, probe_id=probe_id, gallery_id=gallery_id, method=method, threshold=threshold, nprobe=nprobe, cells=cells, pivots=pivots,
-        block_rows=block_rows, broadcast_bytes=broadcast_bytes, kernel=nearest, schema=schema,
+        block_rows=block_rows, broadcast_bytes=broadcast_bytes, kernel=nearest, schema=schema, dim=dim,
     )
     return top_per_group(local, [probe_id], [F.col("distance"), F.col(gallery_id)], k)
 
