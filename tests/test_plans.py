@@ -69,3 +69,54 @@ def test_valid_box_join_uses_the_grid(spark):
     m = spark.range(100).select(F.lit(1).alias("im"), *[(F.col("id") % 17).cast("double").alias(c) for c in "xywh"])
     out = matching.keep_in_valid_boxes(m, m.limit(3), on="im", tol=1.0)
     assert "_cx" in plan(out) and out.count() == sum(1 for i in range(100) if i % 17 <= 3)
+
+
+def test_sparse_hot_key_sends_two_rows_per_block(spark):
+    """Positions further apart than the gap: only the first and last run of a block reach the second level."""
+    from pyspark.sql import functions as F
+
+    from vidspark.operators.common import runs
+
+    points = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("key"), (F.col("id") * 10).alias("pos"))
+    got = {(r["key"], r["run_start"], r["run_end"], r["n"]) for r in runs(points, ["key"], "pos", max_gap=31, block=1000).collect()}
+    want = set()
+    for key, rows in {k: sorted(r["pos"] for r in rs) for k, rs in _by_key(points.collect()).items()}.items():
+        start = before = rows[0]
+        n = 0
+        for p in rows:
+            if p - before > 31:
+                want.add((key, start, before, n))
+                start, n = p, 0
+            before, n = p, n + 1
+        want.add((key, start, before, n))
+    assert got == want
+
+
+def _by_key(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r["key"], []).append(r)
+    return out
+
+
+def test_no_local_checkpoints_on_a_cluster():
+    """Without a shared folder only a session on one machine may go on."""
+    import pytest
+
+    from vidspark.session import checkpoint_root
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()  # noqa: N815
+
+    with pytest.raises(RuntimeError):
+        checkpoint_root(Session())

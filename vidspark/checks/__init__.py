@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("vectors", "matching", "gates", "frames", "tracks", "names", "workflow", "compare", "catalog", "logs", "sets", "streams", "lifecycles")
+AREAS = ("vectors", "matching", "gates", "frames", "tracks", "names", "workflow", "compare", "catalog", "logs", "sets", "streams", "lifecycles", "files")
 
 
 def load():

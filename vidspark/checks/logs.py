@@ -84,7 +84,12 @@ def flat_export(spark, sf):
 @query("result_page", "SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100 OFFSET 200")
 def result_page(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    return L.page(o, order=[F.col("o_totalprice").desc(), "o_orderkey"], number=3, size=250)
+    return L.page(o, order=[F.col("o_totalprice").desc(), "o_orderkey"], number=3, size=100)
+
+
+@query("result_page_after", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 250")
+def result_page_after(spark, sf):
+    return L.page_after(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), key="o_orderkey", after=1000, size=250)
 
 
 @query("newest_dates", "SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders ORDER BY 1 DESC LIMIT 30")

@@ -44,7 +44,7 @@ def latest_per_key(spark, sf):
     return op(view(spark, sf, "queue_events").select("person", "event_id", "action", "score"), ["person"], ["event_id"])
 
 
-@query("sampled_keys")
+@query("sampled_keys", "SELECT DISTINCT person FROM queue_events ORDER BY md5('3/' || person), person LIMIT 100", ("queue_events",))
 def sampled_keys(spark, sf):
     return WF.stable_sample(view(spark, sf, "queue_events"), key="person", n=100, seed=3)
 

@@ -47,8 +47,10 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
 def runs(points: DataFrame, keys: Sequence[str], pos: str, *, max_gap: int, block: int = 100_000) -> DataFrame:
     """Runs of positions whose neighbours are at most `max_gap` apart.
 
-    Two levels, so that one key may hold most rows: positions are counted, cut into blocks of
-    fixed width, joined to runs inside each block, and the few block runs are joined afterwards.
+    Two levels, so that one key may hold most rows: positions are counted, cut into blocks of fixed
+    width, and joined to runs inside each block. A run between the first and the last of its block
+    touches no other block and is done; the first and the last of each block are joined afterwards, two
+    rows per block however sparse the key is.
     Returns keys, run_start, run_end, n (rows, duplicates included), n_positions.
     """
     keys = list(keys)
@@ -61,7 +63,11 @@ def runs(points: DataFrame, keys: Sequence[str], pos: str, *, max_gap: int, bloc
         ),
         [*keys, "_block"], max_gap,
     )
-    return _merge_runs(local.drop("_block"), keys, max_gap)
+    block_of = W.partitionBy(*keys, "_block")
+    edge = (F.col("run_start") == F.min("run_start").over(block_of)) | (F.col("run_start") == F.max("run_start").over(block_of))
+    local = local.withColumn("_edge", edge)
+    done = local.filter(~F.col("_edge")).drop("_block", "_edge")
+    return done.unionByName(_merge_runs(local.filter("_edge").drop("_block", "_edge"), keys, max_gap))
 
 
 def _merge_runs(pieces: DataFrame, keys: Sequence[str], max_gap: int) -> DataFrame:

@@ -59,12 +59,20 @@ def flat_export(log: DataFrame) -> DataFrame:
 
 
 def page(df: DataFrame, *, order: Sequence[str | Column], number: int, size: int, cap: int = 100) -> DataFrame:
-    """One page in order, with the total number of rows; the page size is capped."""
-    size = max(1, min(size, cap))
+    """One page in order, with the total number of rows. Pages of more than `cap` rows are refused: the
+    offset passes through one task, so it is for the first pages; `page_after` reads on from any place."""
+    if not 1 <= size <= cap:
+        raise ValueError(f"page size {size}; 1 to {cap} are supported")
     total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
     return df.orderBy(*order).offset((number - 1) * size).limit(size).withColumn("total", total)
 
 
+def page_after(df: DataFrame, *, key: str, after: object | None, size: int) -> DataFrame:
+    """The next `size` rows by a unique key behind the last one seen: a filter and a distributed top-n."""
+    rest = df if after is None else df.filter(F.col(key) > F.lit(after))
+    return rest.orderBy(key).limit(size)
+
+
 def newest_dates(log: DataFrame, *, date: str = "date", n: int = 30) -> DataFrame:
     """Newest valid date partitions."""
     parsed = F.try_to_timestamp(F.col(date), F.lit("yyyy-MM-dd")).cast("date")

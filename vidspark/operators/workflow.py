@@ -65,8 +65,9 @@ def last_runs(history: DataFrame, *, person: str, ts: str, n: int = 10) -> DataF
 
 
 def stable_sample(keys: DataFrame, *, key: str, n: int = 100, seed: int = 0) -> DataFrame:
-    """At most n keys in hash order: repeatable, and a distributed top-n."""
-    return keys.select(key).distinct().orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """At most n keys in the order of their md5 behind the seed: repeatable in any engine, and a
+    distributed top-n."""
+    return keys.select(key).distinct().orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
 # ---------------------------------------------------------------- queue

@@ -9,10 +9,10 @@ from vidspark.operators.logs import flat_export
 from vidspark.schemas import COMPARISON, REJECTION
 
 
-def read_records(spark: SparkSession, path: str, schema: str = COMPARISON, *, start: str | None = None, end: str | None = None, ids: list[str] | None = None, id: str = "comparison_id", ts: str = "timestamp") -> DataFrame:
+def read_records(spark: SparkSession, path: str, schema: str = COMPARISON, *, start: str | None = None, end: str | None = None, ids: list[str] | None = None, id: str = "comparison_id", ts: str = "timestamp", multi_line: bool = True) -> DataFrame:
     """JSON records of a folder; unreadable files and records are set aside, not fatal. The range is
-    inclusive at both ends."""
-    df = spark.read.schema(f"{schema}, _corrupt STRING").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", multiLine=True)
+    inclusive at both ends. `multi_line` off: one record per line, so that large files are split."""
+    df = spark.read.schema(f"{schema}, _corrupt STRING").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", multiLine=multi_line)
     df = df.filter(F.col(id).isNotNull())
     if start:
         df = df.filter(F.col(ts) >= F.lit(start).cast("timestamp"))
