@@ -48,11 +48,14 @@ def frame(spark, names):
     return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "person_id long, name string")
 
 
-def test_latin_folding_is_the_compatibility_decomposition(spark):
-    chars = [chr(c) for c in [*range(0x20, 0x250), *range(0x1E00, 0x1F00)] if chr(c).isprintable()]
-    rows = spark.createDataFrame([(c,) for c in chars], "c string").select("c", N.to_ascii(F.col("c")).alias("jvm"), N.to_ascii(F.col("c"), exact=True).alias("py")).collect()
-    want = {c: unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() for c in chars}
-    assert {r.c: r.py for r in rows} == want and {r.c: r.jvm for r in rows} == want
+def test_folding_is_the_compatibility_decomposition(spark):
+    """Every character of Unicode, and texts of several."""
+    chars = [chr(c) for c in range(0x20, 0x110000) if not 0xD800 <= c < 0xE000 and (chr(c).isprintable() and c < 0x3000 or unicodedata.decomposition(chr(c)))]
+    texts = [*chars, "ﬁne Ａna x™ Ⅳ", "Ａｎａ ﬁ", "Ĳ㎏ℬ𝒜①½", "Ж日本 a", "e\u0301", ""]
+    rows = spark.createDataFrame([(c,) for c in texts], "c string").select("c", N.to_ascii(F.col("c")).alias("jvm")).collect()
+    assert {r.c: r.jvm for r in rows} == {c: unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() for c in texts}
+    got = spark.createDataFrame([("ﬁne",), ("Ａna",), ("x™",), ("Ⅳ",)], "c string").select(N.safe_name(F.col("c")).alias("s")).collect()
+    assert [r.s for r in got] == ["fine", "Ana", "xTM", "IV"]
 
 
 @pytest.mark.parametrize("threshold", [90.0, 85.0, 70.0])

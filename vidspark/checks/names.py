@@ -52,9 +52,8 @@ def word_forms(spark, sf):
 
 @query("safe_name_exact", f"SELECT w, {SAFE.replace('{c}', 'w')} AS safe FROM ({TOKENS}) t")
 def safe_name_exact(spark, sf):
-    """The exact decomposition (any script) over every word of the documents; their letters are Latin,
-    so the folding table gives the same."""
-    return words(spark, sf).select("w", N.safe_name(F.col("w"), exact=True).alias("safe"))
+    """Every word of the documents; the decomposition is exact for any script."""
+    return words(spark, sf).select("w", N.safe_name(F.col("w")).alias("safe"))
 
 
 PARTS = "string_split(filename, '_')"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from difflib import SequenceMatcher
 from functools import reduce
@@ -37,21 +38,17 @@ _LATIN = {chr(c): _ascii(chr(c)) for c in [*range(0xA0, 0x250), *range(0x1E00, 0
 LATIN_FROM = "".join(k for k, v in _LATIN.items() if len(v) == 1)
 LATIN_TO = "".join(v for v in _LATIN.values() if len(v) == 1)
 LATIN_LONG = tuple((k, v) for k, v in _LATIN.items() if len(v) > 1)
+# All other characters that decompose to ASCII (ligatures, full width, Roman numerals, signs), by the same rule.
+_OTHER = {ch: v for ch in map(chr, range(0x250, sys.maxunicode + 1)) if ch not in _LATIN and unicodedata.decomposition(ch) and (v := _ascii(ch))}
+_OTHER_FROM = "".join(k for k, v in _OTHER.items() if len(v) == 1)
+_OTHER_TO = "".join(v for v in _OTHER.values() if len(v) == 1)
+_OTHER_LONG = {k: v for k, v in _OTHER.items() if len(v) > 1}
 
 
 def _replace_all(c: Column, pairs) -> Column:
     return reduce(lambda acc, p: F.replace(acc, F.lit(p[0]), F.lit(p[1])), pairs, c)
 
 
-def nfkd_ascii(c: Column) -> Column:
-    """Exact compatibility decomposition for any script (Arrow batches)."""
-
-    def fold(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else _ascii(t))
-
-    return F.pandas_udf(fold, "string")(c)
-
-
 def fold_latin(c: Column) -> Column:
     """Compatibility decomposition of Latin letters, staying in the JVM; other non-ASCII is kept."""
     ligature = "[" + "".join(k for k, _ in LATIN_LONG) + "]"
@@ -59,26 +56,39 @@ def fold_latin(c: Column) -> Column:
     return F.translate(spelled, LATIN_FROM, LATIN_TO)
 
 
-def to_ascii(c: Column, exact: bool = False) -> Column:
-    return nfkd_ascii(c) if exact else F.regexp_replace(fold_latin(c), r"[^\x00-\x7F]", "")
+def fold_other(c: Column) -> Column:
+    """Compatibility decomposition of what is not Latin: characters that give several letters, looked up
+    one by one in the rare texts that have any; those that give one, by translation."""
+    table = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in _OTHER_LONG.items())), F.lit("\x01"), F.lit("\x02"))
+    spelled = F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
+    here = F.when(c.rlike("[" + "".join(_OTHER_LONG) + "]"), spelled).otherwise(c)
+    return F.translate(here, _OTHER_FROM, _OTHER_TO)
+
+
+def to_ascii(c: Column) -> Column:
+    """Compatibility decomposition of any script, without what is not ASCII then; in the JVM. Texts of
+    ASCII and Latin letters, nearly all, take the short way."""
+    latin = fold_latin(c)
+    rest = F.when(latin.rlike(r"[^\x00-\x7F]"), F.regexp_replace(fold_other(latin), r"[^\x00-\x7F]", ""))
+    return F.coalesce(rest, latin)
 
 
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def safe_name(name: Column, lower: bool = False, exact: bool = False) -> Column:
-    text = to_ascii(_replace_all(name, SPELLED_OUT), exact)
+def safe_name(name: Column, lower: bool = False) -> Column:
+    text = to_ascii(_replace_all(name, SPELLED_OUT))
     text = F.regexp_replace(F.translate(text, " ", "_"), r"[^A-Za-z0-9_-]", "")
     return F.lower(text) if lower else text
 
 
-def normalize_text(text: Column, exact: bool = False) -> Column:
-    return F.translate(F.regexp_replace(to_ascii(text, exact), r"[^A-Za-z0-9_\s]", ""), " ", "_")
+def normalize_text(text: Column) -> Column:
+    return F.translate(F.regexp_replace(to_ascii(text), r"[^A-Za-z0-9_\s]", ""), " ", "_")
 
 
-def normalize_for_search(text: Column, exact: bool = False) -> Column:
-    return strip(F.regexp_replace(to_ascii(text, exact), r"[^A-Za-z0-9_\s]", ""))
+def normalize_for_search(text: Column) -> Column:
+    return strip(F.regexp_replace(to_ascii(text), r"[^A-Za-z0-9_\s]", ""))
 
 
 def normalize_name(name: Column) -> Column:
