@@ -83,3 +83,21 @@ def test_duplicates_within_the_delay(spark, tmp_path):
         s = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         I.finish(I.write_append(I.unique_content(s, digest="digest", ts="ts", delay="1 hour"), str(tmp_path / "out"), str(tmp_path / "cp")))
     assert sorted(r.digest for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+
+
+def test_tracker_stream_empty_frames_and_end(spark, tmp_path):
+    """Empty frames end tracks, by rows without a detection or by the step; a closed video starts anew."""
+    schema = "video_id long, ts timestamp, frame_number long, det_id long, x1 double, y1 double, x2 double, y2 double"
+    box = (0.0, 0.0, 100.0, 100.0)
+    at = lambda f: T0 + dt.timedelta(seconds=f)
+    frames = [0, 1, 2, 50, 51]
+    rows = [(v, at(f), f, 10 * v + i, *box) for v in (1, 2) for i, f in enumerate(frames)]
+    rows += [(2, at(f), f, None, None, None, None, None) for f in range(3, 50)] + [(v, at(60), None, None, None, None, None, None) for v in (1, 2)]
+    for name, step, want in (("rows", None, {1: 1, 2: 2}), ("step", 1, {1: 2, 2: 2})):
+        src = tmp_path / f"src-{name}"
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(src))
+        out = str(tmp_path / f"out-{name}")
+        I.finish(I.write_append(track_stream(spark.readStream.schema(schema).parquet(str(src)), delay="1 second", frame_step=step), out, str(tmp_path / f"cp-{name}")))
+        got = spark.read.parquet(out).collect()
+        assert len(got) == 2 * len(frames)
+        assert {v: len({r.track_id for r in got if r.video_id == v}) for v in (1, 2)} == want

@@ -6,7 +6,8 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 from vidspark.checks.compare import CMP
-from vidspark.checks.registry import query
+from vidspark.checks import tracks as _tracks  # noqa: F401  registers the batch form first
+from vidspark.checks.registry import ORACLES, query
 from vidspark.checks.vectors import PAIRS
 from vidspark.checks.views import DOMAIN, EVENT_INDEX, VIEWS, _dialect, table, view
 from vidspark.operators.common import rounded
@@ -62,6 +63,22 @@ def stream_tracks(spark, sf):
     return spark.read.parquet(out)
 
 
+@query("stream_tracks_closed", ORACLES["track_per_slot"])
+def stream_tracks_closed(spark, sf):
+    """One detection per slot and frame, then the end of each video: every row comes out, none waits."""
+    out, cp = folders(spark)
+    d = view(spark, sf, "single_detections").select("video_id", "frame_number", "det_id", "x1", "y1", "x2", "y2")
+    stamp = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("frame_number") * 43_200)
+    last = d.agg((F.max("frame_number") + 1).alias("f"))
+    ends = d.select("video_id").distinct().join(F.broadcast(last)).select("video_id", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("f") * 43_200).alias("ts"))
+    rows = d.withColumn("ts", stamp).unionByName(ends, allowMissingColumns=True)
+    rows.write.parquet(f"{out}-source")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{out}-source")
+    with rocksdb(spark):
+        I.finish(I.write_append(track_stream(stream, delay="1 hour", frame_step=1), out, cp))
+    return spark.read.parquet(out)
+
+
 @query("stream_sessions", """WITH o AS (SELECT user_id, event_type, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) < INTERVAL 40 HOUR THEN 0 ELSE 1 END AS o FROM events),
     s AS (SELECT *, sum(o) OVER (PARTITION BY user_id, event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM o)
     SELECT user_id, event_type, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts, count(*) AS n FROM s GROUP BY user_id, event_type, run""")
