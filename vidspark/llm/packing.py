@@ -30,14 +30,18 @@ from vidspark.llm.text import only
 from vidspark.session import cut_lineage
 
 CAPACITY, END = 4096, 1
-#: Words a task remembers, and characters of text it looks at together.
-REMEMBERED, TOGETHER = 300_000, 4_000_000
+#: Words a worker remembers, bytes of text it looks at together, and words it encodes together.
+REMEMBERED, TOGETHER, ENCODED = 500_000, 4_000_000, 2_000
 
 
 class WordEncoder:
     """Little-endian 32-bit ids of texts, word by word, from a tokenizers file.
 
-    Holds for tokenizers that split at ASCII white space and drop it, as word_bpe_49k.json does."""
+    Holds for tokenizers that lower ASCII capitals, split at ASCII white space and drop it, and part
+    letters from punctuation, as word_bpe_49k.json does. New words are encoded together, as one text;
+    a word of ASCII letters with a full stop or comma behind it is put together from its two parts."""
+
+    ready: dict[str, WordEncoder] = {}  # by file: a worker keeps what it knows from task to task
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,19 +49,40 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.learn([b".", b","])
+
+    @classmethod
+    def of(cls, path: str) -> WordEncoder:
+        if path not in cls.ready:
+            cls.ready[path] = cls(path)
+        return cls.ready[path]
+
+    def learn(self, words: list[bytes]) -> None:
+        """Ids of a token belong to the word in which the token starts."""
+        for low in range(0, len(words), ENCODED):
+            part = words[low : low + ENCODED]
+            texts = [w.decode() for w in part]
+            done = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+            at = (np.searchsorted(np.fromiter((o[0] for o in done.offsets), dtype=np.int64, count=len(done.offsets)), starts) * 4).tolist()
+            ids = np.array(done.ids, dtype="<u4").tobytes()
+            self.known.update(zip(part, (ids[x:y] for x, y in zip(at, at[1:], strict=False)), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = list({w for words in split for w in words} - self.known.keys())
+        split = [t.lower().split() for t in texts]
+        new = {w for words in split for w in words} - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, list({w for words in split for w in words})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+            self.known = {w: self.known[w] for w in (b".", b",")}
+            new = {w for words in split for w in words} - self.known.keys()
+        ended = {w for w in new if w[-1:] in (b".", b",") and w[:-1].isalpha()}
+        self.learn(list((new - ended) | ({w[:-1] for w in ended} - self.known.keys())))
+        known = self.known
+        known.update((w, known[w[:-1]] + known[w[-1:]]) for w in ended)
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    encoder, last, step = WordEncoder(path), np.array([end], dtype="<u4").tobytes(), 4 * capacity
+    encoder, last, step = WordEncoder.of(path), np.array([end], dtype="<u4").tobytes(), 4 * capacity
     for batch in batches:
         ids = batch.column("doc_id")
         texts = [(t.as_py() or "").encode() for t in batch.column("_text")]
