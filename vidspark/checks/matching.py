@@ -8,7 +8,7 @@ from vidspark.checks.views import view
 from vidspark.functions import vectors as V
 from vidspark.operators import matching as M
 from vidspark.operators.common import rounded
-from vidspark.operators.search import knn_join
+from vidspark.operators.search import knn_join, match_folds
 
 # The 20 nearest within 0.95 of every probe, with the probe's image and box.
 MATCHES = PAIRS + """, matches AS (SELECT *, probe_id * 100 + rank AS seq, round(d, 12) AS distance, 'person_' || person_id AS person FROM
@@ -172,3 +172,43 @@ def box_layouts(spark, sf):
     n = F.col("det_id") % 6
     payload = F.when(n == 0, area).when(n == 1, quad).when(n == 2, bbox).when(n == 3, flat).when(n == 4, region).otherwise(F.lit("{}"))
     return d.select("det_id", V.normalise_box(payload).alias("b")).select("det_id", "b.x1", "b.y1", "b.x2", "b.y2")
+
+
+# Scoring, profile and sweep over every match, not the nearest 20.
+EVERY = PAIRS + ", every AS (SELECT *, round(d, 12) AS distance FROM pairs WHERE round(d, 12) < 0.9)"
+LADDER = (0.3, 0.5, 0.7, 0.8, 0.85)
+
+
+def folds(spark, sf, **blocks):
+    return match_folds(view(spark, sf, "probes"), view(spark, sf, "gallery"), threshold=0.9, thresholds=LADDER, **blocks)
+
+
+FOLDED = f"""WITH {EVERY}, s AS (SELECT *, row_number() OVER (PARTITION BY image_id, person_id ORDER BY distance) AS rn FROM every),
+    a AS (SELECT image_id, person_id, count(*) AS occurrences, avg(distance) AS av, min(distance) AS mi, avg(distance) FILTER (rn <= 3) AS top3 FROM s GROUP BY ALL),
+    f AS (SELECT *, round(top3 * 0.5e0 + mi * 0.2e0 - occurrences * 0.05e0, 10) AS score FROM a)
+    SELECT image_id, person_id, occurrences, round(av, 4) + 0.0 AS avg_distance, round(mi, 4) + 0.0 AS min_distance, round(score, 4) + 0.0 AS score FROM f"""
+
+
+def _folded(spark, sf, **blocks):
+    out = M.folded_analysis(folds(spark, sf, **blocks), top=1 << 30)
+    return out.select("image_id", "person_id", "occurrences", rounded("avg_distance", 4).alias("avg_distance"), rounded("min_distance", 4).alias("min_distance"), rounded(F.round("score", 10), 4).alias("score"))
+
+
+@query("match_analysis_every", FOLDED, G)
+def match_analysis_every(spark, sf):
+    return _folded(spark, sf)
+
+
+@query("match_analysis_every_in_blocks", FOLDED, G)
+def match_analysis_every_in_blocks(spark, sf):
+    return _folded(spark, sf, cells=8, broadcast_bytes=0, block_rows=64)
+
+
+@query("distance_profile_every", f"WITH {EVERY} SELECT image_id, person_id, count(*) AS n, round(avg(distance), 6) + 0.0 AS avg_distance, round(min(distance), 6) + 0.0 AS min_distance, round(max(distance), 6) + 0.0 AS max_distance FROM every GROUP BY ALL", G)
+def distance_profile_every(spark, sf):
+    return folds(spark, sf).select("image_id", "person_id", "n", rounded(F.col("sum_distance") / F.col("n"), 6).alias("avg_distance"), rounded("min_distance", 6).alias("min_distance"), rounded("max_distance", 6).alias("max_distance"))
+
+
+@query("threshold_sweep_every", f"WITH {EVERY} SELECT image_id, person_id, " + ", ".join(f"count(*) FILTER (distance < {t}) AS n_{i}" for i, t in enumerate(LADDER)) + " FROM every GROUP BY ALL", G)
+def threshold_sweep_every(spark, sf):
+    return folds(spark, sf).select("image_id", "person_id", *[f"n_{i}" for i in range(len(LADDER))])

@@ -80,6 +80,14 @@ def match_analysis(
     return top_per_group(scored, [image], [F.col("score"), F.col(person)], top)
 
 
+def folded_analysis(folds: DataFrame, *, image: str = "image_id", person: str = "person_id", top: int = 10) -> DataFrame:
+    """The score of `match_analysis`, without a size bonus, over the folds of all matches."""
+    mean3 = F.aggregate("lowest", F.lit(0.0), lambda a, x: a + x) / F.size("lowest")
+    score = mean3 * 0.5 + F.col("min_distance") * 0.2 - F.col("n") * 0.05
+    scored = folds.select(image, person, F.col("n").alias("occurrences"), (F.col("sum_distance") / F.col("n")).alias("avg_distance"), "min_distance", score.alias("score"))
+    return top_per_group(scored, [image], [F.col("score"), F.col(person)], top)
+
+
 def best_per_person(matches: DataFrame, *, probe: str, person: str, top: int, distance: str = "distance") -> DataFrame:
     """Closest distance per person, then the `top` persons of each probe."""
     best = matches.groupBy(probe, person).agg(F.min(distance).alias(distance))

@@ -290,6 +290,51 @@ def knn_join(
     return top_per_group(local, [probe_id], [F.col("distance"), F.col(gallery_id)], k)
 
 
+def match_folds(
+    probes: DataFrame, gallery: DataFrame, *, group: str = "image_id", person: str = "person_id", threshold: float, thresholds: Sequence[float] = (),
+    part: str | Sequence[str] = "domain", probe_id: str = "probe_id", gallery_id: str = "vec_id", lowest: int = 3, **blocks,
+) -> DataFrame:
+    """All matches below `threshold`, folded per (`group`, `person`) inside the block kernel, so that no pair
+    leaves it: n, sum, minimum, maximum, the `lowest` smallest distances, and n_0, n_1, ... below each of
+    `thresholds`. Unlike a join cut at k, counts and means are those of every match."""
+    parts = [part] if isinstance(part, str) else list(part)
+    p = probes.select(probe_id, group, *parts, "embedding")
+    g = gallery.select(gallery_id, person, *parts, "embedding")
+    counts = [f"n_{i}" for i in range(len(thresholds))]
+    columns = [group, person, "n", "s", "hi", "lows", *counts]
+
+    def fold(pb: pd.DataFrame, gb: pd.DataFrame, units: np.ndarray) -> pd.DataFrame:
+        out = []
+        if len(pb) and len(gb):
+            people, person_names = pd.factorize(gb[person])
+            for part_rows, d in _chunks(pb, units):
+                d = np.round(d, _DIGITS, out=d)
+                r, c = np.nonzero(d < threshold)
+                if not r.size:
+                    continue
+                v = d[r, c]
+                groups, group_names = pd.factorize(part_rows[group])
+                key = groups[r].astype(np.int64) * len(person_names) + people[c]
+                order = np.lexsort((v, key))
+                key, v = key[order], v[order]
+                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                ends = np.r_[first[1:], key.size]
+                out.append(pd.DataFrame({
+                    group: group_names[key[first] // len(person_names)], person: person_names[key[first] % len(person_names)],
+                    "n": ends - first, "s": np.add.reduceat(v, first), "hi": v[ends - 1], "lows": [v[x : min(x + lowest, y)].tolist() for x, y in zip(first, ends)],
+                    **{name: np.add.reduceat((v < t).astype(np.int64), first) for name, t in zip(counts, thresholds)},
+                }))
+        return pd.concat(out) if out else pd.DataFrame(columns=columns)
+
+    schema = ", ".join([_field(p, group), _field(g, person), "n long", "s double", "hi double", "lows array<double>", *[f"{c} long" for c in counts]])
+    options = {"cells": None, "pivots": None, "block_rows": None, "broadcast_bytes": BROADCAST_BYTES, **blocks}
+    local = _vector_join(p, g, parts=parts, probe_id=probe_id, gallery_id=gallery_id, method="exact", threshold=threshold, nprobe=0, kernel=fold, schema=schema, **options)
+    return local.groupBy(group, person).agg(
+        F.sum("n").alias("n"), F.sum("s").alias("sum_distance"), F.max("hi").alias("max_distance"),
+        F.slice(F.sort_array(F.flatten(F.collect_list("lows"))), 1, lowest).alias("lowest"), *[F.sum(c).alias(c) for c in counts],
+    ).withColumn("min_distance", F.get("lowest", F.lit(0)))
+
+
 def neighbour_stats(
     vectors: DataFrame, *, group: str, threshold: float, id: str = "vec_id", cells: int | None = None,
     pivots: np.ndarray | None = None, block_rows: int | None = None, broadcast_bytes: int = BROADCAST_BYTES,
