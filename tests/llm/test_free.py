@@ -60,7 +60,7 @@ def test_paths_carry_both_coordinates(spark):
     docs = [(1, " ".join(["a", "b", *shared])), (2, " ".join([*shared, "c"])), (3, " ".join(["d", *shared[10:70], "e"]))]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     profile = df.selectExpr("doc_id", "xxhash64(text) text_hash", "text _text").mapInArrow(lambda b: substrings._anchors(b, 50, 20), "doc_id long, text_hash long, n_words long, sha256 string, anchors array<long>")
-    spans = substrings.repeated_spans(df, profile, window=50, anchor=20, id_col="doc_id", text_col="text").select("doc_id", "start", "end", "first_id", "first_start").collect()
+    spans = substrings.repeated_spans(df, profile, window=50, anchor=20, id_col="doc_id", text_col="text").select("doc_id", "start", "end", "source_id", "source_start").collect()
     assert sorted(map(tuple, spans)) == [(2, 0, 80, 1, 2), (3, 1, 61, 1, 12)]
 
 
@@ -137,11 +137,10 @@ def test_languages_awkward(spark):
 
 def test_backoff_orders():
     places = {0: {"abc": 0}, 4: {"xyzw": 1}, 2: {"^q": 2}, 1: {"z": 3}}
-    rows = np.array([[0.0, 0], [-1, -2], [-3, -4], [-5, -6]])
-    assert language_id.unseen("axyzwb", places, rows).tolist() == [-1, -2]
-    assert language_id.unseen("qr", places, rows).tolist() == [-0.75, -1.0]
-    assert language_id.unseen("zr", places, rows).tolist() == [-0.625, -0.75]
-    assert language_id.unseen("k", places, rows).tolist() == [0, 0]
+    assert language_id.backoff("axyzwb", places) == ([1], 1.0)
+    assert language_id.backoff("qr", places) == ([2], 0.25)
+    assert language_id.backoff("zzr", places) == ([3, 3], 0.0625)
+    assert language_id.backoff("k", places) == ([], 0.0)
 
 
 # pipeline

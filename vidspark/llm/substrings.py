@@ -6,11 +6,14 @@ documents. Not every edge has to be written out to find those:
 1. Anchors. Of the shorter k-mers of `anchor` words the ones with the lowest hash among the
    `window - anchor + 1` in some window are kept (about one word in sixteen). Equal windows have equal
    anchors, so a window whose anchor is in one document only is no repeated edge.
-2. Edges. Documents with repeated anchors write out the windows around those: their hash (two
-   independent words of 64 and 32 bits), document and start. A grouped minimum gives each edge its first
-   source coordinate, and a join marks the occurrences in later documents.
-3. Compaction. Marked edges of a document that follow each other and lead to the same first document at
-   the same distance lie on one nonbranching path; each path becomes one span with both coordinates.
+2. Edges. Documents with repeated anchors write out the edges around those, packed: consecutive edges with
+   one anchor are a nonbranching stretch and make one row, with a 128-bit hash of the stretch and the
+   hashes of its edges (64 and 32 bits). Equal stretches meet first: a grouped minimum gives each its
+   first source coordinate, and all edges of a later document's stretch are settled by a join. Only
+   where an anchor has several different stretches, at the ends of a repeat, are the edges of the first
+   stretches unpacked, and the same minimum and join taken edge by edge.
+3. Compaction. Marked edges of a document that follow each other and lead to the same earlier document at
+   the same distance lie on one path; each path becomes one span with both coordinates.
 
 Removed are the words covered by a span, judged on the input. Spans are exact: a path holds every window
 that starts in a document with a smaller id and no other.
@@ -98,20 +101,33 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Ite
         )
 
 
-def _edges(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """The windows of each document whose anchor is among its repeated ones."""
+def _stretches(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
+    """The windows of each document whose anchor is among its repeated ones, packed by anchor."""
+    from xxhash import xxh3_128_digest
+
     for batch in batches:
         for k in range(batch.num_rows):
             _, hashes = word_hashes((batch.column("_text")[k].as_py() or "").encode())
             repeated = batch.column("repeated").slice(k, 1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            at = np.flatnonzero(np.isin(window_anchors(hashes, window, anchor), repeated))
-            if at.size:
-                high, low = (rolling(hashes, window, b)[at].view(np.int64) for b in BASES)
-                rows = pa.array(np.full(at.size, k))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), pa.array(high), pa.array(low.astype(np.int32)), pa.array(at.astype(np.int32))],
-                    names=["doc_id", "text_hash", "high", "low", "start"],
-                )
+            marks = window_anchors(hashes, window, anchor)
+            at = np.flatnonzero(np.isin(marks, repeated))
+            if not at.size:
+                continue
+            high, low = (rolling(hashes, window, b)[at] for b in BASES)
+            low = low.astype(np.uint32)
+            marks = marks[at]
+            first = np.flatnonzero(np.r_[True, (np.diff(at) > 1) | (marks[1:] != marks[:-1])])
+            ends = np.r_[first[1:], at.size]
+            whole = np.frombuffer(b"".join(xxh3_128_digest(high[x:y].tobytes() + low[x:y].tobytes()) for x, y in zip(first.tolist(), ends.tolist(), strict=True)), dtype=np.int64).reshape(-1, 2)
+            rows, cuts = pa.array(np.full(first.size, k)), pa.array(np.r_[first, at.size].astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), pa.array(marks[first].view(np.int64)), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy()),
+                    pa.array(at[first].astype(np.int32)), pa.array((ends - first).astype(np.int32)),
+                    pa.ListArray.from_arrays(cuts, pa.array(high.view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(low.view(np.int32))),
+                ],
+                names=["doc_id", "text_hash", "mark", "one", "two", "start", "edges", "high", "low"],
+            )
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,24 +160,36 @@ def _rank():
 
 
 def repeated_spans(docs: DataFrame, profile: DataFrame, *, window: int, anchor: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text_hash, start, end (words, end exclusive), first_id, first_start: the nonbranching paths
-    of repeated edges in documents other than the first. `profile`: as `_anchors` gives it."""
+    """doc_id, text_hash, start, end (words, end exclusive), source_id, source_start: the paths of repeated
+    edges in documents behind another that has them. `profile`: as `_anchors` gives it."""
     kinds = f"doc_id {profile.schema['doc_id'].dataType.simpleString()}, text_hash long"
     marks = profile.select("doc_id", "text_hash", F.explode("anchors").alias("mark"))
     shared = marks.groupBy("mark").agg(F.min(_rank()).alias("low"), F.max(_rank()).alias("high")).filter("low <> high").select("mark")
     repeated = marks.join(shared, "mark").groupBy("doc_id", "text_hash").agg(F.collect_set("mark").alias("repeated"))
-    edges = _same(_texts(docs, id_col, text_col), repeated).mapInArrow(partial(_edges, window=window, anchor=anchor), f"{kinds}, high long, low int, start int")
-    edges = stored(edges.distinct() if profile.groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count() else edges)
-    first = edges.groupBy("high", "low").agg(F.min(F.struct(_rank().alias("rank"), F.col("start"))).alias("first"), F.max(_rank()).alias("last")).filter("first.rank <> last")
-    first = first.select("high", "low", F.col("first.rank").alias("first_rank"), F.col("first.start").alias("first_start"))
-    later = edges.join(first, ["high", "low"]).filter(_rank() > F.col("first_rank"))
-    later = later.select("doc_id", "text_hash", "start", F.col("first_rank.doc_id").alias("first_id"), "first_start")
-    # compaction: one run per stretch of following starts with one first document and one distance to it
+    packed = _same(_texts(docs, id_col, text_col), repeated).mapInArrow(
+        partial(_stretches, window=window, anchor=anchor), f"{kinds}, mark long, one long, two long, start int, edges int, high array<long>, low array<int>")
+    packed = stored(packed)
+    whole = packed.select("doc_id", "text_hash", "mark", "one", "two", "start", "edges").distinct()  # repeated rows
+    # equal stretches, and which anchors have several
+    source = whole.groupBy("mark", "one", "two").agg(F.min(F.struct(_rank().alias("rank"), F.col("start"))).alias("source"), F.count(F.lit(1)).alias("n"))
+    source = stored(source.select("mark", "one", "two", F.col("source.rank").alias("source_rank"), F.col("source.start").alias("source_start"), "n"))
+    settled = whole.join(source.filter("n > 1").drop("n"), ["mark", "one", "two"]).filter(_rank() > F.col("source_rank"))
+    settled = settled.select("doc_id", "text_hash", "start", "edges", F.col("source_rank.doc_id").alias("source_id"), "source_start")
+    several = source.groupBy("mark").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("mark")
+    first = packed.join(source.join(several, "mark", "left_semi").select("mark", "one", "two", "source_rank"), ["mark", "one", "two"]).filter(_rank() == F.col("source_rank"))
+    single = first.select("doc_id", "text_hash", F.explode(F.transform("high", lambda h, i: F.struct(h.alias("high"), F.get(F.col("low"), i).alias("low"), (F.col("start") + i).alias("start")))).alias("e")).select("doc_id", "text_hash", "e.*")
+    single = stored(single)
+    earlier = single.groupBy("high", "low").agg(F.min(F.struct(_rank().alias("rank"), F.col("start"))).alias("source"), F.max(_rank()).alias("last")).filter("source.rank <> last")
+    earlier = earlier.select("high", "low", F.col("source.rank").alias("source_rank"), F.col("source.start").alias("source_start"))
+    ends = single.join(earlier, ["high", "low"]).filter(_rank() > F.col("source_rank"))
+    ends = ends.select("doc_id", "text_hash", "start", F.lit(1).alias("edges"), F.col("source_rank.doc_id").alias("source_id"), "source_start").distinct()
+    # compaction: one run per row of stretches that follow each other, with one source and one distance to it
     document = W.partitionBy("doc_id", "text_hash").orderBy("start")
-    joins_on = (F.lag("start").over(document) == F.col("start") - 1) & F.lag("first_id").over(document).eqNullSafe(F.col("first_id")) & (F.lag("first_start").over(document) == F.col("first_start") - 1)
-    runs = later.withColumn("_new", F.when(F.coalesce(joins_on, F.lit(False)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(document))
+    width = F.lag("edges").over(document)
+    joins_on = (F.lag("start").over(document) + width == F.col("start")) & F.lag("source_id").over(document).eqNullSafe(F.col("source_id")) & (F.lag("source_start").over(document) + width == F.col("source_start"))
+    runs = settled.unionByName(ends).withColumn("_new", F.when(F.coalesce(joins_on, F.lit(False)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(document))
     return runs.groupBy("doc_id", "text_hash", "_run").agg(
-        F.min("start").alias("start"), (F.max("start") + window).alias("end"), F.first("first_id").alias("first_id"), F.min("first_start").alias("first_start"),
+        F.min("start").alias("start"), (F.max(F.col("start") + F.col("edges")) + window - 1).alias("end"), F.first("source_id").alias("source_id"), F.min("source_start").alias("source_start"),
     ).drop("_run")
 
 
