@@ -108,20 +108,23 @@ def fit(labelled: DataFrame, *, sample: int = SAMPLE, words: int = WORDS, grams:
     return languages, prior, places, np.concatenate(tables) if tables else np.empty((0, len(languages)))
 
 
-def unseen(word: str, places: dict[int, dict[str, int]], rows: np.ndarray) -> np.ndarray:
-    """Scores of a word that is not in the table of words."""
-    for given_up, order in enumerate(ORDERS):
-        known = places.get(order, {})
-        found = [known[g] for g in grams_of(word, order) if g in known]
+def backoff(word: str, places: dict[int, dict[str, int]]) -> tuple[list[int], float]:
+    """Rows of the n-grams that score a word outside the table of words, and the weight of each."""
+    marked = f"^{word}$"
+    weight = 1.0
+    for order in ORDERS:
+        get = places.get(order, {}).get
+        found = [row for i in range(len(marked) - order + 1) if (row := get(marked[i : i + order])) is not None]
         if found:
-            return rows[found].mean(axis=0) * 0.5**given_up
-    return np.zeros(rows.shape[1])
+            return found, weight / len(found)
+        weight *= 0.5
+    return [], 0.0
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.RecordBatch]:
     languages, prior, places, rows = model.value
     get = places.get(0, {}).get
-    remembered: dict[str, np.ndarray] = {}
+    remembered: dict[str, tuple[list[int], float]] = {}
     for batch in batches:
         names, scores = [], []
         for value in batch.column("_text"):
@@ -132,13 +135,18 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa
                 continue
             at = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
             sums = prior + rows[at[at >= 0]].sum(axis=0)
-            for k in np.flatnonzero(at < 0):
-                w = words[k]
+            parts: list[int] = []
+            weights: list[float] = []
+            for w in [words[k] for k in np.flatnonzero(at < 0)]:
                 if w not in remembered:
                     if len(remembered) >= REMEMBERED:
                         remembered.clear()
-                    remembered[w] = unseen(w, places, rows)
-                sums = sums + remembered[w]
+                    remembered[w] = backoff(w, places)
+                found, weight = remembered[w]
+                parts += found
+                weights += [weight] * len(found)
+            if parts:
+                sums = sums + np.array(weights) @ rows[parts]
             best = int(sums.argmax())
             names.append(languages[best])
             scores.append(float(1 / np.exp(sums - sums[best]).sum()))
