@@ -52,29 +52,38 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def linked(shard: np.ndarray, prints: np.ndarray, radius: int, block: int = 512) -> np.ndarray:
+def linked(shard: np.ndarray, prints: np.ndarray, radius: int, block: int = 4096, width: int = 32_768) -> np.ndarray:
     """Lowest index of the group of each entry, groups being linked by pairs of one shard within `radius`.
-    Queries go in blocks, and a subtree whose entries all come later is not entered: each pair is met once."""
-    n = len(prints)
-    label = np.arange(n)
+    A subtree whose entries all come later than the query is not entered: each pair is met once. Queries go
+    in blocks, and what is open is taken `width` (query, node) pairs at a time, deepest first, so that memory
+    is bounded however little the tree prunes."""
+    label = np.arange(len(prints))
     root, child = build(shard, prints)
     reach = np.arange(-radius, radius + 1)
-    lone = np.r_[True, shard[1:] != shard[:-1]] & np.r_[shard[1:] != shard[:-1], True]
-    asked = np.flatnonzero(~lone)
+    asked = np.flatnonzero(root != np.arange(len(prints)))  # a root has nothing before it
     for low in range(0, len(asked), block):
         query = asked[low : low + block]
-        node = root[query]
-        keep = node < query
-        query, node = query[keep], node[keep]
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        while query.size:
+        todo = [(query, root[query])]
+        near_by: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+        while todo:
+            query, node = todo.pop()
+            if query.size > width:
+                todo.append((query[width:], node[width:]))
+                query, node = query[:width], node[:width]
             d = distance(prints[query], prints[node])
             near = d <= radius
-            found.append((query[near], node[near]))
+            if near.any():
+                near_by.append((query[near], node[near]))
+                held += int(near.sum())
+                if held > 1_000_000:
+                    label = merge(label, np.concatenate([x for x, _ in near_by]), np.concatenate([y for _, y in near_by]))
+                    near_by, held = [], 0
             edge = d[:, None] + reach
             after = child[node[:, None] * EDGES + np.clip(edge, 0, EDGES - 1)]
             go = (after >= 0) & (edge >= 1) & (edge < EDGES) & (after < query[:, None])
-            query, node = np.broadcast_to(query[:, None], go.shape)[go], after[go].astype(np.int64)
-        if found:
-            label = merge(label, np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
+            if go.any():
+                todo.append((np.broadcast_to(query[:, None], go.shape)[go], after[go].astype(np.int64)))
+        if near_by:
+            label = merge(label, np.concatenate([x for x, _ in near_by]), np.concatenate([y for _, y in near_by]))
     return label

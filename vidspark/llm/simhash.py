@@ -10,7 +10,8 @@ Shards, `shards="blocks"` (exact for any radius): the 64 bits are cut into radiu
 `radius` of which can differ, so a linked pair agrees in some two blocks: one shard per pair of blocks
 and their value. A shard above `SHARD` is cut again by two blocks of its free bits, which leaves at most
 65,536 values at radius 2. `shards="sketch"` (for wider radii): one shard per min-hash of the word
-shingles; a shard above the limit is cut again by a second and a third min-hash.
+shingles; a shard above the limit is cut again by a second and a third min-hash, which a pair at a
+similarity of 0.8 still shares with 99 and 94 %.
 
 Defined results: null or empty texts have fingerprint 0 and are linked like any other; null ids rank
 last (component_id is null only if all ids of the component are); repeated rows are kept and share a
@@ -194,7 +195,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("low.doc_id").alias("component_id"))
 
 
-def first_of_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 9, shards: str = "sketch", limit: int = 16_384) -> DataFrame:
+def first_of_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 9, shards: str = "sketch", limit: int = 4_096) -> DataFrame:
     """The rows of `docs` that are the lowest of their component. The defaults link five-word shingles at an
     estimated similarity of 0.8: with 9 of 64 bits the angle gives a cosine of 0.904, a Jaccard of 0.825."""
     prints = cut_lineage(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, sketches=SKETCHES if shards == "sketch" else 0))
