@@ -18,6 +18,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,16 +65,18 @@ class WordEncoder:
             texts = [w.decode() for w in part]
             done = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
             starts = np.cumsum([0] + [len(t) + 1 for t in texts])
-            at = (np.searchsorted(np.fromiter((o[0] for o in done.offsets), dtype=np.int64, count=len(done.offsets)), starts) * 4).tolist()
+            offsets = np.array(done.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+            at = (np.searchsorted(offsets, starts) * 4).tolist()
             ids = np.array(done.ids, dtype="<u4").tobytes()
             self.known.update(zip(part, (ids[x:y] for x, y in zip(at, at[1:], strict=False)), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.lower().split() for t in texts]
-        new = {w for words in split for w in words} - self.known.keys()
+        found = set(chain.from_iterable(split))
+        new = found - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED:
             self.known = {w: self.known[w] for w in (b".", b",")}
-            new = {w for words in split for w in words} - self.known.keys()
+            new = found - self.known.keys()
         ended = {w for w in new if w[-1:] in (b".", b",") and w[:-1].isalpha()}
         self.learn(list((new - ended) | ({w[:-1] for w in ended} - self.known.keys())))
         known = self.known
