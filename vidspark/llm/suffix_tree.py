@@ -38,10 +38,10 @@ from pyspark.sql import functions as F
 from vidspark.llm.text import only
 from vidspark.session import stored
 
-DEPTH, LEAST, HEAD = 5, 5e-5, 100_000
+DEPTH, LEAST, HEAD = 4, 5e-5, 200_000
 END = b"\n"
-#: Bytes of text, and different words, that a counting task holds before it hands on its counts.
-TOGETHER, WORDS = 16_000_000, 400_000
+#: Bytes of text counted at once, and different words or contexts a task holds before it hands on counts.
+TOGETHER, HELD = 2_000_000, 400_000
 
 
 def held_out(id_column: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -62,34 +62,43 @@ def grams(data: bytes) -> np.ndarray:
     return out
 
 
+def _merged(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts summed over equal codes."""
+    order = np.argsort(codes, kind="stable")
+    codes, n = codes[order], n[order]
+    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    return codes[first], np.add.reduceat(n, first)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts of words and of contexts with their next byte."""
     words: Counter[bytes] = Counter()
+    codes, n = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     parts: list[np.ndarray] = []
     size = 0
-
-    def handed() -> pa.RecordBatch:
-        codes, n = np.unique(np.concatenate(parts), return_counts=True)
-        keys = pa.array(list(words), pa.binary()).cast(pa.string())
-        total = len(keys) + len(codes)
-        return pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([keys, pa.nulls(len(codes), pa.string())]), pa.concat_arrays([pa.nulls(len(keys), pa.int64()), pa.array(codes)]), pa.concat_arrays([pa.array(list(words.values()), pa.int64()), pa.array(n.astype(np.int64))])],
-            names=["word", "gram", "n"],
-        ).slice(0, total)
-
+    names = ["word", "gram", "n"]
     for batch in batches:
         for value in batch.column("_text"):
             w = (value.as_py() or "").encode().lower().split()
             words.update(w)
             words[END] += 1
-            data = stream(w)
-            parts.append(grams(data))
-            size += len(data)
-            if size >= TOGETHER or len(words) >= WORDS:
-                yield handed()
-                words.clear()
+            parts.append(grams(stream(w)))
+            size += len(parts[-1])
+            if size >= TOGETHER:
+                new, times = np.unique(np.concatenate(parts), return_counts=True)
+                codes, n = _merged(np.concatenate((codes, new)), np.concatenate((n, times)))
                 parts, size = [], 0
-    if parts:
-        yield handed()
+            if len(words) >= HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()).cast(pa.string()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())], names=names)
+                words.clear()
+            if len(codes) >= HELD:
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(codes), pa.string()), pa.array(codes), pa.array(n)], names=names)
+                codes, n = codes[:0], n[:0]
+    if words:
+        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()).cast(pa.string()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())], names=names)
+        new, times = np.unique(np.concatenate([*parts, codes[:0]]), return_counts=True)
+        codes, n = _merged(np.concatenate((codes, new)), np.concatenate((n, times)))
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(codes), pa.string()), pa.array(codes), pa.array(n)], names=names)
 
 
 def tree_counts(counted: DataFrame, least: float) -> list[tuple[int, int, int, int]]:
@@ -204,7 +213,7 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", f
     each = rows.mapInArrow(partial(_score, model=spark.sparkContext.broadcast(model)), kind)
     each = stored(each.withColumn("_row", F.monotonically_increasing_id()))
     # one row per token outside the head: such a word has no large part of the rows
-    tail = each.select("_row", F.explode("rare").alias("r")).select("_row", "r.word", "r.tree").join(words, "word", "left")
+    tail = each.select("_row", F.explode("rare").alias("r")).select("_row", "r.word", "r.tree").join(words.hint("shuffle_hash"), "word", "left")
     smooth = F.when(F.col("c") > 0, F.log10(F.col("c") + once / 2 * F.pow(F.lit(10.0), F.col("tree")))).otherwise(F.lit(math.log10(once / 2)))
     tail = tail.groupBy("_row").agg(F.count("c").alias("n_tail"), F.sum(F.coalesce(F.log10(F.col("c") + 1), F.lit(0.0))).alias("base_tail"), F.sum(smooth).alias("score_tail"))
     out = each.drop("rare").join(tail, "_row", "left")
