@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pytest
@@ -114,6 +115,44 @@ def test_scores_awkward(spark):
     assert suffix_tree.scored(empty(spark)).collect() == []
 
 
+def test_tree_beats_its_own_root(spark, sf):
+    """On held-out texts, the same smoothing with contexts of two words, of one, of none."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    none, one, two = (sum(r["score"] for r in suffix_tree.scored(docs, order=k).filter("held_out").collect()) for k in (0, 1, 2))
+    assert two > 0.97 * one > 0.97 * 0.97 * none and two - none > 0.15 * abs(none)
+
+
+def test_scores_follow_contexts_and_spellings(spark):
+    """Rare contexts count (aa is 12 of 60,000 positions); unseen words differ by context and spelling."""
+    ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 == 2][:5]
+    train = [k for k in range(200) if k not in ids and zlib.crc32(str(k).encode()) % 7 != 2][:2]
+    asked = ["aa bb", "bb aa", "w1 w7x", "aa w7x", "aa zq\u00e9\u2713"]
+    texts = [(train[0], " ".join(f"w{k % 500}" for k in range(60_000))), (train[1], "aa bb cc " * 12), *zip(ids, asked, strict=True)]
+    got = {r["doc_id"]: r for r in suffix_tree.scored(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    rows = [got[k] for k in ids]
+    assert [r["n_known"] for r in rows] == [3, 3, 2, 2, 2]
+    assert rows[0]["score"] > rows[1]["score"] + 1
+    one = {r["doc_id"]: r["score"] for r in suffix_tree.scored(spark.createDataFrame(texts, "doc_id long, text string"), order=0).collect()}
+    assert rows[2]["score"] - one[ids[2]] != pytest.approx(rows[3]["score"] - one[ids[3]], abs=0.1)
+    assert rows[3]["score"] == pytest.approx(rows[4]["score"]) and rows[3]["spelled_score"] > rows[4]["spelled_score"] + 1
+
+
+def test_probabilities_add_up(spark):
+    """After any context, seen or not, the training tokens and the one other symbol share 1."""
+    texts = ["a b a c a b d b a " * 3, "b c b a d d a b"]
+    names = ["a", "b", "c", "d", "\n", "other"]
+    asked = [f"{u} {v} {w}" for u in "abcd" for v in "abcd" for w in ("a", "b", "c", "d", "other")] + [f"{u} {v}" for u in "abcd" for v in "abcd"]
+    rows = spark.createDataFrame([(t, False) for t in texts] + [(t, True) for t in asked], "_text string, held_out boolean")
+    words, (child, logs, _, once), n, v = suffix_tree.model_of(rows, head=0)
+    assert (n, v) == (27 + 8 + 2, 5)
+    spelled = words.mapInArrow(partial(suffix_tree._spell, model=spark.sparkContext.broadcast((child, logs))), "w long, c long, spelled double")
+    p = {r["t"]: math.exp(r["p"]) for r in suffix_tree.probabilities(rows, spelled, n=n, once=once).collect()}
+    key = lambda *w: int(suffix_tree._keys(np.array([suffix_tree.xxh64_intdigest(x.encode()) for x in w], dtype=np.uint64)).view(np.int64)[0])
+    for u in "abcd":
+        for w in "abcd":
+            assert sum(p[key(u, w, x)] for x in names) == pytest.approx(1)
+
+
 # languages
 
 def test_languages_held_out(spark, sf):

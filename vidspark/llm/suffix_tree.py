@@ -1,21 +1,20 @@
 """Language-model scores from a probabilistic suffix tree.
 
-The tree is over the bytes of a text (its lower-cased words, each with a space behind it, then a line feed
-as the end). A context of up to `DEPTH` bytes is a candidate if it makes up at least the share `LEAST` of all
-positions, so a level holds at most 1 / LEAST of them however large the corpus; it is retained if the
-next-byte distribution diverges from that of its parent, the context without its oldest byte: the gain in
-log likelihood must exceed half the parameters times the log of the count. Parents of retained contexts
-stay. Next-byte distributions are smoothed into the parent's, in proportion to the number of different
-next bytes, down to the root's add-one distribution. Each byte is scored in the state of its longest
-retained suffix, and the bytes of a token give its probability under the tree.
-
-Tokens are smoothed the same way once more. The alphabet is that of the base: the training tokens and one
-symbol for all others. With c occurrences of a token among N, tree probability p and a tokens seen once, it
-scores (c + p a / 2) / (N + a), and the other symbol (a / 2) / (N + a): the probabilities after any text add
-up to 1 at most, as the tree's do.
-
-The unigram base counts words over all training texts. The most frequent `HEAD` words travel to the tasks
-as a table of fixed size; all others are counted by a join, so the vocabulary may grow without limit.
+The tree is over the words of a text (lower-cased, then a line feed as the end). A context is the one or
+`ORDER` words before a token, whatever its share of the corpus, so the tree grows with the corpus. It is
+retained if the next-word distribution diverges from that of its parent, the context without its oldest
+word: the gain in log likelihood must exceed half the parameters times the log of the count. Parents of
+retained contexts stay. Each token is scored in the state of its longest retained suffix, whose distribution
+is smoothed into the parent's in proportion to the number of different next words:
+(n + kinds * p(parent)) / (total + kinds). The root is the unigram base: with c occurrences of a token among
+N and a tokens seen once it gives c / (N + a), and a / (N + a) to all unseen ones.
+
+The alphabet of `score` is that of `base_score`: the training tokens and one symbol for all others, whose
+probability depends on the context; after any context all add up to 1. `spelled_score` tells unseen tokens
+apart: it multiplies in the bytes of each under a byte tree of depth `DEPTH`.
+
+Contexts, counts and probabilities are tables keyed by 64-bit hashes; they are joined and never collected.
+Only the byte tree, a level of which holds at most 1 / `LEAST` contexts, goes to the tasks that spell words.
 
 Defined results: null and empty texts are the end alone; a null id counts as '' when texts are held out;
 repeated rows count and are scored each; with no training text every token is the one other symbol; an
@@ -34,12 +33,16 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from vidspark.llm.text import only
 from vidspark.session import stored
 
 DEPTH, LEAST, HEAD = 4, 5e-5, 200_000
+ORDER = 2
 END = b"\n"
+#: Before a word that is spelled on its own: no context that was seen in training goes on beyond the space.
+ALONE = b"\0" * (DEPTH - 1) + b" "
 #: Bytes of text counted at once, and different words or contexts a task holds before it hands on counts.
 TOGETHER, HELD = 2_000_000, 400_000
 
@@ -71,19 +74,23 @@ def _merged(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of words and of contexts with their next byte."""
+    """Partial counts of words and of contexts with their next byte; texts held out count as 0."""
     words: Counter[bytes] = Counter()
     codes, n = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     parts: list[np.ndarray] = []
     size = 0
     names = ["word", "gram", "n"]
     for batch in batches:
-        for value in batch.column("_text"):
+        held = batch.column("held_out").to_pylist() if "held_out" in batch.schema.names else [False] * batch.num_rows
+        for value, out in zip(batch.column("_text"), held, strict=True):
             w = (value.as_py() or "").encode().lower().split()
-            words.update(w)
-            words[END] += 1
-            parts.append(grams(stream(w)))
-            size += len(parts[-1])
+            if out:
+                words.update(dict.fromkeys([*w, END], 0))
+            else:
+                words.update(w)
+                words[END] += 1
+                parts.append(grams(stream(w)))
+                size += len(parts[-1])
             if size >= TOGETHER:
                 new, times = np.unique(np.concatenate(parts), return_counts=True)
                 codes, n = _merged(np.concatenate((codes, new)), np.concatenate((n, times)))
@@ -96,7 +103,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 codes, n = codes[:0], n[:0]
     if words:
         yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()).cast(pa.string()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())], names=names)
-        new, times = np.unique(np.concatenate([*parts, codes[:0]]), return_counts=True)
+    new, times = np.unique(np.concatenate([*parts, codes[:0]]), return_counts=True)
+    if new.size or codes.size:
         codes, n = _merged(np.concatenate((codes, new)), np.concatenate((n, times)))
         yield pa.RecordBatch.from_arrays([pa.nulls(len(codes), pa.string()), pa.array(codes), pa.array(n)], names=names)
 
@@ -167,58 +175,172 @@ def token_logs(words: list[bytes], child: np.ndarray, logs: np.ndarray) -> np.nd
     return np.add.reduceat(byte_logs(stream(words), child, logs), np.r_[0, np.cumsum(sizes)])
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.RecordBatch]:
-    child, logs, head, once = model.value
-    get = head.get
+def _spell(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.RecordBatch]:
+    """hash, count and natural log of the spelling of every word."""
+    child, logs = model.value
     for batch in batches:
-        tokens, known, base, scores = [], [], [], []
-        words, trees, sizes = [], [], [0]
-        for value in batch.column("_text"):
-            w = (value.as_py() or "").encode().lower().split()
-            tree = token_logs(w, child, logs)
-            w.append(END)
-            c = np.fromiter((get(x, 0) for x in w), dtype=np.int64, count=len(w))
-            sure = c > 0
-            tokens.append(len(w))
-            known.append(int(sure.sum()))
-            base.append(float(np.log10(c[sure] + 1).sum()))
-            scores.append(float(np.log10(c[sure] + once / 2 * 10 ** tree[sure]).sum()))
-            rest = np.flatnonzero(~sure)
-            words += [w[k] for k in rest]
-            trees.append(tree[rest])
-            sizes.append(len(rest))
-        pairs = pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(np.concatenate(trees) if trees else [], pa.float64())], names=["word", "tree"])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("held_out"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pairs)],
-            names=["doc_id", "held_out", "n_tokens", "n_head", "base_head", "score_head", "rare"],
-        )
+        words = [x.encode() for x in batch.column("word").to_pylist()]
+        spelled, low = np.empty(len(words)), 0
+        while low < len(words):
+            high, size = low, 0
+            while high < len(words) and size < TOGETHER:
+                size += len(words[high]) + 1 + DEPTH
+                high += 1
+            data = b"".join(ALONE + (x if x == END else x + b" ") for x in words[low:high])
+            sizes = np.fromiter((len(x) + (x != END) for x in words[low:high]), dtype=np.int64, count=high - low)
+            starts = np.r_[0, np.cumsum(sizes + DEPTH)[:-1]]
+            each = np.r_[np.zeros(DEPTH), byte_logs(data, child, logs)]
+            each[(starts[:, None] + np.arange(DEPTH)).ravel()] = 0  # the padding
+            spelled[low:high] = np.add.reduceat(each, starts)
+            low = high
+        hashes = np.fromiter((xxh64_intdigest(x) for x in words), dtype=np.uint64, count=len(words)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(hashes), batch.column("c"), pa.array(spelled * math.log(10))], names=["w", "c", "spelled"])
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a ^ (a >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _hashes(text: str | None, cache: dict[bytes, int]) -> np.ndarray:
+    """Hashes of the words and the end, behind ORDER zeros for the start."""
+    w = [*(text or "").encode().lower().split(), END]
+    if len(cache) > HELD:
+        cache.clear()
+    out = np.zeros(len(w) + ORDER, dtype=np.uint64)
+    for k, x in enumerate(w, ORDER):
+        h = cache.get(x)
+        if h is None:
+            h = cache[x] = xxh64_intdigest(x)
+        out[k] = h
+    return out
+
+
+def _keys(h: np.ndarray) -> np.ndarray:
+    """One key per token with its ORDER words before it."""
+    return _mixed(_mixed(h[:-2], h[1:-1]), h[2:])
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial training counts of tokens with the words before them: t (the key of all three), u, v, w, n."""
+    cache: dict[bytes, int] = {}
+    parts: list[tuple[np.ndarray, bool]] = []
+    size = 0
+
+    def counts():
+        cols = [np.concatenate([h[k : len(h) - ORDER + k] for h, _ in parts]) for k in range(ORDER + 1)]
+        t = np.concatenate([_keys(h) for h, _ in parts])
+        train = np.concatenate([np.full(len(h) - ORDER, not out, dtype=np.int64) for h, out in parts])
+        order = np.argsort(t, kind="stable")
+        t = t[order]
+        first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+        n = np.add.reduceat(train[order], first)
+        return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (t[first], *(c[order[first]] for c in cols))), pa.array(n)], names=["t", "u", "v", "w", "n"])
+
+    for batch in batches:
+        for value, out in zip(batch.column("_text"), batch.column("held_out").to_pylist(), strict=True):
+            parts.append((_hashes(value.as_py(), cache), out))
+            size += len(parts[-1][0])
+            if size >= TOGETHER:
+                yield counts()
+                parts, size = [], 0
+    if parts:
+        yield counts()
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_row, t and how often, of every text; the first row of a text carries its other columns."""
+    cache: dict[bytes, int] = {}
+    for batch in batches:
+        rows = batch.column("_row").to_numpy()
+        low = 0
+        while low < batch.num_rows:
+            keys, times, sizes, lengths, size = [], [], [], [], 0
+            high = low
+            while high < batch.num_rows and size < TOGETHER:
+                h = _hashes(batch.column("_text")[high].as_py(), cache)
+                t, n = np.unique(_keys(h), return_counts=True)
+                keys.append(t)
+                times.append(n)
+                sizes.append(len(t))
+                lengths.append(len(h) - ORDER)
+                size += len(t)
+                high += 1
+            first = np.r_[0, np.cumsum(sizes)[:-1]]
+            place = np.full(size, -1, dtype=np.int64)
+            place[first] = np.arange(high - low)
+            place = pa.array(place, mask=place < 0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(rows[low:high], sizes)), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(times).astype(np.int32)),
+                 batch.column("doc_id").slice(low, high - low).take(place), batch.column("held_out").slice(low, high - low).take(place), pa.array(np.array(lengths, dtype=np.int64)).take(place)],
+                names=["_row", "t", "times", "doc_id", "held_out", "n_tokens"],
+            )
+            low = high
 
 
 def model_of(texts: DataFrame, *, least: float = LEAST, head: int = HEAD) -> tuple[DataFrame, tuple, int, int]:
-    """(word counts, (child, logs, counts of the head words, tokens seen once), tokens, different tokens)."""
+    """(word counts, (child, logs, counts of the head words, tokens seen once), tokens, different tokens).
+    Where `texts` has a column held_out, such texts only add their words to the table, with a count of 0."""
     counted = stored(texts.mapInArrow(_count, "word string, gram long, n long"))
     words = stored(counted.filter("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
-    n, v, once = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("c") == 1, 1))).first()
-    top = {r["word"].encode(): r["c"] for r in words.orderBy(F.desc("c"), "word").limit(head).collect()}
+    n, v, once = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count(F.when(F.col("c") == 1, 1))).first()
+    top = {r["word"].encode(): r["c"] for r in words.filter("c > 0").orderBy(F.desc("c"), "word").limit(head).collect()} if head else {}
     return words, (*build(tree_counts(counted, least)), top, max(once, 1)), n, v
 
 
-def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, least: float = LEAST, head: int = HEAD) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+def _divergent(counts: DataFrame, context: list[str], p: str) -> DataFrame:
+    """Contexts that pass the test: `context`, total, kinds. `counts`: context, n and, as `p`, the share
+    of the next word under the parent."""
+    gain = F.sum(F.col("n") * F.log(F.col("n") / F.col(p)))
+    tested = counts.groupBy(*context).agg(gain.alias("_gain"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+    # sum of n log((n / total) / p)
+    return tested.filter(F.col("_gain") - F.col("total") * F.log("total") > 0.5 * F.col("kinds") * F.log("total")).select(*context, "total", "kinds")
+
+
+def probabilities(rows: DataFrame, words: DataFrame, *, n: int, once: int, order: int = ORDER) -> DataFrame:
+    """t, c (count of the token), p (its natural log probability in the state of its longest retained suffix)
+    and, where it is unseen, the log of its spelling, of every different token with context in `rows`
+    (_text, held_out). `words`: w, c, spelled."""
+    root = F.log(F.when(F.col("c") > 0, F.col("c")).otherwise(once) / (n + once))
+    every = rows.mapInArrow(_contexts, "t long, u long, v long, w long, n long").groupBy("t", "u", "v", "w").agg(F.sum("n").alias("n"))
+    every = stored(every)
+    # one word before: pairs with the token's root and its share of the corpus
+    pairs = every.groupBy("v", "w").agg(F.sum("n").alias("n")).join(words, "w")
+    pairs = pairs.select("v", "w", "n", "c", root.alias("p0"), F.when(F.col("c") == 0, F.col("spelled")).otherwise(0.0).alias("spelled"))
+    pairs = stored(pairs)
+    first = _divergent(pairs.filter("n > 0").withColumn("_p", F.col("c") / n), ["v"], "_p")
+    totals = pairs.groupBy("v").agg(F.sum("n").alias("vn"))
+    seen = every.filter("n > 0").join(pairs.select("v", "w", F.col("n").alias("pn")), ["v", "w"]).join(totals, "v")
+    second = stored(_divergent(seen.withColumn("_p", F.col("pn") / F.col("vn")), ["u", "v"], "_p"))
+    if order < 2:
+        second = second.limit(0)
+    # parents of retained contexts stay
+    states = pairs.filter("n > 0").groupBy("v").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+    states = states.join(first.select("v").union(second.select("v")).distinct(), "v", "left_semi")
+    if order < 1:
+        states = states.limit(0)
+    smooth = lambda up: F.when(F.col("total").isNull(), F.col(up)).otherwise(F.log((F.col("n") + F.col("kinds") * F.exp(up)) / (F.col("total") + F.col("kinds"))))
+    pairs = pairs.join(states, "v", "left").select("v", "w", "c", "spelled", smooth("p0").alias("p1"))
+    return every.join(pairs, ["v", "w"]).join(second, ["u", "v"], "left").select("t", "c", "spelled", smooth("p1").alias("p"))
+
+
+def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, least: float = LEAST, head: int = 0, order: int = ORDER) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, spelled_score of every row. With `order` 1 or 0
+    the tree ends at contexts of one word, or at its root. `head` has no influence on the result."""
     spark: SparkSession = docs.sparkSession
     rows = only(docs, doc_id=id_col, _text=text_col).withColumn("held_out", held_out(F.col("doc_id"), folds, fold))
-    words, model, n, v = model_of(rows.filter(~F.col("held_out")).select("_text"), least=least, head=head)
-    once = model[-1]
-    kind = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_head long, base_head double, score_head double, rare array<struct<word: string, tree: double>>"
-    each = rows.mapInArrow(partial(_score, model=spark.sparkContext.broadcast(model)), kind)
-    each = stored(each.withColumn("_row", F.monotonically_increasing_id()))
-    # one row per token outside the head: such a word has no large part of the rows
-    tail = each.select("_row", F.explode("rare").alias("r")).select("_row", "r.word", "r.tree").join(words.hint("shuffle_hash"), "word", "left")
-    smooth = F.when(F.col("c") > 0, F.log10(F.col("c") + once / 2 * F.pow(F.lit(10.0), F.col("tree")))).otherwise(F.lit(math.log10(once / 2)))
-    tail = tail.groupBy("_row").agg(F.count("c").alias("n_tail"), F.sum(F.coalesce(F.log10(F.col("c") + 1), F.lit(0.0))).alias("base_tail"), F.sum(smooth).alias("score_tail"))
-    out = each.drop("rare").join(tail, "_row", "left")
-    whole = lambda kind, total: F.col(f"{kind}_head") + F.coalesce(f"{kind}_tail", F.lit(0.0)) - F.col("n_tokens") * math.log10(total)
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        whole("base", n + v + 1).alias("base_score"), whole("score", n + once).alias("score"),
+    words, (child, logs, _, once), n, v = model_of(rows.select("_text", "held_out"), least=least, head=head)
+    spelled = stored(words.mapInArrow(partial(_spell, model=spark.sparkContext.broadcast((child, logs))), "w long, c long, spelled double"))
+    table = probabilities(rows.select("_text", "held_out"), spelled, n=n, once=once, order=order)
+    kind = f"_row long, t long, times int, doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long"
+    tokens = rows.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(_tokens, kind)
+    ln = math.log(10)
+    known = tokens.join(table, "t").groupBy("_row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"),
+        F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("_base"), (F.sum(F.col("times") * F.col("p")) / ln).alias("score"), (F.sum(F.col("times") * F.col("spelled")) / ln).alias("_spelled"),
+    )
+    return known.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("_base") - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"), "score", (F.col("score") + F.col("_spelled")).alias("spelled_score"),
     )
