@@ -67,6 +67,22 @@ def test_hot_shards_are_cut_without_losing_links(spark, limit, radius):
     assert [got[p] for p in signed] == root
 
 
+@pytest.mark.parametrize("limit", [1, 20, 4096])
+def test_hot_sketch_shards_lose_no_link(spark, limit):
+    """All share one min-hash and no other, as under a common passage; pairs lie up to 9 bits apart."""
+    rng = random.Random(7)
+    prints = []
+    for _ in range(60):
+        base = rng.getrandbits(64)
+        prints += [base] + [base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(6, 11))) for _ in range(3)]
+    prints = list(dict.fromkeys(prints))
+    root = plain_components(prints, 9)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    df = spark.createDataFrame([(i, 0, p, [77, *(1000 + 4 * i + k for k in range(4))]) for i, p in enumerate(signed)], "doc_id long, text_hash long, fp long, mins array<long>")
+    got = {r["fp"]: r["low"]["doc_id"] for r in simhash.components(df, radius=9, shards="sketch", limit=limit).collect()}
+    assert [got[p] for p in signed] == root
+
+
 def test_awkward_rows(spark):
     got = simhash.near_duplicates(awkward(spark)).collect()
     assert len(got) == len(AWKWARD)

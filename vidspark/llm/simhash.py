@@ -10,8 +10,9 @@ Shards, `shards="blocks"` (exact for any radius): the 64 bits are cut into radiu
 `radius` of which can differ, so a linked pair agrees in some two blocks: one shard per pair of blocks
 and their value. A shard above `SHARD` is cut again by two blocks of its free bits, which leaves at most
 65,536 values at radius 2. `shards="sketch"` (for wider radii): one shard per min-hash of the word
-shingles; a shard above the limit is cut again by a second and a third min-hash, which a pair at a
-similarity of 0.8 still shares with 99 and 94 %.
+shingles. A shard above the limit is cut, without losing a pair, by the bits: they are dealt into radius + 1
+blocks, one of which any two values within the radius agree in. A part that is still above the limit is cut
+once more by the bits outside that block; what is left is searched whole. So the links do not depend on the limit.
 
 Defined results: null or empty texts have fingerprint 0 and are linked like any other; null ids rank
 last (component_id is null only if all ids of the component are); repeated rows are kept and share a
@@ -106,10 +107,19 @@ def _block_keys(radius: int) -> tuple[Column, Column]:
     return top, deep
 
 
-def _sketch_keys(level: int) -> Column:
-    """Hashes of `level` min-hashes each; kinds are told apart by the first positions they hold."""
-    combos = [c for n in (level,) for c in combinations(range(SKETCHES), n)]
-    return F.array(*[F.struct(F.lit(1000 * level + k).alias("kind"), F.xxhash64(F.lit(k), *[F.get("mins", F.lit(i)) for i in c]).alias("value")) for k, c in enumerate(combos)])
+def _sketch_keys(radius: int) -> list[Column]:
+    """One level of min-hashes and two of blocks of bits inside a shard of the level before."""
+    blocks = lambda free: [tuple(int(x) for x in b) for b in np.array_split(np.array(free), radius + 1)]
+    take = lambda bits: F.xxhash64("kind", "value", F.lit(bits[0] if bits else -1), F.col("fp").bitwiseAND(F.lit(_signed(bits)).cast("long")))
+    top = F.array(*[F.struct(F.lit(k).alias("kind"), F.xxhash64(F.lit(k), F.get("mins", F.lit(k))).alias("value")) for k in range(SKETCHES)])
+    first = blocks(range(64))
+    cut = F.array(*[F.struct(F.lit(1000 + k).alias("kind"), take(bits).alias("value")) for k, bits in enumerate(first)])
+    again = None
+    for k, bits in enumerate(first):
+        free = [b for b in range(64) if b not in bits]
+        sub = F.array(*[F.struct(F.lit(1000 * (k + 2) + j).alias("kind"), take(more).alias("value")) for j, more in enumerate(blocks(free))])
+        again = F.when(F.col("kind") == 1000 + k, sub) if again is None else again.when(F.col("kind") == 1000 + k, sub)
+    return [top, cut, again]
 
 
 def _forest(batches: Iterator[pa.RecordBatch], radius: int, rows: int) -> Iterator[pa.RecordBatch]:
@@ -152,20 +162,20 @@ def print_links(prints: DataFrame, *, radius: int, shards: str = "blocks", limit
     and share a shard. `prints`: fp, with shards="sketch" also mins; best read from a cut lineage."""
     if shards == "blocks":
         top, deep = _block_keys(radius)
-        levels, carry = [top, deep], []
-        base = prints.select("fp").distinct()
+        levels = [top, deep]
+        base, repeated = prints.select("fp").distinct(), False
     else:
-        levels, carry = [_sketch_keys(n) for n in (1, 2, 3)], ["mins"]
+        levels, repeated = _sketch_keys(radius), True
         base = prints.select("fp", "mins").distinct()
     rows, out = base, []
     for depth, keys in enumerate(levels):
-        keyed = rows.select("fp", *carry, F.explode(keys).alias("_k")).select("fp", *carry, "_k.kind", "_k.value")
-        if depth:
+        keyed = rows.select("fp", F.explode(keys).alias("_k")).select("fp", "_k.kind", "_k.value")
+        if depth or repeated:
             keyed = keyed.distinct()
         counts = keyed.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         last = depth == len(levels) - 1
         some = keyed.join(counts if last else counts.filter(F.col("n") <= limit), ["kind", "value"])
-        out.append(_links(some.select("kind", "value", "fp").distinct() if carry else some, radius))
+        out.append(_links(some, radius))
         if last or counts.filter(F.col("n") > limit).isEmpty():
             break
         rows = keyed.join(counts.filter(F.col("n") > limit), ["kind", "value"]).drop("n")
