@@ -120,3 +120,19 @@ def test_no_local_checkpoints_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         checkpoint_root(Session())
+
+
+def test_one_person_with_many_vectors_hides_nobody(spark):
+    """12 rows of the nearest person, then a second match and a near miss."""
+    import math
+
+    from vidspark.plans.recognition import recognise_images
+
+    at = lambda d: [1 - d, math.sqrt(1 - (1 - d) ** 2)]
+    rows = [(k, 1, "a", at(0.01 + k / 1000)) for k in range(12)] + [(20, 2, "a", at(0.3)), (21, 3, "a", at(0.5))]
+    gallery = spark.createDataFrame(rows, "vec_id long, person_id long, domain string, embedding array<double>")
+    persons = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three")], "person_id long, name string")
+    face = (1, 7, "a", at(0.0), 0.99, "l", "r", 1e4, 1e4, 128.0, 1e4, 50.0)
+    faces = spark.createDataFrame([face], "probe_id long, image_id long, domain string, embedding array<double>, confidence double, left_eye string, right_eye string, blur double, contrast double, brightness double, edges double, area double")
+    r = recognise_images(faces, gallery, persons, dim=2).first()
+    assert (r["rejected"], r["persons_matched"], r["person"], r["near_person"]) == (0, 2, "one", "three")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vidspark.functions.vectors import confidence_pct, valid_vector
 from vidspark.operators.gates import crop_reject, detection_reject, relative_size_filter
-from vidspark.operators.search import knn_join
+from vidspark.operators.search import match_folds
 from vidspark.params import VECTOR_IMAGE, GateProfile
 
 
@@ -21,16 +21,16 @@ def gate_faces(faces: DataFrame, *, dim: int, profile: GateProfile = VECTOR_IMAG
     return faces.withColumn("reject_reason", reason)
 
 
-def recognise_images(faces: DataFrame, gallery: DataFrame, persons: DataFrame, *, dim: int, threshold: float = 0.45, near: float = 1.4, k: int = 10, profile: GateProfile = VECTOR_IMAGE, min_share: float = 0.30, **knn) -> DataFrame:
-    """Gates, size filter, one search at the widest cutoff, then per image the best match below the
+def recognise_images(faces: DataFrame, gallery: DataFrame, persons: DataFrame, *, dim: int, threshold: float = 0.45, near: float = 1.4, profile: GateProfile = VECTOR_IMAGE, min_share: float = 0.30, **blocks) -> DataFrame:
+    """Gates, size filter, one search at the widest cutoff over every gallery row, folded per image and person
+    inside the block kernel, then per image the best match below the
     threshold and the nearest person missed by no more than the `near` factor. Gates are Column
     expressions below the search, so they reach the scan."""
     gated = gate_faces(faces, dim=dim, profile=profile)
     valid = relative_size_filter(gated.filter("reject_reason IS NULL"), image="image_id", area="area", ratio=min_share)
-    hits = knn_join(valid, gallery, k=k, threshold=threshold * near, cut="after", **knn)
-    hits = hits.join(valid.select("probe_id", "image_id"), "probe_id").join(persons.select("person_id", F.col("name").alias("person")), "person_id")
-    # one row per (image, person): de-duplicated before anything is cut off
-    per = hits.groupBy("image_id", "person").agg(F.min("distance").alias("distance"))
+    hits = match_folds(valid, gallery, threshold=threshold * near, lowest=1, **blocks)
+    hits = hits.join(persons.select("person_id", F.col("name").alias("person")), "person_id")
+    per = hits.groupBy("image_id", "person").agg(F.min("min_distance").alias("distance"))
     hit, miss = F.col("distance") < threshold, F.col("distance") >= threshold
     key = F.struct("distance", "person")
     best = per.groupBy("image_id").agg(
