@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidspark.llm import chat, content_sort, language_id, mixing, packing, personal_data, quality_rules, simhash, substrings, suffix_tree
+from vidspark.llm import chat, content_sort, language_id, mixing, packing, personal_data, quality_rules, resampling, sentence_pieces, simhash, substrings, suffix_tree, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -161,3 +161,73 @@ def op9_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = chat.read_back(formatted)
     digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
     return back.select("conv_id", "n_turns", digest("turns").alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), digest("loss").alias("loss_sha256"), "formatted_chars")
+
+
+#: DuckDB: bucket of a feature by its CRC-32, byte by byte through the table of the reflected polynomial.
+_CRC_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+RESAMPLE_SQL = rf"""
+WITH crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: {_CRC_STEP}) AS c FROM range(256) AS r(i))),
+d AS (SELECT row_number() OVER () AS k, doc_id, w, len(w) AS nw FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+fd AS (SELECT k, g, count(*) AS n FROM (SELECT k, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM d) GROUP BY k, g),
+fb AS (SELECT g, count(*) AS n FROM (SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM b) GROUP BY g),
+g AS (SELECT g, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, strlen(g) + 1), lambda i: ('0x' || hex(encode(g))[2 * i - 1:2 * i])::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+    FROM (SELECT g FROM fd UNION SELECT g FROM fb), crc),
+s AS (SELECT bucket, sum(n)::BIGINT AS n FROM fd JOIN g USING (g) GROUP BY bucket), t AS (SELECT bucket, sum(n)::BIGINT AS n FROM fb JOIN g USING (g) GROUP BY bucket),
+gains AS (SELECT i AS bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+    FROM range(10000) AS r(i) LEFT JOIN s ON s.bucket = i LEFT JOIN t ON t.bucket = i),
+w AS (SELECT k, sum(n)::BIGINT AS n_features, floor(sum(n * gain) / sum(n))::BIGINT AS weight FROM fd JOIN g USING (g) JOIN gains USING (bucket) GROUP BY k),
+sc AS (SELECT doc_id, nw, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('7:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN w USING (k)),
+r AS (SELECT *, row_number() OVER (PARTITION BY nw >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS rank, count(*) FILTER (nw >= 20) OVER () AS n FROM sc)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN nw >= 20 AND rank <= 25 * n // 100 THEN rank END AS rank FROM r"""
+
+
+@register("op12_radix_resampling", RESAMPLE_SQL)
+def op12_radix_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), share=25, least=20).drop("n_words")
+
+
+def piece_model() -> str:
+    """The public vocabulary file of the piece queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@register("op13_prefix_table")
+def op13_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentence_pieces.encoded(table(spark, sf_dir, "documents"), piece_model(), as_bytes=True, with_text=True)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Each round: nearest entry of every distinct part, then floored means. e0 are the first vectors."""
+    out = []
+    for k in range(rounds + 1):
+        out.append(
+            f"n{k} AS (SELECT u.pos, u.part, any_value(u.n) AS n, min(list_sum(list_transform(list_zip(u.part, e.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 64 + e.e) AS best FROM u JOIN e{k} e ON e.pos = u.pos GROUP BY u.pos, u.part)"
+        )
+        if k < rounds:
+            out.append(f"s{k} AS (SELECT pos, best % 64 AS e, sum(n)::BIGINT AS n, {', '.join(f'sum(n * part[{i}])::BIGINT AS s{i}' for i in range(1, 5))} FROM n{k} GROUP BY pos, best % 64)")
+            means = ", ".join(f"(s{i} - ((s{i} % s{k}.n + s{k}.n) % s{k}.n)) // s{k}.n" for i in range(1, 5))
+            out.append(f"e{k + 1} AS (SELECT e.pos, e.e, CASE WHEN s{k}.n IS NULL THEN e.c ELSE [{means}] END AS c FROM e{k} e LEFT JOIN s{k} ON s{k}.pos = e.pos AND s{k}.e = e.e)")
+    return ",\n".join(out)
+
+
+CODES_SQL = rf"""
+WITH v AS (SELECT row_number() OVER () AS k, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS q FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS (SELECT k, pos, q[4 * pos + 1:4 * pos + 4] AS part FROM v, range(16) AS r(pos)), u AS (SELECT pos, part, count(*) AS n FROM p GROUP BY pos, part),
+e0 AS (SELECT p.pos, x.e, p.part AS c FROM p JOIN (SELECT k, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v QUALIFY e < 64) x USING (k)),
+{_rounds_sql(vector_codes.ROUNDS)},
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY pos, e)) AS h FROM e{vector_codes.ROUNDS}),
+coded AS (SELECT k, string_agg(printf('%02x', best % 64), '' ORDER BY pos) AS code, sum(best // 64)::BIGINT AS error FROM p JOIN n{vector_codes.ROUNDS} USING (pos, part) GROUP BY k)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM v JOIN coded USING (k), books"""
+
+
+@register("op11_part_trie", CODES_SQL)
+def op11_part_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compressed(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+    code = F.array_join(F.transform("codes", lambda x: F.lpad(F.lower(F.hex(x)), 2, "0")), "")
+    return codes.select("vec_id", code.alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
