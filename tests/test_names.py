@@ -58,7 +58,18 @@ def test_folding_is_the_compatibility_decomposition(spark):
     assert [r.s for r in got] == ["fine", "Ana", "xTM", "IV"]
 
 
-@pytest.mark.parametrize("threshold", [90.0, 85.0, 70.0])
+@pytest.mark.parametrize(("ratio", "most"), [(0.7, 0.2), (0.8, 0.02), (0.9, 0.005)])
+def test_joined_rows_of_a_growing_list(spark, ratio, most):
+    """The share of all pairs that the keys bring together is small and does not grow with the list."""
+    rng, syllables, shares = random.Random(4), [c + v for c in "bcdfghjklmnprstvz" for v in "aeiou"], []
+    for n in (400, 3200):
+        forms = {" ".join("".join(rng.choice(syllables) for _ in range(rng.randint(2, 4))) for _ in range(2)) for _ in range(n)}
+        df = spark.createDataFrame([(x,) for x in sorted(forms)], "form string")
+        shares.append(naming.met_pairs(df, df, ratio=ratio).count() / n / n)
+    assert shares[1] < most and shares[1] < max(1.1 * shares[0], 0.002), shares
+
+
+@pytest.mark.parametrize("threshold", [90.0, 85.0, 80.0, 70.0, 60.0])
 def test_blocking_loses_no_similar_pair(spark, names, threshold):
     want = {(a, b) for a, b in itertools.permutations(names, 2) if ratio(norm(a), norm(b)) >= threshold}
     got = naming.similar_names(frame(spark, names), threshold=threshold).collect()

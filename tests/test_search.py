@@ -63,7 +63,7 @@ def test_pivots_rule_out_cells(spark):
     centres = np.eye(8)
     g = np.repeat(centres, 50, axis=0) + 0.01 * RNG.normal(size=(400, 8))
     gal = table(spark, g, ["a"] * 400)
-    placed = search._assign(gal, centres, ["domain"], 10)
+    placed = search._assign(gal, centres, ["domain"], 10, True)
     cells = placed.groupBy("domain", "_cell").agg(F.max("_radius").alias("_r"))
     routed = search._route(table(spark, g, ["a"] * 400, "probe_id"), cells, centres, ["domain"], reach=np.sqrt(2 * 0.1), nprobe=None)
     assert routed.count() == 400

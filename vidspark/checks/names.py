@@ -146,6 +146,12 @@ def similar_names(spark, sf):
     return naming.similar_names(view(spark, sf, "names"), threshold=90.0)
 
 
+@query("same_names", f"""WITH n AS (SELECT DISTINCT name, {COMPARE.replace('{c}', 'name')} AS f FROM names) SELECT a.name AS source, b.name AS target, 100.0e0 AS similarity FROM n a JOIN n b ON a.f = b.f AND a.name <> b.name""", ("names",))
+def same_names(spark, sf):
+    """The part of the similar names that SQL can say: equal comparison forms. Each form is also written with capitals and in its file form."""
+    return naming.similar_names(view(spark, sf, "names"), threshold=100.0)
+
+
 VARIANTS = """WITH m AS (SELECT * FROM (VALUES (0, 'red', 'blue'), (1, 'small', 'large'), (2, 'ring', 'ring')) v(idx, l, i)), n AS (SELECT DISTINCT name FROM names),
     p AS (SELECT n.name, m.idx, 0 AS side, o.name AS target FROM n JOIN m ON contains(lower(n.name), m.l) JOIN n o ON contains(lower(o.name), m.i) AND o.name <> n.name
           UNION ALL SELECT n.name, m.idx, 1, o.name FROM n JOIN m ON contains(lower(n.name), m.i) JOIN n o ON contains(lower(o.name), m.l) AND o.name <> n.name)
@@ -164,6 +170,17 @@ def nickname_matches(spark, sf):
     return naming.nickname_matches(n, nicknames=[("small", "large"), ("red", "blue")], surname_similarity=60.0)
 
 
+NICK = """WITH p AS (SELECT DISTINCT replace(name, '_', ' ') AS name, string_split(lower(trim(replace(name, '_', ' '))), ' ') AS w FROM names), n AS (SELECT name, w[1] AS first, w[-1] AS last FROM p WHERE len(w) > 1)
+    SELECT a.name AS source, min(b.name) AS target, arg_min(m.nick || ' is short for ' || m.whole, (b.name, m.nick, m.whole)) AS reason FROM n a JOIN (VALUES ('small', 'large'), ('red', 'blue')) m(nick, whole) ON m.nick = a.first JOIN n b ON b.first = m.whole AND b.last = a.last WHERE a.name <> b.name GROUP BY a.name"""
+
+
+@query("nicknames_of_a_surname", NICK, ("names",))
+def nicknames_of_a_surname(spark, sf):
+    """Nickname and full name under one and the same last name."""
+    n = view(spark, sf, "names").withColumn("name", N.display_name(F.col("name")))
+    return naming.nickname_matches(n, nicknames=[("small", "large"), ("red", "blue")], surname_similarity=100.0)
+
+
 @query("merge_candidates")
 def merge_candidates(spark, sf):
     people = view(spark, sf, "names").groupBy("name").agg(F.min("person_id").alias("person_id"))

@@ -13,19 +13,51 @@ from vidspark.params import MergeRules
 from vidspark.session import cut_lineage
 
 
-def _keys(forms: DataFrame, ratio: float, shorter: bool, keys: Sequence[str]) -> DataFrame:
-    """Join keys of the lossless block scheme, for the shorter or the longer side of a pair.
+#: Letters that share an order of rarity by count; the others come before them, by code point.
+COMMON = 1000
+#: Keys a name may have per pair of lengths: so many, or a sixteenth of the names where that is less.
+KEYS = 200
 
-    A ratio of at least r means that at least r(la+lb)/2 characters match in order. What is left
+
+def _letters(forms: DataFrame) -> DataFrame:
+    """`_t`: the letters of a form as (letter, occurrence), as many as it has letters."""
+    chars = "filter(split(form, ''), c -> c <> '')"
+    return forms.withColumn("_t", F.expr(f"transform({chars}, (c, i) -> concat(c, size(filter(slice({chars}, 1, i + 1), x -> x = c))))"))
+
+
+def _by_rarity(forms: DataFrame, common: Sequence[str]) -> DataFrame:
+    """`_t` from the rarest letter to the commonest; the order only has to be one and the same."""
+    if not common:
+        return forms
+    order = F.create_map(*[F.lit(x) for pair in ((t, i) for i, t in enumerate(common)) for x in pair])
+    keyed = F.transform("_t", lambda t: F.struct((-F.coalesce(order[t], F.lit(COMMON))).alias("o"), t.alias("t")))
+    return forms.withColumn("_t", F.transform(F.array_sort(keyed), lambda x: x["t"]))
+
+
+def _subset_size(most: int) -> str:
+    """How many rare letters make a key: the most, up to six, that give the longer side at most `most` keys."""
+    ways = {k: " * ".join(f"(_lb - _m + {j}) / {j}" for j in range(1, k + 1)) for k in range(6, 1, -1)}
+    return "CASE " + " ".join(f"WHEN {n} <= {most} + 1e-6 AND _m >= {k} THEN {k}" for k, n in ways.items()) + " ELSE 1 END"
+
+
+def _keys(forms: DataFrame, ratio: float, shorter: bool, keys: Sequence[str], lengths: Sequence[int], most: int) -> DataFrame:
+    """Join keys of two lossless schemes, for the shorter or the longer side of a pair.
+
+    A ratio of at least r means that at least m = r(la+lb)/2 characters match in order. What is left
     over on both sides damages at most that many of the shorter side's segments, so of one segment
     more at least one survives intact, moved by no more than the surplus. Both sides emit
-    (la, lb, segment number, text); where the segments would be shorter than two characters, and so
-    select nothing, the pair of lengths itself is the key.
+    (la, lb, segment number, text).
+
+    Where the segments would be shorter than three characters, rare letters are the keys: the two share m
+    (letter, occurrence) tokens, so in one order of rarity the first s they share are
+    among the first n - m + s of each side, and both emit every choice of s of those. `lengths`: those
+    the other side has.
     """
     n = "CAST(length(form) AS INT)"
     other = f"sequence({n}, CAST(floor({n} * {2 - ratio} / {ratio} + 1e-9) AS INT))" if shorter else f"sequence(greatest(1, CAST(ceil({n} * {ratio} / {2 - ratio} - 1e-9) AS INT)), {n})"
     la, lb = (n, "_o") if shorter else ("_o", n)
-    sized = forms.filter("form <> ''").withColumn("_o", F.explode(F.expr(other)))
+    present = f"array({', '.join(map(str, lengths)) or '-1'})"
+    sized = forms.filter("form <> ''").withColumn("_o", F.explode(F.expr(f"array_intersect({other}, {present})")))
     sized = sized.withColumn("_la", F.expr(la)).withColumn("_lb", F.expr(lb))
     sized = sized.withColumn("_m", F.expr(f"CAST(ceil({ratio} * (_la + _lb) / 2 - 1e-9) AS INT)"))
     sized = sized.withColumn("_k", F.expr("_la + _lb - 2 * _m + 1"))
@@ -35,8 +67,11 @@ def _keys(forms: DataFrame, ratio: float, shorter: bool, keys: Sequence[str]) ->
     else:
         moved = f"transform(sequence(greatest(0, {start} - (_la - _m)), least(_lb - ({width}), {start} + (_lb - _m))), p -> struct(i AS seg, substring(form, p + 1, {width}) AS text))"
         cut = f"array_distinct(flatten(transform(sequence(0, _k - 1), i -> IF({start} - (_la - _m) <= _lb - ({width}), {moved}, array()))))"
-    whole = "array(struct(-1 AS seg, '' AS text))"
-    segs = F.explode(F.expr(f"IF(_k * 2 > _la, {whole}, {cut})"))
+    sized = sized.withColumn("_c", F.expr(_subset_size(most)))
+    grown = "concat(sets, transform(filter(sets, x -> size(x) < _c), x -> concat(x, array(t))))"
+    chosen = f"filter(aggregate(slice(_t, 1, size(_t) - _m + _c), array(cast(array() AS array<string>)), (sets, t) -> {grown}), x -> size(x) = _c)"
+    rare = f"transform({chosen}, x -> struct(-1 AS seg, array_join(x, '') AS text))"
+    segs = F.explode(F.expr(f"IF(_k * 3 > _la, {rare}, {cut})"))
     return sized.withColumn("_s", segs).select(*keys, "form", "_la", "_lb", F.col("_s.seg").alias("_seg"), F.col("_s.text").alias("_text"))
 
 
@@ -46,23 +81,36 @@ def _bag_ok(a: str, b: str, ratio: float) -> str:
     return f"2 * {shared} >= {ratio} * (length({a}) + length({b})) - 1e-9"
 
 
+def met_pairs(left: DataFrame, right: DataFrame, *, ratio: float, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, l, r, _la, _lb) of forms that share a key, once for every key they share."""
+    keys = list(keys)
+    letters = _letters(left.select("form")) if left is right else _letters(left.select("form").unionByName(right.select("form")))
+    # at most COMMON letters, and the lengths that names have
+    often = letters.select(F.explode("_t").alias("t")).groupBy("t").count().orderBy(F.desc("count"), "t").limit(COMMON)
+    common = [r["t"] for r in often.collect()]
+    sizes = [{r["n"]: r["c"] for r in x.filter("form <> ''").groupBy(F.length("form").alias("n")).agg(F.count(F.lit(1)).alias("c")).collect()} for x in ([left] if left is right else [left, right])]
+    sizes = [sizes[0], sizes[-1]]
+    most = max(8, min(KEYS, max(sum(x.values()) for x in sizes) // 16))
+    # the forms are few bytes that unfold into many keys: spread them before they do
+    a, b = (_by_rarity(_letters(spread(x, "form")), common) for x in (left, right))
+
+    def joined(short: DataFrame, long: DataFrame, s: str, l: str, short_sizes: dict, long_sizes: dict) -> DataFrame:  # noqa: E741
+        x = _keys(short, ratio, True, keys, sorted(long_sizes), most).withColumnRenamed("form", s)
+        y = _keys(long, ratio, False, keys, sorted(short_sizes), most).withColumnRenamed("form", l)
+        return x.join(y, [*keys, "_la", "_lb", "_seg", "_text"]).filter("l <> r").select(*keys, "l", "r", "_la", "_lb")
+
+    both = joined(a, b, "l", "r", *sizes)
+    mirrored = both.select(*keys, F.col("r").alias("l"), F.col("l").alias("r"), "_la", "_lb") if left is right else joined(b, a, "r", "l", *sizes[::-1])
+    return both.unionByName(mirrored)
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame, *, ratio: float, keys: Sequence[str] = ()) -> DataFrame:
     """Distinct (keys, l, r) of forms whose matching-block ratio may reach `ratio` in either order.
     `left` and `right` hold `keys` and `form`, without duplicates; equal forms are not returned."""
-    keys = list(keys)
-
-    def joined(short: DataFrame, long: DataFrame, s: str, l: str) -> DataFrame:  # noqa: E741
-        # the forms are few bytes that unfold into many keys: spread them before they do
-        a = _keys(spread(short, "form"), ratio, True, keys).withColumnRenamed("form", s)
-        b = _keys(spread(long, "form"), ratio, False, keys).withColumnRenamed("form", l)
-        met = a.join(b, [*keys, "_la", "_lb", "_seg", "_text"]).filter("l <> r")
-        # unmatched characters on both sides bound the edit distance; checked before anything is shuffled
-        surplus = f"CAST(_la + _lb - 2 * ceil({ratio} * (_la + _lb) / 2 - 1e-9) AS INT)"
-        return met.filter(F.expr(f"levenshtein(l, r, {surplus}) >= 0")).select(*keys, "l", "r")
-
-    both = joined(left, right, "l", "r")
-    mirrored = both.select(*keys, F.col("r").alias("l"), F.col("l").alias("r")) if left is right else joined(right, left, "r", "l")
-    once = spread(both.unionByName(mirrored), *keys, "l", "r").dropDuplicates([*keys, "l", "r"])
+    # unmatched characters on both sides bound the edit distance; checked before anything is shuffled
+    surplus = f"CAST(_la + _lb - 2 * ceil({ratio} * (_la + _lb) / 2 - 1e-9) AS INT)"
+    near = met_pairs(left, right, ratio=ratio, keys=keys).filter(F.expr(f"levenshtein(l, r, {surplus}) >= 0"))
+    once = spread(near.select(*keys, "l", "r"), *keys, "l", "r").dropDuplicates([*keys, "l", "r"])
     return once.filter(F.expr(_bag_ok("l", "r", ratio)))
 
 
