@@ -1,12 +1,16 @@
 """Vector joins and vector arithmetic."""
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from vidspark.checks.registry import query
 from vidspark.checks.views import table, view
 from vidspark.functions import vectors as V
 from vidspark.operators import search
+from vidspark.operators.index import build_index, insert, open_index, search_index
 from vidspark.operators.common import rounded
+from vidspark.session import checkpoint_root
 
 DIST = "round(list_cosine_distance(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])), 6) + 0.0"
 RAW = "list_cosine_distance(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
@@ -44,6 +48,18 @@ def knn_ivf_all_cells(spark, sf, cells=8, nprobe=8, block_rows=64):
     return hits.select("probe_id", F.col("rank").cast("long").alias("rank"), "vec_id", "person_id", rounded("distance", 6).alias("distance"))
 
 
+@query("knn_index_all_cells", f"""WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY d, vec_id) AS rank FROM pairs WHERE d < 0.85)
+    SELECT probe_id, rank, vec_id, person_id, round(d, 6) + 0.0 AS distance FROM r WHERE rank <= 5""", ("gallery", "probes"))
+def knn_index_all_cells(spark, sf, **options):
+    """A stored index, built over half of the gallery, grown by the other half, opened again; every cell visited."""
+    path, g = f"{checkpoint_root(spark)}/index-{uuid4().hex}", view(spark, sf, "gallery")
+    first = F.col("vec_id") % 2 == 0
+    insert(build_index(g.filter(first), path, cells=40), g.filter(~first))
+    index = open_index(spark, path)
+    hits = search_index(index, view(spark, sf, "probes"), k=5, threshold=0.85, nprobe=index.cells, **options)
+    return hits.select("probe_id", F.col("rank").cast("long").alias("rank"), "vec_id", "person_id", rounded("distance", 6).alias("distance"))
+
+
 @query("top_by_distance", f"""WITH {PAIRS} SELECT probe_id, vec_id, round(d, 6) + 0.0 AS distance FROM pairs WHERE d < 0.9 ORDER BY d, probe_id, vec_id LIMIT 50""".replace("p.domain = g.domain", "p.domain = g.domain AND p.probe_id < g.vec_id"), ("gallery", "probes"))
 def top_by_distance(spark, sf):
     """ORDER BY distance LIMIT k over all pairs: a pair among the best 50 has rank
@@ -166,3 +182,4 @@ in_blocks("pair_distances", lambda spark, sf: pair_distances(spark, sf, cells=4,
 in_blocks("consensus", lambda spark, sf: consensus(spark, sf, **BLOCKS))
 in_blocks("validate_references", lambda spark, sf: validate_references(spark, sf, **BLOCKS))
 in_blocks("knn_ivf_all_cells", lambda spark, sf: knn_ivf_all_cells(spark, sf, cells=None, nprobe=search.MAX_CELLS, block_rows=None))
+in_blocks("knn_index_all_cells", lambda spark, sf: knn_index_all_cells(spark, sf, broadcast_bytes=0, block_rows=64))

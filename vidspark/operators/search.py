@@ -197,15 +197,24 @@ def _block_join(
     routed = _route(probes, cells, pivots, parts, reach=reach, nprobe=nprobe).withColumn("_unit", unit)
     if len(pivots) > 1:
         routed = cut_lineage(routed)
+    return _blocks(placed.drop("_radius").withColumn("_unit", unit), routed, cells.withColumn("_unit", unit), keys=keys, probe_id=probe_id, gallery_id=gallery_id, block_rows=block_rows, kernel=kernel, schema=schema)
+
+
+def _blocks(
+    placed: DataFrame, routed: DataFrame, cells: DataFrame, *, keys: Sequence[str], probe_id: str, gallery_id: str, block_rows: int, kernel: Kernel, schema: str,
+) -> DataFrame:
+    """Both sides by `_unit` (`cells` counts the gallery rows of each as `_g`), cut by salt into blocks of
+    about `block_rows`, and every block pair given to the kernel."""
+    keys = list(keys)
     load = routed.groupBy("_unit").agg(F.count(F.lit(1)).alias("_p"))
-    held = cells.withColumn("_unit", unit).groupBy("_unit").agg(F.sum("_g").alias("_g"))
+    held = cells.groupBy("_unit").agg(F.sum("_g").alias("_g"))
 
     def splits(n: str) -> Column:
         return F.ceil(F.col(n) / F.lit(block_rows)).cast("int")
 
     plan = held.join(load, "_unit").select("_unit", splits("_g").alias("_gs"), splits("_p").alias("_ps"))
     g = (
-        placed.drop("_radius").withColumn("_unit", unit).join(plan, "_unit")
+        placed.join(plan, "_unit")
         .withColumn("_gb", F.pmod(F.xxhash64(gallery_id), "_gs").cast("int"))
         .withColumn("_pb", F.explode(F.sequence(F.lit(0), F.col("_ps") - 1)))
         .drop("_gs", "_ps")
@@ -240,25 +249,9 @@ def _field(df: DataFrame, name: str, as_name: str | None = None) -> str:
     return f"`{as_name or name}` {df.schema[name].dataType.simpleString()}"
 
 
-def knn_join(
-    probes: DataFrame, gallery: DataFrame, *, k: int, threshold: float = 0.40, part: str | Sequence[str] = "domain",
-    cut: str = "before", method: str = "exact", nprobe: int = 16, cells: int | None = None,
-    probe_id: str = "probe_id", gallery_id: str = "vec_id", carry: Sequence[str] = ("person_id",),
-    pivots: np.ndarray | None = None, block_rows: int | None = None, broadcast_bytes: int = BROADCAST_BYTES, dim: int | None = None,
-) -> DataFrame:
-    """k nearest gallery rows per probe inside `part`, closer than `threshold`.
-
-    `cut="before"` keeps distance < threshold, `cut="after"` keeps distance <= threshold (a cutoff
-    applied to the ranked list selects the same rows). A threshold of 0 means the default 0.40.
-    `method="exact"` visits every cell that can hold a match, `"ivf"` only the `nprobe` nearest of its part,
-    whatever the part's size. `dim`: the vectors' length; by default the most frequent in the gallery.
-    """
-    threshold = threshold or 0.40
-    parts = [part] if isinstance(part, str) else list(part)
-    p = probes.select(probe_id, *parts, "embedding")
-    g = gallery.select(gallery_id, *parts, *[c for c in carry if c not in parts], "embedding")
-    kept = [gallery_id, *[c for c in carry if c not in parts]]
-    strict = cut == "before"
+def _nearest(*, k: int, threshold: float, strict: bool, kept: Sequence[str], probe_id: str) -> Kernel:
+    """The k nearest of a block's gallery rows for each of its probes."""
+    kept = list(kept)
 
     def nearest(pb: pd.DataFrame, gb: pd.DataFrame, units: np.ndarray) -> pd.DataFrame:
         out = []
@@ -282,10 +275,32 @@ def knn_join(
                 out.append(hit)
         return pd.concat(out) if out else pd.DataFrame(columns=[probe_id, *kept, "distance"])
 
+    return nearest
+
+
+def knn_join(
+    probes: DataFrame, gallery: DataFrame, *, k: int, threshold: float = 0.40, part: str | Sequence[str] = "domain",
+    cut: str = "before", method: str = "exact", nprobe: int = 16, cells: int | None = None,
+    probe_id: str = "probe_id", gallery_id: str = "vec_id", carry: Sequence[str] = ("person_id",),
+    pivots: np.ndarray | None = None, block_rows: int | None = None, broadcast_bytes: int = BROADCAST_BYTES, dim: int | None = None,
+) -> DataFrame:
+    """k nearest gallery rows per probe inside `part`, closer than `threshold`.
+
+    `cut="before"` keeps distance < threshold, `cut="after"` keeps distance <= threshold (a cutoff
+    applied to the ranked list selects the same rows). A threshold of 0 means the default 0.40.
+    `method="exact"` visits every cell that can hold a match, `"ivf"` only the `nprobe` nearest of its part,
+    whatever the part's size. `dim`: the vectors' length; by default the most frequent in the gallery.
+    """
+    threshold = threshold or 0.40
+    parts = [part] if isinstance(part, str) else list(part)
+    p = probes.select(probe_id, *parts, "embedding")
+    g = gallery.select(gallery_id, *parts, *[c for c in carry if c not in parts], "embedding")
+    kept = [gallery_id, *[c for c in carry if c not in parts]]
     schema = ", ".join([_field(p, probe_id), *[_field(g, c) for c in kept], "distance double"])
     local = _vector_join(
         p, g, parts=parts, probe_id=probe_id, gallery_id=gallery_id, method=method, threshold=threshold, nprobe=nprobe, cells=cells, pivots=pivots,
-        block_rows=block_rows, broadcast_bytes=broadcast_bytes, kernel=nearest, schema=schema, dim=dim,
+        block_rows=block_rows, broadcast_bytes=broadcast_bytes, schema=schema, dim=dim,
+        kernel=_nearest(k=k, threshold=threshold, strict=cut == "before", kept=kept, probe_id=probe_id),
     )
     return top_per_group(local, [probe_id], [F.col("distance"), F.col(gallery_id)], k)
 
