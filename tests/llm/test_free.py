@@ -83,7 +83,7 @@ def test_scores_against_counts(spark, sf):
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in docs}
     counts = Counter(x for d, w in docs.items() if not held[d] for x in w)
     n, v = sum(counts.values()), len(counts)
-    rows = {r["doc_id"]: r for r in suffix_tree.scored(spark.read.parquet(f"{sf}/documents.parquet"), head=500).collect()}
+    rows = {r["doc_id"]: r for r in suffix_tree.scored(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
     whole = {r["doc_id"]: r for r in QUERIES["op7_suffix_tree"](spark, sf).collect()}
     assert set(rows) == set(docs)
     base = tree = 0
@@ -91,7 +91,7 @@ def test_scores_against_counts(spark, sf):
         r = rows[d]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[d], len(w), sum(counts[x] > 0 for x in w), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w))
-        assert whole[d]["score"] == pytest.approx(r["score"])  # the head is a matter of transport only
+        assert whole[d]["score"] == pytest.approx(r["score"])
         if held[d]:
             base, tree = base + r["base_score"], tree + r["score"]
     assert tree > base
@@ -99,8 +99,8 @@ def test_scores_against_counts(spark, sf):
 
 def test_tree_keeps_contexts_that_tell_something(spark):
     texts = spark.createDataFrame([("ab cd " * 200,), ("ab cd " * 200,)], "_text string")
-    words, (child, logs, head, once), n, v = suffix_tree.model_of(texts, least=1e-3)
-    assert (n, v) == (802, 3) and head == {b"ab": 400, b"cd": 400, b"\n": 2}
+    words, (child, logs, once), n, v = suffix_tree.model_of(texts, least=1e-3)
+    assert (n, v) == (802, 3)
     assert np.allclose((10.0 ** logs.astype(np.float64)).sum(axis=1), 1, atol=1e-4)
     sure = suffix_tree.byte_logs(suffix_tree.stream([b"ab", b"cd", b"ab"]), child, logs)
     assert sure[1] > -0.05 and sure[4] > -0.05  # b behind a, d behind c
@@ -119,7 +119,7 @@ def test_tree_beats_its_own_root(spark, sf):
     """On held-out texts, the same smoothing with contexts of two words, of one, of none."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     none, one, two = (sum(r["score"] for r in suffix_tree.scored(docs, order=k).filter("held_out").collect()) for k in (0, 1, 2))
-    assert two > 0.97 * one > 0.97 * 0.97 * none and two - none > 0.15 * abs(none)
+    assert two > one > none and two - none > 0.05 * abs(none)
 
 
 def test_scores_follow_contexts_and_spellings(spark):
@@ -137,13 +137,55 @@ def test_scores_follow_contexts_and_spellings(spark):
     assert rows[3]["score"] == pytest.approx(rows[4]["score"]) and rows[3]["spelled_score"] > rows[4]["spelled_score"] + 1
 
 
+def plain_tree(texts, asked):
+    """Natural logs of the probabilities of all tokens of `asked`, counted and tested in plain loops."""
+    split = lambda t: [None, None, *(t or "").encode().lower().split(), b"\n"]
+    one = Counter(x for t in texts for x in split(t)[2:])
+    n, once = sum(one.values()), max(sum(c == 1 for c in one.values()), 1)
+    follow = [{}, {}]
+    for t in texts:
+        w = split(t)
+        for k in range(2, len(w)):
+            follow[0].setdefault((w[k - 1],), Counter())[w[k]] += 1
+            follow[1].setdefault((w[k - 2], w[k - 1]), Counter())[w[k]] += 1
+    share = lambda c, x: c[x] / sum(c.values())
+
+    def passes(c, parent):
+        return sum(c.values()) >= 2 and sum(m * math.log(share(c, x) / parent(x)) for x, m in c.items()) > 0.5 * len(c) * math.log(n)
+
+    two = {u for u, c in follow[1].items() if passes(c, lambda x, u=u: share(follow[0][u[1:]], x))}
+    kept = {u for u, c in follow[0].items() if passes(c, lambda x: one[x] / n)} | {u[1:] for u in two}
+
+    def p(x, u, v):
+        out = (one[x] or once) / (n + once)
+        for context, states, counts in (((v,), kept, follow[0]), ((u, v), two, follow[1])):
+            if context in states:
+                c = counts[context]
+                out = (c[x] + len(c) * out) / (sum(c.values()) + len(c))
+        return out
+
+    return [sum(math.log10(p(w[k], w[k - 2], w[k - 1])) for k in range(2, len(w))) for w in map(split, asked)], len(kept), len(two)
+
+
+def test_scores_against_a_plain_tree(spark):
+    """The whole score, and that the test both keeps and drops contexts."""
+    rng = random.Random(8)
+    phrases = [" ".join(rng.choice("abcdefghijklmnop") + str(rng.randint(0, 30)) for _ in range(5)) for _ in range(25)]
+    texts = {k: " ".join(rng.choice(phrases) if rng.random() < 0.7 else rng.choice("xyz") + str(rng.randint(0, 400)) for _ in range(rng.randint(0, 25))) for k in range(120)}
+    held = {k for k in texts if zlib.crc32(str(k).encode()) % 7 == 2}
+    want, one, two = plain_tree([t for k, t in texts.items() if k not in held], texts.values())
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.scored(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert [got[k] for k in texts] == pytest.approx(want) and one > 20 and two > 10
+    assert two < len({x for t in texts.values() for x in zip(t.split(), t.split()[1:])}) / 3
+
+
 def test_probabilities_add_up(spark):
     """After any context, seen or not, the training tokens and the one other symbol share 1."""
     texts = ["a b a c a b d b a " * 3, "b c b a d d a b"]
     names = ["a", "b", "c", "d", "\n", "other"]
     asked = [f"{u} {v} {w}" for u in "abcd" for v in "abcd" for w in ("a", "b", "c", "d", "other")] + [f"{u} {v}" for u in "abcd" for v in "abcd"]
     rows = spark.createDataFrame([(t, False) for t in texts] + [(t, True) for t in asked], "_text string, held_out boolean")
-    words, (child, logs, _, once), n, v = suffix_tree.model_of(rows, head=0)
+    words, (child, logs, once), n, v = suffix_tree.model_of(rows)
     assert (n, v) == (27 + 8 + 2, 5)
     spelled = words.mapInArrow(partial(suffix_tree._spell, model=spark.sparkContext.broadcast((child, logs))), "w long, c long, spelled double")
     p = {r["t"]: math.exp(r["p"]) for r in suffix_tree.probabilities(rows, spelled, n=n, once=once).collect()}

@@ -3,7 +3,8 @@
 The tree is over the words of a text (lower-cased, then a line feed as the end). A context is the one or
 `ORDER` words before a token, whatever its share of the corpus, so the tree grows with the corpus. It is
 retained if the next-word distribution diverges from that of its parent, the context without its oldest
-word: the gain in log likelihood must exceed half the parameters times the log of the count. Parents of
+word: the context was seen twice, and the gain in log likelihood exceeds half the log of the number of training
+tokens for each different next word. Parents of
 retained contexts stay. Each token is scored in the state of its longest retained suffix, whose distribution
 is smoothed into the parent's in proportion to the number of different next words:
 (n + kinds * p(parent)) / (total + kinds). The root is the unigram base: with c occurrences of a token among
@@ -38,8 +39,11 @@ from xxhash import xxh64_intdigest
 from vidspark.llm.text import only
 from vidspark.session import stored
 
-DEPTH, LEAST, HEAD = 4, 5e-5, 200_000
+DEPTH, LEAST = 4, 5e-5
 ORDER = 2
+#: Natural logs of the number of training tokens that a different next word of a context costs, and how often
+#: a context must have been seen to be tested.
+COST, SEEN = 0.5, 2
 END = b"\n"
 #: Before a word that is spelled on its own: no context that was seen in training goes on beyond the space.
 ALONE = b"\0" * (DEPTH - 1) + b" "
@@ -169,12 +173,6 @@ def byte_logs(data: bytes, child: np.ndarray, logs: np.ndarray, block: int = 1 <
     return out
 
 
-def token_logs(words: list[bytes], child: np.ndarray, logs: np.ndarray) -> np.ndarray:
-    """log10 probability under the tree of every word (with the space behind it) and of the end."""
-    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-    return np.add.reduceat(byte_logs(stream(words), child, logs), np.r_[0, np.cumsum(sizes)])
-
-
 def _spell(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.RecordBatch]:
     """hash, count and natural log of the spelling of every word."""
     child, logs = model.value
@@ -279,23 +277,22 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low = high
 
 
-def model_of(texts: DataFrame, *, least: float = LEAST, head: int = HEAD) -> tuple[DataFrame, tuple, int, int]:
-    """(word counts, (child, logs, counts of the head words, tokens seen once), tokens, different tokens).
+def model_of(texts: DataFrame, *, least: float = LEAST) -> tuple[DataFrame, tuple, int, int]:
+    """(word counts, (child, logs, tokens seen once), tokens, different tokens).
     Where `texts` has a column held_out, such texts only add their words to the table, with a count of 0."""
     counted = stored(texts.mapInArrow(_count, "word string, gram long, n long"))
     words = stored(counted.filter("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
     n, v, once = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count(F.when(F.col("c") == 1, 1))).first()
-    top = {r["word"].encode(): r["c"] for r in words.filter("c > 0").orderBy(F.desc("c"), "word").limit(head).collect()} if head else {}
-    return words, (*build(tree_counts(counted, least)), top, max(once, 1)), n, v
+    return words, (*build(tree_counts(counted, least)), max(once, 1)), n, v
 
 
-def _divergent(counts: DataFrame, context: list[str], p: str) -> DataFrame:
+def _divergent(counts: DataFrame, context: list[str], p: str, tokens: int) -> DataFrame:
     """Contexts that pass the test: `context`, total, kinds. `counts`: context, n and, as `p`, the share
-    of the next word under the parent."""
+    of the next word under the parent. Each different next word costs COST logs of the size of the corpus."""
     gain = F.sum(F.col("n") * F.log(F.col("n") / F.col(p)))
     tested = counts.groupBy(*context).agg(gain.alias("_gain"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
     # sum of n log((n / total) / p)
-    return tested.filter(F.col("_gain") - F.col("total") * F.log("total") > 0.5 * F.col("kinds") * F.log("total")).select(*context, "total", "kinds")
+    return tested.filter((F.col("total") >= SEEN) & (F.col("_gain") - F.col("total") * F.log("total") > COST * F.col("kinds") * math.log(max(tokens, 2)))).select(*context, "total", "kinds")
 
 
 def probabilities(rows: DataFrame, words: DataFrame, *, n: int, once: int, order: int = ORDER) -> DataFrame:
@@ -309,10 +306,14 @@ def probabilities(rows: DataFrame, words: DataFrame, *, n: int, once: int, order
     pairs = every.groupBy("v", "w").agg(F.sum("n").alias("n")).join(words, "w")
     pairs = pairs.select("v", "w", "n", "c", root.alias("p0"), F.when(F.col("c") == 0, F.col("spelled")).otherwise(0.0).alias("spelled"))
     pairs = stored(pairs)
-    first = _divergent(pairs.filter("n > 0").withColumn("_p", F.col("c") / n), ["v"], "_p")
+    first = _divergent(pairs.filter("n > 0").withColumn("_p", F.col("c") / n), ["v"], "_p", n)
     totals = pairs.groupBy("v").agg(F.sum("n").alias("vn"))
-    seen = every.filter("n > 0").join(pairs.select("v", "w", F.col("n").alias("pn")), ["v", "w"]).join(totals, "v")
-    second = stored(_divergent(seen.withColumn("_p", F.col("pn") / F.col("vn")), ["u", "v"], "_p"))
+    # contexts seen too rarely to be tested go before their next words are joined; the start of a text stays
+    often = pairs.filter(F.col("n") >= SEEN).select(F.col("v").alias("u"), F.col("w").alias("v"))
+    begun = every.filter("n > 0 AND u = 0 AND v = 0")
+    seen = every.filter("n > 0 AND v <> 0").join(often, ["u", "v"], "left_semi").unionByName(begun)
+    seen = seen.join(pairs.select("v", "w", F.col("n").alias("pn")), ["v", "w"]).join(totals, "v")
+    second = stored(_divergent(seen.withColumn("_p", F.col("pn") / F.col("vn")), ["u", "v"], "_p", n))
     if order < 2:
         second = second.limit(0)
     # parents of retained contexts stay
@@ -325,12 +326,12 @@ def probabilities(rows: DataFrame, words: DataFrame, *, n: int, once: int, order
     return every.join(pairs, ["v", "w"]).join(second, ["u", "v"], "left").select("t", "c", "spelled", smooth("p1").alias("p"))
 
 
-def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, least: float = LEAST, head: int = 0, order: int = ORDER) -> DataFrame:
+def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, least: float = LEAST, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, spelled_score of every row. With `order` 1 or 0
-    the tree ends at contexts of one word, or at its root. `head` has no influence on the result."""
+    the tree ends at contexts of one word, or at its root."""
     spark: SparkSession = docs.sparkSession
     rows = only(docs, doc_id=id_col, _text=text_col).withColumn("held_out", held_out(F.col("doc_id"), folds, fold))
-    words, (child, logs, _, once), n, v = model_of(rows.select("_text", "held_out"), least=least, head=head)
+    words, (child, logs, once), n, v = model_of(rows.select("_text", "held_out"), least=least)
     spelled = stored(words.mapInArrow(partial(_spell, model=spark.sparkContext.broadcast((child, logs))), "w long, c long, spelled double"))
     table = probabilities(rows.select("_text", "held_out"), spelled, n=n, once=once, order=order)
     kind = f"_row long, t long, times int, doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long"
