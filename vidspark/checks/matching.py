@@ -32,21 +32,6 @@ SCORE = """, s AS (SELECT image_id, person, distance, row_number() OVER (PARTITI
     FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score, person) AS rank FROM f) z WHERE rank <= 10"""
 
 
-def _scored(df):
-    return df.select("image_id", "person", F.col("rank").cast("long").alias("rank"), "occurrences", rounded("avg_distance", 4).alias("avg_distance"),
-                     rounded("min_distance", 4).alias("min_distance"), rounded("score", 4).alias("score"))
-
-
-@query("match_analysis_all", f"WITH {MATCHES}" + SCORE.format(src="matches", t="0.85", bonus="0.0"), G)
-def match_analysis_all(spark, sf):
-    return _scored(M.match_analysis(matches(spark, sf), threshold=0.85))
-
-
-@query("match_analysis_bonus", f"WITH {MATCHES}" + SCORE.format(src="matches", t="0.9", bonus="w * h / 100.0e0 * 0.15e0"), G)
-def match_analysis_bonus(spark, sf):
-    return _scored(M.match_analysis(matches(spark, sf), threshold=0.9, size_bonus=True))
-
-
 # Greedy grouping, one opener per image and round: the first position no opener so far covers.
 GROUPED = """, spots AS (SELECT image_id, x_pct AS x, y_pct AS y, min(seq) AS f FROM matches GROUP BY ALL),
     open_(image_id, os) AS (SELECT image_id, [arg_min({'x': x, 'y': y}, f)] FROM spots GROUP BY 1
@@ -62,11 +47,6 @@ def box_groups(spark, sf):
     return M.group_boxes(matches(spark, sf)).select("image_id", "box_group", "person", "seq", rounded("distance", 6).alias("distance"))
 
 
-@query("match_analysis_grouped", f"WITH RECURSIVE {MATCHES}{GROUPED}" + SCORE.format(src="grouped", t="0.95", bonus="w * h / 100.0e0 * 0.15e0"), G)
-def match_analysis_grouped(spark, sf):
-    return _scored(M.match_analysis(M.group_boxes(matches(spark, sf)), threshold=0.95, size_bonus=True))
-
-
 @query("rank_per_probe", f"""WITH {MATCHES} SELECT probe_id, CAST(rank AS BIGINT) AS rank, vec_id FROM matches WHERE rank IN (1, 2, 3)""", G)
 def rank_per_probe(spark, sf):
     return matches(spark, sf).filter(F.col("rank") <= 3).select("probe_id", F.col("rank").cast("long").alias("rank"), "vec_id")
@@ -176,6 +156,7 @@ def box_layouts(spark, sf):
 
 # Scoring, profile and sweep over every match, not the nearest 20.
 EVERY = PAIRS + ", every AS (SELECT *, round(d, 12) AS distance FROM pairs WHERE round(d, 12) < 0.9)"
+WITHIN = PAIRS + ", matches AS (SELECT *, probe_id AS seq, round(d, 12) AS distance, person_id AS person FROM pairs WHERE round(d, 12) < 0.95)"
 LADDER = (0.3, 0.5, 0.7, 0.8, 0.85)
 
 
@@ -212,3 +193,46 @@ def distance_profile_every(spark, sf):
 @query("threshold_sweep_every", f"WITH {EVERY} SELECT image_id, person_id, " + ", ".join(f"count(*) FILTER (distance < {t}) AS n_{i}" for i, t in enumerate(LADDER)) + " FROM every GROUP BY ALL", G)
 def threshold_sweep_every(spark, sf):
     return folds(spark, sf).select("image_id", "person_id", *[f"n_{i}" for i in range(len(LADDER))])
+
+
+def _ranked(df):
+    return df.select("image_id", "person_id", F.col("rank").cast("long").alias("rank"), "occurrences", rounded("avg_distance", 4).alias("avg_distance"),
+                     rounded("min_distance", 4).alias("min_distance"), rounded("score", 4).alias("score"))
+
+
+SCORES = SCORE.replace("image_id, person, CAST(rank", "image_id, person AS person_id, CAST(rank").replace("AS score FROM a JOIN", "AS score0 FROM a JOIN").replace(
+    "SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score, person)", "SELECT *, round(score0, 10) AS score, row_number() OVER (PARTITION BY image_id ORDER BY round(score0, 10), person)")
+BONUS = f"WITH {WITHIN}" + SCORES.format(src="matches", t="0.9", bonus="w * h / 100.0e0 * 0.15e0")
+ALL = f"WITH {WITHIN}" + SCORES.format(src="matches", t="0.85", bonus="0.0")
+BY_BOX = f"WITH RECURSIVE {WITHIN}{GROUPED}" + SCORES.format(src="grouped", t="0.95", bonus="w * h / 100.0e0 * 0.15e0")
+
+
+@query("match_analysis_all", ALL, G)
+def match_analysis_all(spark, sf):
+    return _ranked(M.folded_analysis(match_folds(view(spark, sf, "probes"), view(spark, sf, "gallery"), threshold=0.85)))
+
+
+def _bonus(spark, sf, **blocks):
+    found = match_folds(view(spark, sf, "probes"), view(spark, sf, "gallery"), threshold=0.9, within=0.95, first=("w_pct", "h_pct"), **blocks)
+    return _ranked(M.folded_analysis(found, size_bonus=True))
+
+
+@query("match_analysis_bonus", BONUS, G)
+def match_analysis_bonus(spark, sf):
+    """The box of the first matching probe of the image counts, whether that match is close or only a candidate."""
+    return _bonus(spark, sf)
+
+
+@query("match_analysis_bonus_in_blocks", BONUS, G)
+def match_analysis_bonus_in_blocks(spark, sf):
+    return _bonus(spark, sf, cells=8, broadcast_bytes=0, block_rows=64)
+
+
+@query("match_analysis_grouped", BY_BOX, G)
+def match_analysis_grouped(spark, sf):
+    return _ranked(M.grouped_analysis(view(spark, sf, "probes"), view(spark, sf, "gallery"), threshold=0.95))
+
+
+@query("match_analysis_grouped_in_blocks", BY_BOX, G)
+def match_analysis_grouped_in_blocks(spark, sf):
+    return _ranked(M.grouped_analysis(view(spark, sf, "probes"), view(spark, sf, "gallery"), threshold=0.95, cells=8, broadcast_bytes=0, block_rows=64))

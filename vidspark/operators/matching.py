@@ -31,19 +31,21 @@ def group_boxes(
     laid = spread(spots, image).sortWithinPartitions(image, "_first")
 
     def openers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, xs, ys = None, [], []
+        # openers by grid cell of width tol: those within reach stand in the cell or next to it
+        current, cells, opened = None, {}, 0
         for b in batches:
             group = np.empty(len(b), dtype=np.int64)
-            for i, (im, px, py) in enumerate(zip(b[image].to_numpy(), b[x].to_numpy(), b[y].to_numpy())):
+            for i, (im, px, py) in enumerate(zip(b[image], b[x].tolist(), b[y].tolist())):
                 if im != current:
-                    current, xs, ys = im, [], []
-                near = np.nonzero((np.abs(np.array(xs) - px) <= tol) & (np.abs(np.array(ys) - py) <= tol))[0]
-                if len(near):
-                    group[i] = near[0]
+                    current, cells, opened = im, {}, 0
+                cx, cy = (int(px // tol), int(py // tol)) if tol > 0 else (px, py)
+                near = [n for dx in (-1, 0, 1) for dy in (-1, 0, 1) for n, ox, oy in cells.get((cx + dx, cy + dy), ()) if abs(ox - px) <= tol and abs(oy - py) <= tol]
+                if near:
+                    group[i] = min(near)
                 else:
-                    group[i] = len(xs)
-                    xs.append(px)
-                    ys.append(py)
+                    cells.setdefault((cx, cy), []).append((opened, px, py))
+                    group[i] = opened
+                    opened += 1
             yield b.assign(box_group=group)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in laid.schema) + ", box_group long"
@@ -80,14 +82,31 @@ def match_analysis(
     return top_per_group(scored, [image], [F.col("score"), F.col(person)], top)
 
 
-def folded_analysis(folds: DataFrame, *, image: str = "image_id", person: str = "person_id", top: int = 10) -> DataFrame:
-    """The score of `match_analysis`, without a size bonus, over the folds of all matches."""
+def folded_analysis(folds: DataFrame, *, image: str = "image_id", person: str = "person_id", size_bonus: bool = False, top: int = 10) -> DataFrame:
+    """The score of `match_analysis` over the folds of all matches (with `first=("w_pct", "h_pct")` for the
+    size bonus)."""
+    bonus = F.coalesce(F.col("w_pct") * F.col("h_pct") / 100.0 * 0.15, F.lit(0.0)) if size_bonus else F.lit(0.0)
     mean3 = F.aggregate("lowest", F.lit(0.0), lambda a, x: a + x) / F.size("lowest")
-    score = mean3 * 0.5 + F.col("min_distance") * 0.2 - F.col("n") * 0.05
-    scored = folds.select(image, person, F.col("n").alias("occurrences"), (F.col("sum_distance") / F.col("n")).alias("avg_distance"), "min_distance", score.alias("score"))
+    score = mean3 * 0.5 + F.col("min_distance") * 0.2 - F.col("n") * 0.05 - bonus
+    scored = folds.select(image, person, F.col("n").alias("occurrences"), (F.col("sum_distance") / F.col("n")).alias("avg_distance"), "min_distance", bonus.alias("size_bonus"), score.alias("score"))
     return top_per_group(scored, [image], [F.col("score"), F.col(person)], top)
 
 
+def grouped_analysis(
+    probes: DataFrame, gallery: DataFrame, *, image: str = "image_id", person: str = "person_id", threshold: float = 0.40, within: float | None = None,
+    tol: float = 10.0, size_bonus: bool = True, top: int = 10, part: str = "domain", probe_id: str = "probe_id", gallery_id: str = "vec_id", **blocks,
+) -> DataFrame:
+    """Scores over all matches closer than `within`, one match per box group: the closest. A group keeps one
+    match, and the closest of a box is its nearest gallery row, so the search returns one row per probe and
+    leaves none out; boxes take part in the order of their ids. `probes` hold x_pct, y_pct, w_pct, h_pct."""
+    from vidspark.operators.search import knn_join
+
+    hits = knn_join(probes, gallery, k=1, threshold=max(threshold, within or 0.0), part=part, probe_id=probe_id, gallery_id=gallery_id, carry=(person,), **blocks)
+    boxed = hits.drop("rank").join(probes.select(probe_id, image, "x_pct", "y_pct", "w_pct", "h_pct"), probe_id)
+    grouped = group_boxes(boxed, image=image, order=probe_id, tol=tol)
+    return match_analysis(grouped, image=image, person=person, threshold=threshold, size_bonus=size_bonus, top=top, order=probe_id)
+
+
 def best_per_person(matches: DataFrame, *, probe: str, person: str, top: int, distance: str = "distance") -> DataFrame:
     """Closest distance per person, then the `top` persons of each probe."""
     best = matches.groupBy(probe, person).agg(F.min(distance).alias(distance))

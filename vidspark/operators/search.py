@@ -307,16 +307,18 @@ def knn_join(
 
 def match_folds(
     probes: DataFrame, gallery: DataFrame, *, group: str = "image_id", person: str = "person_id", threshold: float, thresholds: Sequence[float] = (),
-    part: str | Sequence[str] = "domain", probe_id: str = "probe_id", gallery_id: str = "vec_id", lowest: int = 3, **blocks,
+    part: str | Sequence[str] = "domain", probe_id: str = "probe_id", gallery_id: str = "vec_id", lowest: int = 3, first: Sequence[str] = (), within: float | None = None, **blocks,
 ) -> DataFrame:
     """All matches below `threshold`, folded per (`group`, `person`) inside the block kernel, so that no pair
     leaves it: n, sum, minimum, maximum, the `lowest` smallest distances, and n_0, n_1, ... below each of
-    `thresholds`. Unlike a join cut at k, counts and means are those of every match."""
+    `thresholds`. Unlike a join cut at k, counts and means are those of every match. `first`: columns of the
+    probe with the lowest id among those that have a match closer than `within` (default: `threshold`)."""
     parts = [part] if isinstance(part, str) else list(part)
-    p = probes.select(probe_id, group, *parts, "embedding")
+    first, limit = list(first), max(threshold, within or 0.0)
+    p = probes.select(probe_id, group, *parts, *first, "embedding")
     g = gallery.select(gallery_id, person, *parts, "embedding")
     counts = [f"n_{i}" for i in range(len(thresholds))]
-    columns = [group, person, "n", "s", "hi", "lows", *counts]
+    columns = [group, person, "n", "s", "hi", "lows", *counts, "_first", *first]
 
     def fold(pb: pd.DataFrame, gb: pd.DataFrame, units: np.ndarray) -> pd.DataFrame:
         out = []
@@ -324,30 +326,36 @@ def match_folds(
             people, person_names = pd.factorize(gb[person])
             for part_rows, d in _chunks(pb, units):
                 d = np.round(d, _DIGITS, out=d)
-                r, c = np.nonzero(d < threshold)
+                r, c = np.nonzero(d < limit)
                 if not r.size:
                     continue
                 v = d[r, c]
                 groups, group_names = pd.factorize(part_rows[group])
-                key = groups[r].astype(np.int64) * len(person_names) + people[c]
+                key, ids = groups[r].astype(np.int64) * len(person_names) + people[c], part_rows[probe_id].to_numpy()
+                lead = r[np.lexsort((ids[r], key))]
                 order = np.lexsort((v, key))
                 key, v = key[order], v[order]
-                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                ends = np.r_[first[1:], key.size]
+                starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                lead, close = lead[starts], v < threshold
+                n = np.add.reduceat(close.astype(np.int64), starts)
                 out.append(pd.DataFrame({
-                    group: group_names[key[first] // len(person_names)], person: person_names[key[first] % len(person_names)],
-                    "n": ends - first, "s": np.add.reduceat(v, first), "hi": v[ends - 1], "lows": [v[x : min(x + lowest, y)].tolist() for x, y in zip(first, ends)],
-                    **{name: np.add.reduceat((v < t).astype(np.int64), first) for name, t in zip(counts, thresholds)},
+                    group: group_names[key[starts] // len(person_names)], person: person_names[key[starts] % len(person_names)],
+                    "n": n, "s": np.add.reduceat(np.where(close, v, 0.0), starts), "hi": np.where(n > 0, v[np.maximum(starts + n - 1, 0)], -np.inf),
+                    "lows": [v[x : x + min(lowest, k)].tolist() for x, k in zip(starts, n)],
+                    **{name: np.add.reduceat((close & (v < t)).astype(np.int64), starts) for name, t in zip(counts, thresholds)},
+                    "_first": ids[lead], **{f: part_rows[f].to_numpy()[lead] for f in first},
                 }))
         return pd.concat(out) if out else pd.DataFrame(columns=columns)
 
-    schema = ", ".join([_field(p, group), _field(g, person), "n long", "s double", "hi double", "lows array<double>", *[f"{c} long" for c in counts]])
+    carried = [_field(p, probe_id, "_first"), *[_field(p, f) for f in first]]
+    schema = ", ".join([_field(p, group), _field(g, person), "n long", "s double", "hi double", "lows array<double>", *[f"{c} long" for c in counts], *carried])
     options = {"cells": None, "pivots": None, "block_rows": None, "broadcast_bytes": BROADCAST_BYTES, **blocks}
-    local = _vector_join(p, g, parts=parts, probe_id=probe_id, gallery_id=gallery_id, method="exact", threshold=threshold, nprobe=0, kernel=fold, schema=schema, **options)
+    local = _vector_join(p, g, parts=parts, probe_id=probe_id, gallery_id=gallery_id, method="exact", threshold=limit, nprobe=0, kernel=fold, schema=schema, **options)
     return local.groupBy(group, person).agg(
         F.sum("n").alias("n"), F.sum("s").alias("sum_distance"), F.max("hi").alias("max_distance"),
         F.slice(F.sort_array(F.flatten(F.collect_list("lows"))), 1, lowest).alias("lowest"), *[F.sum(c).alias(c) for c in counts],
-    ).withColumn("min_distance", F.get("lowest", F.lit(0)))
+        *[F.min_by(f, "_first").alias(f) for f in first],
+    ).filter("n > 0").withColumn("min_distance", F.get("lowest", F.lit(0)))
 
 
 def neighbour_stats(
