@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from vidspark.operators.tracks import BOX, OpenTracks
@@ -114,10 +115,12 @@ class TrackState(StatefulProcessor):
 def track_stream(dets: DataFrame, params: Tracking = Tracking(), *, delay: str = "10 minutes", frame_step: int | None = None, idle_minutes: int = 24 * 60) -> DataFrame:
     """Track ids of a detection stream (video_id, ts, frame_number, det_id, box). A row without a det_id is
     a processed frame that is empty; a row without a frame_number closes its video: stamped by more than
-    the delay behind the last frame, it also moves the watermark on, so that nothing keeps waiting. With `frame_step` the missing frames count as empty. Needs the
-    RocksDB state store provider in the session."""
+    the delay behind the last frame, it also moves the watermark on, so that nothing keeps waiting. A row without a video_id does only that, for all videos at once (`incremental.flush_row`).
+    With `frame_step` the missing frames count as empty. Needs the RocksDB state store provider in the session."""
     cols = ["video_id", "ts", "frame_number", "det_id", *BOX]
-    return dets.select(*cols).withWatermark("ts", delay).groupBy("video_id").transformWithStateInPandas(
+    # a row without a video only moves the watermark on; the filter stays behind it, as it names the time
+    marked = dets.select(*cols).withWatermark("ts", delay).filter(F.col("video_id").isNotNull() | F.col("ts").isNull())
+    return marked.groupBy("video_id").transformWithStateInPandas(
         statefulProcessor=TrackState(params, frame_step, idle_minutes * 60_000), outputStructType="video_id LONG, frame_number LONG, det_id LONG, track_id LONG",
         outputMode="Append", timeMode="EventTime",
     )
