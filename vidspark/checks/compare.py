@@ -18,7 +18,7 @@ AGG = """count(*) AS total, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts,
     round(count(*) FILTER (both_succeeded) / count(*) * 100, 2) AS both_succeeded_pct, round(count(*) FILTER (both_failed) / count(*) * 100, 2) AS both_failed_pct, round(count(*) FILTER (only_a_succeeded) / count(*) * 100, 2) AS only_a_succeeded_pct, round(count(*) FILTER (only_b_succeeded) / count(*) * 100, 2) AS only_b_succeeded_pct,
     count(*) FILTER (results_match) AS agreements, count(*) FILTER (both_succeeded) - count(*) FILTER (results_match) AS disagreements, coalesce(round(count(*) FILTER (results_match) / nullif(count(*) FILTER (both_succeeded), 0) * 100, 2), 0.0) AS agreement_rate,
     count(winner) AS with_truth, round(count(*) FILTER (a_correct) / nullif(count(winner), 0) * 100, 2) AS accuracy_a, round(count(*) FILTER (b_correct) / nullif(count(winner), 0) * 100, 2) AS accuracy_b, round((count(*) FILTER (b_correct) - count(*) FILTER (a_correct)) / nullif(count(winner), 0) * 100, 2) AS improvement,
-    round(avg(confidence_difference), 3) AS avg_confidence_difference, round(avg(time_difference) * 1000, 1) AS avg_time_difference_ms, count(*) FILTER (faster = 'pipeline_b') AS b_faster, min(time_difference) AS min_time_difference, max(time_difference) AS max_time_difference"""
+    round(avg(confidence_difference), 2) AS avg_confidence_difference, round(avg(time_difference) * 1000, 2) AS avg_time_difference_ms, count(*) FILTER (faster = 'pipeline_b') AS b_faster, min(time_difference) AS min_time_difference, max(time_difference) AS max_time_difference"""
 
 
 def compared(spark, sf):
@@ -34,10 +34,8 @@ def _plain(df):
 
 
 def _summary(cmp, **kw):
-    by = kw.pop("by", ())
-    exact = [m for m in C.summary_metrics()[:-5]]
-    means = [F.round(F.avg("confidence_difference"), 3).alias("avg_confidence_difference"), F.round(F.avg("time_difference") * 1000, 1).alias("avg_time_difference_ms")]
-    return _plain(cmp.groupBy(*by).agg(*exact, *means, *C.summary_metrics()[-3:]))
+    """The operator's own columns; its two means are rounded on, to where the order of summation cannot show."""
+    return _plain(C.comparison_summary(cmp, **kw))
 
 
 @query("compare_runs", f"WITH {CMP} SELECT image_id, both_succeeded, both_failed, only_a_succeeded, only_b_succeeded, results_match, round(confidence_difference, 2) + 0.0 AS confidence_difference, round(time_difference, 3) + 0.0 AS time_difference, faster, a_correct, b_correct, winner FROM m", V)

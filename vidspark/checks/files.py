@@ -35,18 +35,15 @@ def dated_partition(spark, sf):
     return logs.read_dated(spark, path).filter(F.col("date") == day).groupBy("person", "reason").agg(F.count("*").alias("n"))
 
 
-@query("image_listing", """SELECT b.batch, count(*) AS files, CAST(sum(b.n) AS BIGINT) AS bytes FROM (SELECT 'batch_' || lpad(CAST(n_regionkey AS VARCHAR), 4, '0') AS batch, 4 + CAST(length(n_name) AS BIGINT) AS n, n_nationkey FROM nation) b WHERE n_nationkey % 4 <> 3 GROUP BY 1""")
+@query("image_listing", """WITH d AS (SELECT 'batch_' || lpad(CAST(doc_id % 40 AS VARCHAR), 4, '0') AS batch, strlen(coalesce(text, '')) + 1 AS n FROM documents)
+    SELECT batch, CAST(ceil(count(*) / 50.0e0) AS BIGINT) AS files, CAST(sum(n) AS BIGINT) AS bytes FROM d GROUP BY 1""")
 def image_listing(spark, sf):
-    """Files of several types in batch folders; only image files are listed, unopened."""
+    """Two kinds of files in batch folders, written by the executors, fifty texts in each; one kind is listed, unopened."""
     path = folder(spark, "images")
-    n = table(spark, sf, "nation").select("n_nationkey", F.concat(F.lit("batch_"), F.lpad(F.col("n_regionkey").cast("string"), 4, "0")).alias("batch"), F.concat(F.lit("JPEG"), "n_name").alias("content"))
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for r in n.collect():  # one file per nation: 25 by the table's definition
-        kind = ("jpg", "PNG", "webp", "txt")[r["n_nationkey"] % 4]
-        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{r['batch']}/n{r['n_nationkey']}.{kind}"))
-        out.write(bytearray(r["content"].encode()))
-        out.close()
-    return logs.list_images(spark, path).groupBy("batch").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+    d = table(spark, sf, "documents").select(F.coalesce("text", F.lit("")).alias("value"), F.concat(F.lit("batch_"), F.lpad((F.col("doc_id") % 40).cast("string"), 4, "0")).alias("batch"))
+    for kind in ("text", "json"):
+        d.repartition("batch").write.partitionBy("batch").option("maxRecordsPerFile", 50).mode("append").format(kind).save(path)
+    return logs.list_images(spark, path, kinds=("txt",)).groupBy("batch").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
 
 
 @query("latest_report", "SELECT o_orderpriority AS name, count(*) AS n FROM orders GROUP BY 1")
@@ -54,6 +51,6 @@ def latest_report(spark, sf):
     """Two runs of a report, the older one written twice; the newest is read."""
     o, path = table(spark, sf, "orders"), folder(spark, "reports")
     report = o.groupBy(F.col("o_orderpriority").alias("name")).agg(F.count("*").alias("n"))
-    for run, rows in (("2024-01-01", report.filter("n < 0")), ("2024-01-01", report.limit(1)), ("2024-02-01", report)):
+    for run, rows in (("2024-01-01", report.filter("n < 0")), ("2024-01-01", report.orderBy("name").limit(1)), ("2024-02-01", report)):
         logs.write_report(rows, path, run_id=run)
     return logs.read_latest_report(spark, path, "name STRING, n LONG").select("name", "n")

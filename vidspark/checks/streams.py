@@ -206,7 +206,7 @@ def stream_stages_open(spark, sf):
         s, f = I.with_control(e, one), I.with_control(e, two)
         return I.stage_pairs(s.filter("event_type = 'signup'"), f.filter("event_type = 'purchase'"), key="user_id", ts="ts", within="12 hours", delay="1 hour")
 
-    ends = {one: {"user_id": -1, "event_type": "signup"}, two: {"user_id": -1, "event_type": "purchase"}}
+    ends = {one: {"user_id": -1, "event_type": "signup"}, two: {"user_id": -2, "event_type": "purchase"}}
     to_the_end(spark, build, {one: e.schema, two: e.schema}, out, cp, ends)
     return spark.read.parquet(out).select("user_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("started_at", "finished_at")])
 

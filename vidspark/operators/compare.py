@@ -43,21 +43,40 @@ def comparison_metrics() -> list[Column]:
     ]
 
 
-def summary_metrics() -> list[Column]:
-    n = F.count(F.lit(1))
-    both = F.count_if("both_succeeded")
-    known = F.count("winner")
-    right_a, right_b = F.count_if("a_correct"), F.count_if("b_correct")
-    counts = [F.count_if(c).alias(c) for c in ("both_succeeded", "both_failed", "only_a_succeeded", "only_b_succeeded")]
-    shares = [pct(F.count_if(c), n).alias(f"{c}_pct") for c in ("both_succeeded", "both_failed", "only_a_succeeded", "only_b_succeeded")]
+#: Parts of the metrics that add up, are least or are largest, over any set of rows.
+_COUNTED = ("both_succeeded", "both_failed", "only_a_succeeded", "only_b_succeeded", "results_match", "a_correct", "b_correct")
+_MEANS = ("confidence_difference", "time_difference")
+_SUMS = ("total", "with_truth", "b_faster", *(f"n_{c}" for c in _COUNTED), *(f"{k}_{c}" for c in _MEANS for k in ("n", "s")))
+
+
+def partial_metrics() -> list[Column]:
+    """The mergeable state of a set of compared images."""
+    return [
+        F.count(F.lit(1)).alias("total"), F.count("winner").alias("with_truth"), F.count_if(F.col("faster") == "pipeline_b").alias("b_faster"),
+        *[F.count_if(c).alias(f"n_{c}") for c in _COUNTED],
+        *[x for c in _MEANS for x in (F.count(c).alias(f"n_{c}"), F.sum(c).alias(f"s_{c}"))],
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min("time_difference").alias("min_time_difference"), F.max("time_difference").alias("max_time_difference"),
+    ]
+
+
+def merged_metrics() -> list[Column]:
+    """State of several states."""
+    return [F.sum(c).alias(c) for c in _SUMS] + [f(c).alias(c) for f, c in ((F.min, "first_ts"), (F.max, "last_ts"), (F.min, "min_time_difference"), (F.max, "max_time_difference"))]
+
+
+def finished_metrics() -> list[Column]:
+    """The metrics of a state."""
+    n, both, known = F.col("total"), F.col("n_both_succeeded"), F.col("with_truth")
+    mean = lambda c: F.when(F.col(f"n_{c}") > 0, F.col(f"s_{c}") / F.col(f"n_{c}"))
+    shown = _COUNTED[:4]
     return [
-        n.alias("total"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), *counts, *shares,
-        F.count_if("results_match").alias("agreements"), (both - F.count_if("results_match")).alias("disagreements"),
-        F.coalesce(pct(F.count_if("results_match"), both), F.lit(0.0)).alias("agreement_rate"),
-        known.alias("with_truth"), pct(right_a, known).alias("accuracy_a"), pct(right_b, known).alias("accuracy_b"), pct(right_b - right_a, known).alias("improvement"),
-        F.round(F.avg("confidence_difference"), 2).alias("avg_confidence_difference"),
-        F.round(F.avg("time_difference") * 1000, 2).alias("avg_time_difference_ms"), F.count_if(F.col("faster") == "pipeline_b").alias("b_faster"),
-        F.min("time_difference").alias("min_time_difference"), F.max("time_difference").alias("max_time_difference"),
+        n.alias("total"), F.col("first_ts"), F.col("last_ts"), *[F.col(f"n_{c}").alias(c) for c in shown], *[pct(F.col(f"n_{c}"), n).alias(f"{c}_pct") for c in shown],
+        F.col("n_results_match").alias("agreements"), (both - F.col("n_results_match")).alias("disagreements"),
+        F.coalesce(pct(F.col("n_results_match"), both), F.lit(0.0)).alias("agreement_rate"),
+        known.alias("with_truth"), pct(F.col("n_a_correct"), known).alias("accuracy_a"), pct(F.col("n_b_correct"), known).alias("accuracy_b"),
+        pct(F.col("n_b_correct") - F.col("n_a_correct"), known).alias("improvement"),
+        F.round(mean("confidence_difference"), 2).alias("avg_confidence_difference"), F.round(mean("time_difference") * 1000, 2).alias("avg_time_difference_ms"),
+        F.col("b_faster"), F.col("min_time_difference"), F.col("max_time_difference"),
     ]
 
 
@@ -67,7 +86,8 @@ def comparison_summary(cmp: DataFrame, *, by: Sequence[str | Column] = (), start
         cmp = cmp.filter(in_days(F.col("ts"), start or "0001-01-01", end or "9999-12-30"))
     if ids is not None:
         cmp = cmp.join(ids.select(on).distinct(), on, "left_semi")
-    return cmp.groupBy(*by).agg(*summary_metrics())
+    state = cmp.groupBy(*by).agg(*partial_metrics())
+    return state.select(*[c for c in state.columns if c not in {x for m in (_SUMS, ("first_ts", "last_ts", "min_time_difference", "max_time_difference")) for x in m}], *finished_metrics())
 
 
 def daily_summary(cmp: DataFrame) -> DataFrame:
@@ -75,8 +95,15 @@ def daily_summary(cmp: DataFrame) -> DataFrame:
 
 
 def weekly_summary(cmp: DataFrame, *, days: int = 7, slide: int = 1) -> DataFrame:
-    """Sliding windows of `days`, one per `slide` days; expand is map-side, sums combine before the shuffle."""
-    return comparison_summary(cmp, by=[F.window(F.col("ts").cast("timestamp"), f"{days} days", f"{slide} days").alias("week")])
+    """Sliding windows of `days`, one per `slide` days, from panes of `slide` days: each row is counted once,
+    and only the state of a pane goes to all windows that it lies in."""
+    if days % slide:
+        return comparison_summary(cmp, by=[F.window(F.col("ts").cast("timestamp"), f"{days} days", f"{slide} days").alias("week")])
+    panes = cmp.groupBy(F.window(F.col("ts").cast("timestamp"), f"{slide} days").alias("_pane")).agg(*partial_metrics())
+    back = F.explode(F.sequence(F.lit(0), F.lit(days // slide - 1))).alias("_back")
+    placed = panes.filter("_pane IS NOT NULL").select("*", back).withColumn("_start", F.expr(f"_pane.start - make_dt_interval(_back * {slide})"))
+    weeks = placed.groupBy("_start").agg(*merged_metrics())
+    return weeks.select(F.struct(F.col("_start").alias("start"), (F.col("_start") + F.expr(f"make_dt_interval({days})")).alias("end")).alias("week"), *finished_metrics())
 
 
 def recommendations() -> Column:

@@ -11,6 +11,7 @@ from vidspark.functions.names import edit_similarity, same_person
 from vidspark.functions.scalars import days_since, hours_since
 from vidspark.operators.common import latest_per_key, numbered, top_per_group, with_group, with_previous
 from vidspark.operators.graph import resolve_merges
+from vidspark.session import cut_lineage
 from vidspark.params import Admission
 
 PRIORITIES = ("high", "medium", "low")
@@ -156,7 +157,7 @@ def admit_capped(new: DataFrame, existing: DataFrame, *, file: str = "filename",
     first and the total is drawn from them. Both are limited before their shuffle; the refused rows
     are labelled by the file name at which the total was reached.
     """
-    fresh = new.join(existing.select(file), file, "left_anti")
+    fresh = cut_lineage(new.join(existing.select(file), file, "left_anti"))  # read four times below: joined once
     dated = F.col(person).isNotNull() & (F.col(person) != "") & F.col(day).isNotNull() & (F.col(day) != "")
     free, bound = fresh.filter(~F.coalesce(dated, F.lit(False))), fresh.filter(F.coalesce(dated, F.lit(False)))
     per_day = existing.groupBy(person, day).agg(F.count(F.lit(1)).alias("_day"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,11 +38,14 @@ def export_csv(log: DataFrame, path: str) -> None:
     flat_export(log).write.mode("overwrite").option("header", True).csv(path)
 
 
-def list_images(spark: SparkSession, path: str, *, content: bool = False) -> DataFrame:
-    """Image files below a folder (flat or in batch_NNNN folders): path, filename, batch, time, size.
-    Without `content` no file is opened."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jpg,jpeg,png,webp,JPG,JPEG,PNG,WEBP}").load(path)
-    cols = [F.col("path"), F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), F.nullif(F.regexp_extract("path", r"/(batch_\d{4})/", 1), F.lit("")).alias("batch"), F.col("modificationTime").alias("stamp"), F.col("length").alias("bytes")]
+IMAGE_KINDS = ("jpg", "jpeg", "png", "webp", "JPG", "JPEG", "PNG", "WEBP")
+
+
+def list_images(spark: SparkSession, path: str, *, content: bool = False, kinds: Sequence[str] = IMAGE_KINDS) -> DataFrame:
+    """Image files (or files of other `kinds`) below a folder (flat or in batch_NNNN folders): path,
+    filename, batch, time, size. Without `content` no file is opened."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{','.join(kinds)}}}").load(path)
+    cols = [F.col("path"), F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), F.nullif(F.regexp_extract("path", r"/(?:batch=)?(batch_\d{4})/", 1), F.lit("")).alias("batch"), F.col("modificationTime").alias("stamp"), F.col("length").alias("bytes")]
     return df.select(*cols, *([F.col("content")] if content else []))
 
 
