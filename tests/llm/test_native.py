@@ -138,6 +138,39 @@ def test_larger_documents_are_likelier(spark):
     assert got[16] / got[4] == pytest.approx(2, abs=0.25)
 
 
+@pytest.mark.parametrize("share", [0.05, 0.25, 0.5])
+@pytest.mark.parametrize(("many", "small", "giant"), [(1000, 100, 100_000), (200, 200, 20_020), (3, 7, 1_000_000), (0, 1, 5000)])
+def test_one_giant_document_per_source(spark, share, many, small, giant):
+    """40 sources of the same sizes are 40 draws: each ends within half of the smallest document it leaves out."""
+    rows = spark.range(40 * (many + 1)).select(F.col("id").alias("doc_id"), F.format_string("s%02d", F.col("id") % 40).alias("source"), F.when(F.col("id") < 40, giant).otherwise(small).cast("long").alias("size"))
+    out = mixing.with_copies(rows, *mixing.plan(rows, weights=(1,), share=share))
+    per = out.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("t"), F.first("target").alias("goal"), F.min(F.when(F.col("copies") == 0, F.col("size"))).alias("out")).collect()
+    assert len(per) == 40
+    for r in per:
+        assert r["goal"] == pytest.approx(share * (many * small + giant))
+        assert abs(r["t"] - r["goal"]) <= max((r["out"] or 0) / 2, 1) or r["t"] + (r["out"] or 0) > r["goal"] > r["t"] and r["goal"] - r["t"] <= r["out"] / 2, r
+
+
+def test_many_sizes_close_the_gap(spark):
+    """Sizes over five orders of magnitude, some ids repeated: what is left is less than half of any document outside."""
+    rng = random.Random(4)
+    data = [(i // 2 if i % 10 == 0 else i, "ab"[i % 2], int(10 ** rng.uniform(0, 5))) for i in range(3000)]
+    rows = spark.createDataFrame(data, "doc_id long, source string, size long")
+    out = mixing.with_copies(rows, *mixing.plan(rows, weights=(1, 1), share=0.4)).collect()
+    for s in "ab":
+        own = [r for r in out if r["source"] == s]
+        taken, goal = sum(r["size"] * r["copies"] for r in own), own[0]["target"]
+        assert abs(taken - goal) <= 2 * min(r["size"] for r in own if not r["copies"])
+        assert max(r["copies"] for r in own) == 1
+
+
+def test_certain_documents_come_first(spark):
+    """Where a document's inclusion reaches 1 and it fits, every draw has it."""
+    rows = spark.range(40 * 101).select(F.col("id").alias("doc_id"), F.format_string("s%02d", F.col("id") % 40).alias("source"), F.when(F.col("id") < 40, 1600).otherwise(100).cast("long").alias("size"))
+    out = mixing.with_copies(rows, *mixing.plan(rows, weights=(1,), share=0.5))
+    assert out.filter("size = 1600").agg(F.min("copies"), F.max("copies")).first()[:] == (1, 1)
+
+
 # chat
 
 def test_escaping_is_reversible(spark):

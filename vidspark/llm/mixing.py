@@ -5,16 +5,20 @@ cut off is shared again by weight (solved at once: sources in order of size per
 A source with target T and size S gives every document floor(T / S) certain whole copies. The rest R is
 a sample of further copies: a document has inclusion odds pi / (1 - pi) with pi proportional to the
 square root of its size (expected words R), random odds U / (1 - U), and the rank q = random odds /
-inclusion odds; the sample is the head of that order, of fixed size R in words. Up to `CLOSING` closing
-documents, each the unsampled one nearest in size to what is left (only the last may be larger), end it.
-
-The order is never sorted as a whole: words are summed per source and bucket of q, and only the one
-bucket in which a source's budget ends is ordered. The outcome is one small row per source; whether a
-document is taken follows from that row and the document alone. U comes from the md5 of the id, so
-reruns agree.
+inclusion odds; documents whose pi reaches 1 are certain and stand first, in random order. The sample is
+read off that order: a document is taken if it fits into what is left of R and passed over otherwise, so
+at the end every document outside is larger than what is left. If the smallest of those comes nearer to
+R than stopping does, it is taken too: a source misses its target by at most half of that document.
+
+The order is never sorted as a whole: words that can fit are summed per source and bucket of q, only the
+one bucket in which the budget ends is ordered, and behind the document that did not fit the sums go on
+with those that fit into the smaller rest. Each pass either ends a source or lowers what is left below
+the size of the document passed over, so passes grow with the logarithm of sizes, not with rows. The
+outcome is one row per source with the stretches of the order it takes; whether a document is taken
+follows from that row and the document alone. U comes from the md5 of the id, so reruns agree.
 
 Defined results: null texts have size 0 and are never taken; a null source is a source of its own, last
-in order; null ids count as ''; repeated rows (same id, size and source) share one decision; an empty
+in order; null ids count as ''; repeated rows (same id, size and source) share one decision and fit together or not at all; an empty
 table gives an empty result; other columns are carried (`mixed_documents`) or ignored.
 """
 
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from vidspark.llm.text import only, trimmed, word_count
 from vidspark.session import cut_lineage
 
-BUCKETS, CLOSING = 4096, 4
+BUCKETS = 4096
 #: Sources up to which their table is broadcast (a few hundred bytes each).
 BROADCAST_SOURCES = 20_000
 
@@ -62,11 +66,14 @@ def _scale(size: Column) -> Column:
     return F.floor(F.sqrt(size.cast("double")) * 1024).cast("decimal(20,0)")
 
 
-def _odds() -> Column:
-    """The rank q of a document in its source; null where nothing is sampled."""
+def _ranked(rows: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
+    """`rows` with the columns of their source and `_at`, the place (rank, id, size) in its order; null
+    where nothing is sampled. Ranks of certain documents are negative."""
     u = uniform(F.col("_key"))
-    pi = F.least(F.lit(0.999), F.col("_rest") / F.col("source_size") * _scale(F.col("size")).cast("double") / F.col("_mean"))
-    return F.when((F.col("size") > 0) & (F.col("_rest") > 0), (u / (1 - u)) / (pi / (1 - pi)))
+    pi = F.col("_rest") / F.col("source_size") * _scale(F.col("size")).cast("double") / F.col("_mean")
+    q = F.when(pi >= 1, u - 1).otherwise((u / (1 - u)) / (pi / (1 - pi)))
+    out = _with_source(rows.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), sources, small)
+    return out.withColumn("_at", F.when((F.col("size") > 0) & (F.col("_rest") > 0), F.struct(q.alias("q"), F.col("_key").alias("key"), F.col("size").alias("size"))))
 
 
 def _with_source(rows: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
@@ -75,46 +82,76 @@ def _with_source(rows: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
 
 
 def plan(rows: DataFrame, *, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> tuple[DataFrame, bool]:
-    """(one row per source: sizes, target, certain copies, where its sample ends, closing documents;
-    whether that table may be broadcast). `rows`: doc_id, source, size, best read from a cut lineage."""
+    """(one row per source: sizes, target, certain copies, the stretches of its order that are sampled, the
+    closing document; whether that table may be broadcast). `rows`: doc_id, source, size, best read from a
+    cut lineage."""
     sources = targets(rows, weights=weights, share=share, cap=cap)
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     sources = sources.withColumn("_copies", copies).withColumn("_rest", F.col("target") - F.col("_copies") * F.col("source_size"))
     sources = cut_lineage(sources.withColumn("_mean", F.when(F.col("source_size") > 0, F.col("_moment").cast("double") / F.col("source_size"))).drop("_moment"))
     small = sources.count() <= BROADCAST_SOURCES
-    ranked = _with_source(rows.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), sources, small).withColumn("_q", _odds()).filter("_q is not null")
-    ranked = ranked.withColumn("_bucket", F.floor(F.col("_q") / (1 + F.col("_q")) * BUCKETS)).withColumn("_at", F.struct("_q", "_key", "size"))
-    # where the budget ends: by bucket, then inside one bucket per source
-    sums = ranked.groupBy("source", "_bucket", "_rest").agg(F.sum("size").alias("_words"))
-    upto = F.sum("_words").over(W.partitionBy("source").orderBy("_bucket"))
-    ends = sums.withColumn("_upto", upto).filter("_upto > _rest").groupBy("source").agg(F.min("_bucket").alias("_end"), F.min(F.col("_upto")).alias("_upto"), F.min_by("_words", "_bucket").alias("_words"))
-    ends = ends.select("source", "_end", (F.col("_upto") - F.col("_words")).alias("_before"))
-    last = _with_source(ranked, ends, small).filter("_bucket = _end")
-    inside = F.col("_before") + F.sum("size").over(W.partitionBy("source").orderBy("_q", "_key", "size"))
-    cut = last.withColumn("_upto", inside).filter("_upto <= _rest").groupBy("source").agg(F.max("_at").alias("_cut"), F.max("_upto").alias("_taken"))
-    ends = ends.join(cut.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    ends = cut_lineage(ends.withColumn("_taken", F.coalesce("_taken", "_before")).withColumn("_closing", F.array().cast(f"array<{ranked.select(F.struct('_key', 'size').alias('c')).schema['c'].dataType.simpleString()}>")))
-    for turn in range(CLOSING):
-        left = F.col("_rest") - F.col("_taken")
-        outside = _with_source(ranked, ends, small).filter(~_sampled() & ~F.array_contains("_closing", F.struct("_key", "size")))
-        outside = outside.withColumn("_left", F.abs(left - F.col("size"))).filter((F.col("_left") < left) & ((F.col("size") <= left) | F.lit(turn == CLOSING - 1)))
-        more = outside.groupBy(F.col("source").alias("_s")).agg(F.min_by(F.struct("_key", "size"), F.struct("_left", "_at")).alias("_more"))
-        ends = ends.join(more, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-        ends = cut_lineage(ends.withColumn("_taken", F.col("_taken") + F.coalesce("_more.size", F.lit(0))).withColumn("_closing", F.when(F.col("_more").isNotNull(), F.concat("_closing", F.array("_more"))).otherwise(F.col("_closing"))).drop("_more"))
-    whole = sources.join(ends.select(F.col("source").alias("_s"), "_end", "_cut", "_closing"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    ranked = _ranked(rows, sources, small).filter("_at is not null").select("source", "size", "_at")
+    at = ranked.schema["_at"].dataType.simpleString()
+    state = sources.select(
+        "source", F.col("_rest").alias("_left"), F.lit(None).cast(at).alias("_after"), (F.col("_rest") > 0).alias("_open"),
+        F.array().cast(f"array<struct<after:{at},before:{at},most:double>>").alias("_parts"),
+    )
+    while True:
+        state = cut_lineage(_passed(ranked, state, small))
+        if state.filter("_open").isEmpty():
+            break
+    left = F.col("_left")
+    outside = _with_source(ranked, state.select("source", "_left", "_parts"), small).filter(~_sampled() & (F.col("size") > left) & (F.col("size") - left < left))
+    closing = outside.groupBy(F.col("source").alias("_s")).agg(F.min_by("_at", F.struct("size", "_at")).alias("_closing"))
+    whole = _beside(_beside(sources, state.select(F.col("source").alias("_s"), "_parts")), closing)
     return cut_lineage(whole), small
 
 
+def _beside(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.join(b, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+
+
+def _passed(ranked: DataFrame, state: DataFrame, small: bool) -> DataFrame:
+    """`state` after one pass: every open source takes what fits in order up to the first document that
+    does not, and stays open behind it; a source without such a document is done."""
+    going = state.filter("_open").select("source", "_left", "_after")
+    rows = _with_source(ranked, going, small).filter((F.col("_after").isNull() | (F.col("_at") > F.col("_after"))) & (F.col("size") <= F.col("_left")))
+    q = F.col("_at.q")
+    rows = rows.withColumn("_bucket", F.floor(F.when(q < 0, q * BUCKETS).otherwise(q / (1 + q) * BUCKETS)))
+    # where the rest ends: by bucket, then inside that bucket
+    sums = rows.groupBy("source", "_bucket", "_left").agg(F.sum("size").alias("_words"), F.min("size").alias("_least"))
+    upto = F.sum("_words").over(W.partitionBy("source").orderBy("_bucket"))
+    ends = sums.withColumn("_upto", upto).groupBy("source").agg(
+        F.min(F.when(F.col("_upto") > F.col("_left"), F.col("_bucket"))).alias("_end"),
+        F.coalesce(F.max(F.when(F.col("_upto") <= F.col("_left"), F.col("_upto"))), F.lit(0)).alias("_taken"), F.min("_least").alias("_least"),
+    )
+    ends = cut_lineage(ends)
+    inside = F.col("_taken") + F.sum("size").over(W.partitionBy("source").orderBy("_at"))
+    last = _with_source(rows, ends.filter("_end is not null"), small).filter("_bucket = _end").withColumn("_upto", inside)
+    cut = last.groupBy(F.col("source").alias("_s")).agg(
+        F.min(F.when(F.col("_upto") > F.col("_left"), F.col("_at"))).alias("_before"),
+        F.max(F.when(F.col("_upto") <= F.col("_left"), F.col("_upto"))).alias("_more"),
+    )
+    new = _beside(_beside(state, ends.select(F.col("source").alias("_s"), "_taken", "_least")), cut)
+    part = F.struct(F.col("_after").alias("after"), F.col("_before").alias("before"), F.col("_left").alias("most"))
+    rest = F.col("_left") - F.coalesce("_more", "_taken", F.lit(0))
+    return new.select(
+        "source", F.when(F.col("_open"), rest).otherwise(F.col("_left")).alias("_left"), F.col("_before").alias("_after"),
+        F.coalesce(F.col("_before").isNotNull() & (rest >= F.col("_least")), F.lit(False)).alias("_open"),
+        F.when(F.col("_taken").isNotNull(), F.concat("_parts", F.array(part))).otherwise(F.col("_parts")).alias("_parts"),
+    )
+
+
 def _sampled() -> Column:
-    """In the head of the order: in a bucket before the last, or up to the cut in it."""
-    return F.col("_end").isNull() | (F.col("_bucket") < F.col("_end")) | F.coalesce((F.col("_bucket") == F.col("_end")) & (F.col("_at") <= F.col("_cut")), F.lit(False))
+    """In one of the stretches, and of a size that was still considered there."""
+    at = F.col("_at")
+    return F.exists("_parts", lambda p: (p["after"].isNull() | (at > p["after"])) & (p["before"].isNull() | (at < p["before"])) & (at["size"] <= p["most"]))
 
 
 def with_copies(rows: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
     """`rows` (doc_id, source, size and any more) with source_size, target and copies."""
-    out = _with_source(rows.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), sources, small).withColumn("_q", _odds())
-    out = out.withColumn("_bucket", F.floor(F.col("_q") / (1 + F.col("_q")) * BUCKETS)).withColumn("_at", F.struct("_q", "_key", "size"))
-    extra = F.coalesce(F.col("_q").isNotNull() & (_sampled() | F.array_contains("_closing", F.struct("_key", "size"))), F.lit(False))
+    out = _ranked(rows, sources, small)
+    extra = F.coalesce(F.col("_at").isNotNull() & (_sampled() | F.coalesce(F.col("_at") == F.col("_closing"), F.lit(False))), F.lit(False))
     return out.withColumn("copies", F.when(F.col("size") > 0, F.col("_copies") + extra.cast("long")).otherwise(F.lit(0).cast("long"))).select(*rows.columns, "source_size", "target", "copies")
 
 

@@ -74,17 +74,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
-def _closing_sql() -> str:
-    """Each round takes the document nearest in size to what is left; only the last may exceed it."""
-    fit = lambda k: "NOT head AND q IS NOT NULL AND " + ("abs(l - size) < l" if k == 4 + mixing.CLOSING else "abs(l - size) < l AND size <= l")
-    return ",\n".join(
-        f"q{k} AS (SELECT * REPLACE (head OR chosen AS head, l - coalesce(sum(CASE WHEN chosen THEN size END) OVER (PARTITION BY source), 0) AS l) FROM (SELECT * EXCLUDE (chosen), {fit(k)} AND row_number() OVER (PARTITION BY source, {fit(k)} ORDER BY abs(l - size), q, k, size) = 1 AS chosen FROM q{k - 1}))"
-        for k in range(5, 5 + mixing.CLOSING)
-    )
-
-
+#: The recursion takes, in order, what fits into the rest of its source and drops what no longer does.
 MIX_SQL = rf"""
-WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, coalesce(doc_id::VARCHAR, '') AS k FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, coalesce(doc_id::VARCHAR, '') AS k FROM documents),
 z AS (SELECT *, floor(sqrt(size::DOUBLE) * 1024)::BIGINT AS r, (('0x' || md5(k)[1:13])::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM d),
 s1 AS (SELECT source, sum(size)::BIGINT AS ss, sum(r * size) AS moment, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT] AS w FROM z GROUP BY source),
 s2 AS (SELECT *, ss * 2.0::DOUBLE AS cap, (sum(ss) OVER () * 1.5::DOUBLE - coalesce(sum(ss * 2.0::DOUBLE) OVER (ORDER BY ss * 2.0::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
@@ -92,12 +84,22 @@ s2 AS (SELECT *, ss * 2.0::DOUBLE AS cap, (sum(ss) OVER () * 1.5::DOUBLE - coale
 s3 AS (SELECT *, coalesce(least(cap, w * max(CASE WHEN lv < cap / w THEN lv END) OVER ()), cap) AS target FROM s2),
 s4 AS (SELECT *, CASE WHEN ss > 0 THEN floor(target / ss) ELSE 0 END::BIGINT AS c FROM s3),
 s5 AS (SELECT *, target - c * ss AS rest, moment::DOUBLE / nullif(ss, 0) AS mean FROM s4),
-q1 AS (SELECT z.*, s5.ss, s5.target, s5.c, s5.rest, least(0.999::DOUBLE, rest / ss * r::DOUBLE / mean) AS pi FROM z JOIN s5 ON z.source IS NOT DISTINCT FROM s5.source),
-q2 AS (SELECT *, CASE WHEN size > 0 AND rest > 0 THEN (u / (1 - u)) / (pi / (1 - pi)) END AS q FROM q1),
-q3 AS (SELECT *, q IS NOT NULL AND sum(CASE WHEN q IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q NULLS LAST, k, size) <= rest AS head FROM q2),
-q4 AS (SELECT *, rest - sum(CASE WHEN head THEN size ELSE 0 END) OVER (PARTITION BY source) AS l, false AS chosen FROM q3),
-{_closing_sql()}
-SELECT doc_id, size, ss AS source_size, target, CASE WHEN size > 0 THEN size * (c + head::BIGINT) ELSE 0 END::BIGINT AS taken FROM q{4 + mixing.CLOSING}"""
+q1 AS (SELECT z.*, s5.ss, s5.target, s5.c, s5.rest, rest / ss * r::DOUBLE / mean AS pi FROM z JOIN s5 ON z.source IS NOT DISTINCT FROM s5.source),
+q2 AS (SELECT *, CASE WHEN size > 0 AND rest > 0 THEN CASE WHEN pi >= 1 THEN u - 1 ELSE (u / (1 - u)) / (pi / (1 - pi)) END END AS q FROM q1),
+units AS (SELECT source, q, k, size, sum(size)::BIGINT AS words, any_value(rest) AS l FROM q2 WHERE q IS NOT NULL GROUP BY source, q, k, size),
+walk AS (SELECT source, q, k, size, words, l, 0 AS state FROM units
+    UNION ALL SELECT source, q, k, size, words, l2, CASE WHEN upto <= l THEN 1 ELSE 0 END FROM (
+        SELECT *, l - coalesce(max(CASE WHEN upto <= l THEN upto END) OVER (PARTITION BY source), 0) AS l2 FROM (
+            SELECT *, sum(words) OVER (PARTITION BY source ORDER BY q, k, size) AS upto FROM walk WHERE state = 0 AND words <= l))
+    WHERE upto <= l OR words <= l2),
+head AS (SELECT source, q, k, size, words FROM walk WHERE state = 1),
+gap AS (SELECT source, any_value(l) - coalesce(any_value(t), 0) AS l FROM units LEFT JOIN (SELECT source AS hs, sum(words) AS t FROM head GROUP BY source) ON hs IS NOT DISTINCT FROM source GROUP BY source),
+more AS (SELECT u.source, u.q, u.k, u.size FROM units u JOIN gap g ON u.source IS NOT DISTINCT FROM g.source
+    WHERE u.size > g.l AND u.size - g.l < g.l AND NOT EXISTS (SELECT 1 FROM head h WHERE h.source IS NOT DISTINCT FROM u.source AND h.q = u.q AND h.k = u.k AND h.size = u.size)
+    QUALIFY row_number() OVER (PARTITION BY u.source ORDER BY u.size, u.q, u.k) = 1),
+extra AS (SELECT source AS es, q AS eq, k AS ek, size AS ez FROM head UNION SELECT source, q, k, size FROM more)
+SELECT doc_id, size, ss AS source_size, target, CASE WHEN size > 0 THEN size * (c + (ez IS NOT NULL)::BIGINT) ELSE 0 END::BIGINT AS taken
+FROM q2 LEFT JOIN extra ON es IS NOT DISTINCT FROM source AND eq = q AND ek = k AND ez = size"""
 
 
 @register("op1_pareto_mix", MIX_SQL)
