@@ -9,14 +9,14 @@ AWKWARD = [
     (8, "ünïcode ✓ 𝒳 text with the same words", "fr", "b"), (9, "x", "es", "é"), (10, LONG, "en", None),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string"
-CLASHING = ", _row string, _text string, _id long, fp long, kept boolean, `odd.name` int"
+CLASHING = ", _row string, _text string, _id long, fp long, kept boolean, `odd.name` int, _stay long, _hash long, _at string, _key string, _left double, _doc string"
 
 
 def awkward(spark, extra: bool = True):
     """Null and repeated ids, null, empty and long texts, columns named like the operators' own."""
     if not extra:
         return spark.createDataFrame(AWKWARD, SCHEMA)
-    return spark.createDataFrame([(*r, "r", "t", 99, 5, False, 1) for r in AWKWARD], SCHEMA + CLASHING)
+    return spark.createDataFrame([(*r, "r", "t", 99, 5, False, 1, 7, 8, "at", "k", 0.5, "d") for r in AWKWARD], SCHEMA + CLASHING)
 
 
 def empty(spark):
