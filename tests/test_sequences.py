@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from vidspark.operators import tracks, workflow
+from vidspark.operators import frames, tracks, workflow
 from vidspark.operators.common import numbered, with_previous
 from vidspark.params import Admission, Tracking
 
@@ -170,3 +170,45 @@ def test_numbering_and_previous(spark):
     assert [n for _, n in whole] == list(range(1, 2001))
     for r in with_previous(df, ["k"], ["v"], ["v"]).collect():
         assert r.prev_v is None or r.prev_v < r.v
+
+
+def test_rolling_means_across_blocks(spark):
+    """One video holds most rows; nulls are left out; every block size gives the plain loop's means."""
+    rng = random.Random(3)
+    data = [(0 if rng.random() < 0.8 else rng.randint(1, 4), i, None if rng.random() < 0.2 else rng.uniform(0, 100)) for i in range(700)]
+    df = spark.createDataFrame(data, "video_id long, f long, v double")
+    want = {}
+    for vid in range(5):
+        mine = [(f, v) for d, f, v in data if d == vid]
+        for k, (f, _) in enumerate(mine):
+            seen = [v for _, v in mine[max(0, k - 6) : k + 1] if v is not None]
+            want[vid, f] = round(sum(seen) / len(seen), 9) if seen else None
+    for block in (1, 7, 8, 50, 100_000):
+        got = frames.rolling_means(df, video="video_id", order=["f"], values=["v"], last=7, block=block).collect()
+        assert len(got) == len(data)
+        assert {(r.video_id, r.f): None if r.rolling_v is None else round(r.rolling_v, 9) for r in got} == want
+    one = frames.rolling_means(df, video="video_id", order=["f"], values=["v"], last=1).collect()
+    assert all(r.rolling_v == r.v for r in one)
+    assert frames.rolling_means(df.limit(0), video="video_id", order=["f"], values=["v"], last=3).collect() == []
+
+
+def test_people_of_an_analysis_and_the_fallback(spark):
+    """Tracks win where they confirm anybody; lists may be null or missing; people without a name meet nobody."""
+    tracked = spark.createDataFrame([(1, "Ana_Kos", 40, 88.5, 2)], "v long, person string, total_frames long, avg_confidence double, total_tracks int")
+    voted = spark.createDataFrame([(1, "Ivo", 9, 70.0), (2, "Ivo", 12, 81.0), (3, "Eva", 5, 60.0)], "v long, person string, frame_count long, avg_confidence double")
+    analyses = spark.createDataFrame(
+        [(1, [("a", " ana kos ", "host")], None), (2, [("b", None, "guest"), ("c", "", None), None], [("d", "IVO"), ("e", "ivo")]), (4, [], [("f", "Eva")])],
+        "v long, speakers array<struct<person_id:string,identified_name:string,role:string>>, people array<struct<person_id:string,identified_name:string>>",
+    )
+    confirmed = frames.confirmed_or_voted(tracked, voted, video="v")
+    assert sorted(tuple(r) for r in confirmed.collect()) == [(1, "Ana_Kos", 40, 88.5, 2, "tracks"), (2, "Ivo", 12, 81.0, 1, "votes"), (3, "Eva", 5, 60.0, 1, "votes")]
+    people = frames.analysed_people(analyses, video="v", fields=["speakers", "key_people", "people"])
+    rows = frames.correlate_people(confirmed, people, video="v").collect()
+    got = {(r.v, r.person_id, r.person, r.role, r.found_in) for r in rows}
+    assert len(rows) == 7 and got == {
+        (1, "a", "Ana_Kos", "host", "both"), (2, "b", None, "guest", "analysis"), (2, "c", None, None, "analysis"), (2, "d", "Ivo", None, "both"), (2, "e", "Ivo", None, "both"), (3, None, "Eva", None, "vectors"), (4, "f", None, None, "analysis"),
+    }
+    summary = {r.v: tuple(r)[1:] for r in frames.correlation_summary(confirmed, people, analyses, video="v").collect()}
+    assert summary == {1: (True, 1, 1, 1, 1), 2: (True, 4, 2, 1, 1), 3: (False, 0, 0, 1, 0), 4: (True, 1, 1, 0, 0)}
+    with pytest.raises(ValueError):
+        frames.analysed_people(analyses, video="v", fields=["participants"])

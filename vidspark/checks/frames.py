@@ -99,3 +99,65 @@ def correlate_sources(spark, sf):
     lists = o.select(vid, F.array(F.concat(F.lit("ana p"), F.col("o_custkey") % 11)).alias("speakers"),
                      F.when(F.col("o_orderstatus") == "O", F.array(F.concat(F.lit("Ana P"), F.col("o_custkey") % 3), F.lit("Iva K"))).alias("people"))
     return FR.correlate_sources(conf, lists, video="video_id", fields=["speakers", "people"])
+
+
+#: Persons that two lists of an analysis name, and those that tracks (of every third video) and votes confirm.
+CORRELATED = """an AS (SELECT o_custkey % 50 AS video_id, 'p' || o_orderkey AS person_id, 'ana p' || (o_custkey % 11) AS identified_name, 'caption' AS name_source, o_orderpriority AS role, CAST(NULL AS VARCHAR) AS physical_description FROM orders WHERE o_custkey % 50 <> 7
+      UNION ALL SELECT o_custkey % 50, 'q' || o_orderkey, 'Ana_P' || (o_custkey % 3), NULL, 'guest', o_orderstatus FROM orders WHERE o_custkey % 50 <> 7 AND o_orderstatus = 'O'
+      UNION ALL SELECT o_custkey % 50, 'r' || o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN ' ' END, NULL, NULL, o_orderstatus FROM orders WHERE o_custkey % 50 <> 7 AND o_orderstatus = 'O'),
+    v AS (SELECT o_custkey % 50 AS video_id, 'Ana_P' || (o_custkey % 7) AS person, count(*) AS n, CAST(sum(o_orderkey % 97) AS DOUBLE) / count(*) AS c, count(DISTINCT o_orderstatus) AS tracks FROM orders GROUP BY ALL),
+    conf AS (SELECT video_id, person, CASE WHEN video_id % 3 = 0 THEN n * 2 ELSE n END AS total_frames, c AS avg_confidence, CASE WHEN video_id % 3 = 0 THEN tracks ELSE 1 END AS total_tracks, CASE WHEN video_id % 3 = 0 THEN 'tracks' ELSE 'votes' END AS method FROM v),
+    a AS (SELECT *, nullif(lower(trim(replace(identified_name, '_', ' '))), '') AS name, true AS listed FROM an), c AS (SELECT *, lower(trim(replace(person, '_', ' '))) AS name FROM conf)"""
+
+
+def _correlated(spark, sf):
+    o = table(spark, sf, "orders")
+    video = (F.col("o_custkey") % 50).alias("video_id")
+    of = lambda mark, **fields: F.struct(F.concat(F.lit(mark), F.col("o_orderkey")).alias("person_id"), *[c.alias(n) for n, c in fields.items()])
+    speaker = of("p", identified_name=F.concat(F.lit("ana p"), F.col("o_custkey") % 11), name_source=F.lit("caption"), role=F.col("o_orderpriority"))
+    guest = of("q", identified_name=F.concat(F.lit("Ana_P"), F.col("o_custkey") % 3), role=F.lit("guest"), physical_description=F.col("o_orderstatus"))
+    nobody = of("r", identified_name=F.when(F.col("o_orderkey") % 2 == 0, " "), role=F.lit(None).cast("string"), physical_description=F.col("o_orderstatus"))
+    analyses = o.filter(F.col("o_custkey") % 50 != 7).select(video, F.array(speaker).alias("speakers"), F.when(F.col("o_orderstatus") == "O", F.array(guest, nobody)).alias("people"))
+    votes = o.groupBy(video, F.concat(F.lit("Ana_P"), F.col("o_custkey") % 7).alias("person")).agg(
+        F.count(F.lit(1)).alias("frame_count"), (F.sum(F.col("o_orderkey") % 97).cast("double") / F.count(F.lit(1))).alias("avg_confidence"), F.countDistinct("o_orderstatus").alias("total_tracks"))
+    tracks = votes.filter("video_id % 3 = 0").withColumn("total_frames", F.col("frame_count") * 2)
+    confirmed = FR.confirmed_or_voted(tracks, votes.drop("total_tracks"), video="video_id")
+    return confirmed, FR.analysed_people(analyses, video="video_id", fields=["speakers", "on_screen_people", "participants", "key_people", "people"]), analyses
+
+
+@query("correlate_people", f"""WITH {CORRELATED}
+    SELECT video_id, name, person, total_frames, round(avg_confidence, 6) AS avg_confidence, total_tracks, method, person_id, identified_name, name_source, role, physical_description,
+        CASE WHEN person IS NULL THEN 'analysis' WHEN listed IS NULL THEN 'vectors' ELSE 'both' END AS found_in FROM c FULL OUTER JOIN a USING (video_id, name)""")
+def correlate_people(spark, sf):
+    confirmed, people, _ = _correlated(spark, sf)
+    return FR.correlate_people(confirmed, people, video="video_id").withColumn("avg_confidence", F.round("avg_confidence", 6))
+
+
+@query("correlation_summary", f"""WITH {CORRELATED}, vids AS (SELECT video_id FROM a UNION SELECT video_id FROM c)
+    SELECT video_id, EXISTS (SELECT 1 FROM a WHERE a.video_id = v.video_id) AS analysed, (SELECT count(*) FROM a WHERE a.video_id = v.video_id) AS people_listed, (SELECT count(name) FROM a WHERE a.video_id = v.video_id) AS people_named,
+        (SELECT count(*) FROM c WHERE c.video_id = v.video_id) AS persons_confirmed, (SELECT count(DISTINCT a.name) FROM a JOIN c USING (video_id, name) WHERE a.video_id = v.video_id) AS names_shared FROM vids v""")
+def correlation_summary(spark, sf):
+    confirmed, people, analyses = _correlated(spark, sf)
+    return FR.correlation_summary(confirmed, people, analyses, video="video_id")
+
+
+_ROLLING = f"""WITH q AS (SELECT video_id, event_id, frame_number, confidence, CASE WHEN recognized THEN {QUALITY} END AS quality FROM frames)
+    SELECT video_id, event_id, round(avg(confidence) OVER w, 6) AS rolling_confidence, round(avg(quality) OVER w, 6) AS rolling_quality FROM q WINDOW w AS (PARTITION BY video_id ORDER BY frame_number, event_id ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)"""
+
+
+def _rolling(spark, sf, **options):
+    quality = F.when(F.col("recognized"), G.frame_quality(F.col("blur"), F.col("contrast"), F.col("brightness"), F.col("edges")))
+    rows = view(spark, sf, "frames").withColumn("quality", quality).select("video_id", "event_id", "frame_number", "confidence", "quality")
+    out = FR.rolling_means(rows, video="video_id", order=["frame_number", "event_id"], values=["confidence", "quality"], last=9, **options)
+    return out.select("video_id", "event_id", F.round("rolling_confidence", 6).alias("rolling_confidence"), F.round("rolling_quality", 6).alias("rolling_quality"))
+
+
+@query("rolling_means", _ROLLING, ("frames",))
+def rolling_means(spark, sf):
+    return _rolling(spark, sf)
+
+
+@query("rolling_means_in_blocks", _ROLLING, ("frames",))
+def rolling_means_in_blocks(spark, sf):
+    """Blocks as short as the window, so that nearly every row looks into the halo."""
+    return _rolling(spark, sf, block=9)

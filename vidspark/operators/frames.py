@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vidspark.operators.common import numbered, runs, with_group
@@ -119,11 +120,89 @@ def correlate_sources(confirmed: DataFrame, analyses: DataFrame, *, video: str,
     empty = F.array().cast("array<string>")
     listed = analyses.select(video, F.explode(F.concat(*[F.coalesce(F.col(f), empty) for f in fields])).alias("analysis_name"))
 
-    def canon(c: str) -> Column:
-        return F.lower(F.trim(canonical_label(F.col(c))))
-
-    right = listed.groupBy(video, canon("analysis_name").alias("name")).agg(F.count(F.lit(1)).alias("mentions"))
-    left = confirmed.withColumn("name", canon("person"))
+    right = listed.groupBy(video, _canonical("analysis_name").alias("name")).agg(F.count(F.lit(1)).alias("mentions"))
+    left = confirmed.withColumn("name", _canonical("person"))
     return left.join(right, [video, "name"], "full_outer").withColumn(
         "found_in", F.when(F.col("person").isNull(), "analysis").when(F.col("mentions").isNull(), "vectors").otherwise("both")
     )
+
+
+def _canonical(c: str) -> Column:
+    return F.lower(F.trim(canonical_label(F.col(c))))
+
+
+#: What an analysis tells of a person; missing fields are null.
+PERSON_FIELDS = ("person_id", "identified_name", "name_source", "role", "physical_description")
+
+
+def confirmed_or_voted(tracked: DataFrame, voted: DataFrame, *, video: str) -> DataFrame:
+    """Confirmed persons of each video with total_frames, avg_confidence, total_tracks and `method`: those of
+    the tracker (`tracked`: person, total_frames, avg_confidence, total_tracks), or, for a video in which it
+    confirmed nobody, those of the frame vote (`voted`: person, frame_count, avg_confidence), as one track each."""
+    by_tracks = tracked.select(video, "person", F.col("total_frames").cast("long").alias("total_frames"), "avg_confidence", F.coalesce(F.col("total_tracks").cast("long"), F.lit(1).cast("long")).alias("total_tracks"), F.lit("tracks").alias("method"))
+    by_votes = voted.join(by_tracks.select(video).distinct(), video, "left_anti").select(video, "person", F.col("frame_count").cast("long").alias("total_frames"), "avg_confidence", F.lit(1).cast("long").alias("total_tracks"), F.lit("votes").alias("method"))
+    return by_tracks.unionByName(by_votes)
+
+
+def analysed_people(analyses: DataFrame, *, video: str, fields: Sequence[str]) -> DataFrame:
+    """One row per person that an analysis lists, with `PERSON_FIELDS`. `fields`: the array-of-struct columns
+    that may hold people; columns a table lacks, null lists and fields a struct lacks count as empty."""
+    out = None
+    for name in fields:
+        if name not in analyses.columns:
+            continue
+        people = analyses.select(video, F.explode(name).alias("_p"))
+        has = set(people.schema["_p"].dataType.fieldNames())
+        rows = people.filter("_p is not null").select(video, *[(F.col(f"_p.{f}") if f in has else F.lit(None)).cast("string").alias(f) for f in PERSON_FIELDS])
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError(f"none of {list(fields)} is a column of the analyses")
+    return out
+
+
+def correlate_people(confirmed: DataFrame, people: DataFrame, *, video: str) -> DataFrame:
+    """`people` (of `analysed_people`) beside `confirmed` (of `confirmed_or_voted`) by canonical name: one row
+    per listed person, and one per confirmed person that nobody lists. Lists are never gathered: a hot video is
+    split like any hot join key. A person without a name meets nobody; an empty name is none."""
+    named = F.when(_canonical("identified_name") != "", _canonical("identified_name"))
+    joined = confirmed.withColumn("name", _canonical("person")).join(people.withColumn("name", named).withColumn("_listed", F.lit(True)), [video, "name"], "full_outer")
+    return joined.withColumn("found_in", F.when(F.col("person").isNull(), "analysis").when(F.col("_listed").isNull(), "vectors").otherwise("both")).drop("_listed")
+
+
+def correlation_summary(confirmed: DataFrame, people: DataFrame, analyses: DataFrame, *, video: str) -> DataFrame:
+    """Per video of either side: whether it was analysed, people listed, people listed with a name, persons
+    confirmed, and how many canonical names both sides share."""
+    def marked(df: DataFrame, kind: str, name: Column) -> DataFrame:
+        return df.select(video, F.lit(kind).alias("_kind"), name.alias("_name"))
+
+    null = F.lit(None).cast("string")
+    rows = marked(analyses, "video", null).unionByName(marked(people, "person", F.when(_canonical("identified_name") != "", _canonical("identified_name")))).unionByName(marked(confirmed, "confirmed", _canonical("person")))
+    # by name first, so that a name listed a million times is one row afterwards
+    kind = F.col("_kind")
+    names = rows.groupBy(video, "_name").agg(*[F.count_if(kind == k).alias(f"_{k}") for k in ("video", "person", "confirmed")])
+    has_name = F.col("_name").isNotNull()
+    return names.groupBy(video).agg(
+        (F.sum("_video") > 0).alias("analysed"), F.sum("_person").alias("people_listed"), F.coalesce(F.sum(F.when(has_name, F.col("_person"))), F.lit(0)).alias("people_named"),
+        F.sum("_confirmed").alias("persons_confirmed"), F.count_if(has_name & (F.col("_person") > 0) & (F.col("_confirmed") > 0)).alias("names_shared"),
+    )
+
+
+def rolling_means(frames: DataFrame, *, video: str, order: Sequence[str], values: Sequence[str], last: int, block: int = 100_000) -> DataFrame:
+    """`frames` with rolling_<value>: the mean over a row and the `last` - 1 rows before it in its video, nulls
+    left out; fewer rows at the start. `order` must be unique within a video (equal rows may swap).
+
+    A video of any length is many tasks: rows are numbered by range, cut into blocks of `block` rows, and the
+    last rows of a block also stand, as a halo, in front of the next one."""
+    if last < 1:
+        raise ValueError("last must be at least 1")
+    block = max(block, last)
+    rn = F.col("_at") - 1
+    own = F.floor(rn / block)
+    ranked = numbered(frames, [video], order, name="_at")
+    # the halo: rows whose successors in the next block still look back at them
+    copies = F.when(rn % block > block - last, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = ranked.withColumn("_own", own).withColumn("_block", F.explode(copies))
+    w = W.partitionBy(video, "_block").orderBy("_at").rowsBetween(1 - last, 0)
+    for v in values:
+        rows = rows.withColumn(f"rolling_{v}", F.avg(v).over(w))
+    return rows.filter(F.col("_block") == F.col("_own")).drop("_at", "_own", "_block")
