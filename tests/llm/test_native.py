@@ -186,10 +186,10 @@ TURNS = [
 ]
 
 
-@pytest.mark.parametrize(("step", "history"), [(8, 4), (40, 100), (10_000, 10)])
-def test_windows_read_back(spark, step, history):
+@pytest.mark.parametrize(("budget", "history"), [(12, 4), (140, 100), (10_010, 10)])
+def test_windows_read_back(spark, budget, history):
     turns = spark.createDataFrame([(*t, "x", 1) for t in TURNS], "conv_id long, turn long, role string, text string, window string, span int")
-    formatted = chat.windows(turns, step=step, history=history)
+    formatted = chat.windows(turns, budget=budget, history=history)
     back = {r["conv_id"]: r for r in chat.read_back(formatted).collect()}
     for conv in {t[0] for t in TURNS}:
         own = sorted((t for t in TURNS if t[0] == conv), key=lambda t: (t[1] is None, t[1] or 0, t[2] or "", t[3] or ""))
@@ -200,11 +200,46 @@ def test_windows_read_back(spark, step, history):
         assert r["text"].startswith("<s>system\nbe kind</s>\n")
         own = r["text"].count("<s>") - r["n_repeated"]
         assert own >= 1
-    if step == 8:
+    if budget == 140:
         assert formatted.filter("conv_id = 1 and n_repeated > 1").count() > 0
     assert chat.windows(turns.limit(0)).collect() == []
 
 
+def plain_windows(sizes, system, budget, history):
+    """Tokens of each window, by a loop over the turns."""
+    kept = sizes[0] if system and 2 * sizes[0] <= budget else 0
+    room = budget - kept
+    width = room - min(history, room // 2)
+    groups, at, starts = {}, 0, []
+    for k, n in enumerate(sizes):
+        starts.append(at)
+        groups.setdefault((at // width, at // width < (at + n - 1) // width), []).append(k)
+        at += n
+    out = []
+    for own in groups.values():
+        new = sum(sizes[k] for k in own)
+        past = [k for k in range(own[0]) if starts[k] >= starts[own[0]] - max(0, min(history, room - new))]
+        out.append((new + sum(sizes[k] for k in past) + (kept if own[0] > 0 and 0 not in past else 0), len(own), new > room))
+    return out
+
+
+@pytest.mark.parametrize(("budget", "history"), [(60, 0), (60, 20), (60, 500), (1536, 512)])
+def test_no_window_exceeds_its_budget(spark, budget, history):
+    """System turn, history and new turns together; only a turn longer than the room, alone, is larger."""
+    rng, turns, want = random.Random(budget + history), [], {}
+    shapes = [([701] * 8, False), ([3001] + [200] * 9, True), ([30] + [budget - 29] * 3 + [budget] * 2, True)]
+    shapes += [([rng.choice([1, 2, 5, 20, 45, 90]) for _ in range(rng.randint(1, 40))], rng.random() < 0.6) for _ in range(60)]
+    for conv, (sizes, system) in enumerate(shapes):
+        turns += [(conv, k, "system" if system and k == 0 else ("user", "assistant")[k % 2], "w " * (n - 1)) for k, n in enumerate(sizes)]
+        want[conv] = plain_windows(sizes, system, budget, history)
+    got = {}
+    for r in chat.windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), budget=budget, history=history).collect():
+        got.setdefault(r["conv_id"], []).append((r["window"], r["n_tokens"]))
+    for conv, windows in want.items():
+        assert [n for _, n in sorted(got[conv])] == [n for n, _, _ in windows]
+        assert all(n <= budget or (count == 1 and longer) for n, count, longer in windows)
+
+
 def test_native_plans(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for df in (quality_rules.judge(docs), quality_rules.kept_documents(docs), mixing.mix(docs), chat.windows(spark.read.parquet(f"{sf}/conversations.parquet"))):

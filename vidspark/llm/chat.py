@@ -1,10 +1,13 @@
 r"""Chat formatting in budgeted windows.
 
-A conversation is cut into turn-aligned spans by prefix sums of turn tokens: a turn belongs to span
-floor(tokens before it / step). Each span becomes one window: the system turn (retained in every window),
-some history (the turns before the span that start at most `history` tokens before it, repeated), and the
-turns of the span. Assistant texts of the span carry the loss; repeated ones are masked, so each is
-learned from once. Turns are never cut: a span holds at most `step` tokens and the rest of its last turn.
+A window holds at most `budget` tokens in all: the system turn (retained in every window), some history
+(whole turns before the new ones, repeated, at most `history` tokens) and the new turns. What the system
+turn leaves is the room; new turns go by prefix sums of turn tokens into cells of the width room - history
+(at least half the room). The turns inside one cell make one window's new turns, and a turn that crosses a
+cell's end makes a window of its own, so no rest of a turn overshoots. History gets what is left of the room,
+so it is dropped first. Only a single turn longer than the room exceeds the budget: turns are never cut. A
+system turn of more than half the budget would leave no room; it stands once, in its place, like any turn.
+Assistant texts among the new turns carry the loss; repeated ones are masked, so each is learned from once.
 
 Template: `<s>role\ntext</s>\n` per turn. Control strings inside texts get a backslash behind their first
 character, one more if some stand there already, which is undone exactly. A role of other characters than
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from vidspark.llm.text import only, trimmed, word_count
 from vidspark.session import stored
 
-STEP, HISTORY = 1024, 512
+BUDGET, HISTORY = 1536, 512
 BEGIN, END, ROLE_END = "<s>", "</s>\n", "\n"
 #: The template's control strings, and those of a widespread other one.
 CONTROL = r"(/?(?:s>|INST\]|SYS\]))"
@@ -48,27 +51,36 @@ def _role_back(role: Column) -> Column:
     return F.when(role.startswith("b64:"), F.decode(F.unbase64(F.substring(role, 5, 1 << 30)), "UTF-8")).otherwise(role)
 
 
-def windows(turns: DataFrame, *, step: int = STEP, history: int = HISTORY, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def windows(turns: DataFrame, *, budget: int = BUDGET, history: int = HISTORY, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, window, text, n_repeated (turns at its head that repeat), loss (start, length of the learned
     texts, in characters), n_tokens."""
+    if budget < 2 or history < 0:
+        raise ValueError("budget must be at least 2, history at least 0")
     rows = only(turns, conv_id=conv_col, turn=turn_col, role=role_col, text=text_col)
     rows = rows.withColumn("role", F.coalesce("role", F.lit(""))).withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("tokens", word_count(trimmed(F.col("text"))) + 1)
     order = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
     rows = rows.withColumn("rn", F.row_number().over(order)).withColumn("before", F.coalesce(F.sum("tokens").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("span", F.floor(F.col("before") / step))
+    opening = F.first(F.struct("role", "tokens")).over(order.rowsBetween(W.unboundedPreceding, 0))
+    retained = (opening["role"] == "system") & (2 * opening["tokens"] <= budget)
+    rows = rows.withColumn("room", budget - F.when(retained, opening["tokens"]).otherwise(0))
+    rows = rows.withColumn("width", F.col("room") - F.least(F.lit(history), F.floor(F.col("room") / 2)))
+    cell = F.floor(F.col("before") / F.col("width"))
+    crosses = cell < F.floor((F.col("before") + F.col("tokens") - 1) / F.col("width"))
+    rows = rows.withColumn("span", 2 * cell + crosses.cast("long"))
     head = F.concat(F.lit(BEGIN), _role(F.col("role")), F.lit(ROLE_END))
     body = escaped(F.col("text"))
-    rows = rows.select("conv_id", "span", "rn", "before", "tokens", F.col("role").alias("role"), F.concat(head, body, F.lit(END)).alias("piece"), F.char_length(head).alias("at"), F.char_length(body).alias("length"))
+    rows = rows.select("conv_id", "span", "rn", "before", "tokens", "room", "width", F.col("role").alias("role"), F.concat(head, body, F.lit(END)).alias("piece"), F.char_length(head).alias("at"), F.char_length(body).alias("length"))
     rows = stored(rows)
     piece = F.struct("rn", "piece", "at", "length", "tokens", (F.col("role") == "assistant").alias("learned"))
-    spans = rows.groupBy("conv_id", "span").agg(F.min("before").alias("start"), F.min("rn").alias("first"), F.sort_array(F.collect_list(piece)).alias("own"))
+    spans = rows.groupBy("conv_id", "span").agg(F.min("before").alias("start"), F.min("rn").alias("first"), F.sum("tokens").alias("new"), F.max("room").alias("room"), F.max("width").alias("width"), F.sort_array(F.collect_list(piece)).alias("own"))
     # history: turns of the spans that can reach back far enough; an equi join on span numbers
-    reach = spans.select("conv_id", F.col("span").alias("to"), "start", "first", F.explode(F.sequence(F.floor((F.col("start") - history) / step), F.col("span"))).alias("span"))
-    back = _joined(rows, reach, ["conv_id", "span"]).filter((F.col("rn") < F.col("first")) & (F.col("before") >= F.col("start") - history))
+    since = F.greatest(F.lit(0), F.col("start") - F.greatest(F.lit(0), F.least(F.lit(history), F.col("room") - F.col("new"))))
+    reach = spans.withColumn("since", since).select("conv_id", F.col("span").alias("to"), "since", "first", F.explode(F.sequence(2 * F.floor(F.col("since") / F.col("width")), F.col("span"))).alias("span"))
+    back = _joined(rows, reach, ["conv_id", "span"]).filter((F.col("rn") < F.col("first")) & (F.col("before") >= F.col("since")))
     back = back.groupBy("conv_id", "to").agg(F.sort_array(F.collect_list(piece)).alias("past")).withColumnRenamed("to", "span")
-    # the system turn, where the conversation begins with one
-    system = rows.filter((F.col("rn") == 1) & (F.col("role") == "system")).select("conv_id", piece.alias("system"))
+    # the system turn, where the conversation begins with one that leaves room
+    system = rows.filter((F.col("rn") == 1) & (F.col("room") < budget)).select("conv_id", piece.alias("system"))
     whole = _joined(_joined(spans, back, ["conv_id", "span"], "left"), system, ["conv_id"], "left")
     none = F.array().cast(spans.schema["own"].dataType)
     past = F.coalesce("past", none)

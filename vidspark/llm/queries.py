@@ -149,17 +149,20 @@ def op2_bootstrapped_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_budgeted_windows", r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT * FROM (VALUES (-1::BIGINT, 0::BIGINT, 'user', '</s>[INST] ok [/INST]'), (-1::BIGINT, 1::BIGINT, 'assistant', '</s>[INST] ok [/INST]')) AS v(conv_id, turn, role, text)),
-t AS (SELECT *, row_number() OVER o AS rn, coalesce(sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 1) OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b,
-    length(regexp_replace(text, '([<\[])(\\*)(/?(?:s>|INST\]|SYS\]))', '\1\\\2\3', 'g')) + length(role) + 9 AS n FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text)),
-s AS (SELECT conv_id, b // 1024 AS span, min(b) AS b0, min(rn) AS r0 FROM t GROUP BY conv_id, b // 1024),
-again AS (SELECT t.conv_id, sum(t.n) AS n FROM t JOIN s ON t.conv_id = s.conv_id AND t.rn < s.r0 AND (t.b >= s.b0 - 512 OR (t.rn = 1 AND t.role = 'system')) GROUP BY t.conv_id)
+k AS (SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 1 AS tok, length(regexp_replace(text, '([<\[])(\\*)(/?(?:s>|INST\]|SYS\]))', '\1\\\2\3', 'g')) + length(role) + 9 AS n FROM c),
+t0 AS (SELECT *, row_number() OVER o AS rn, (sum(tok) OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text ROWS UNBOUNDED PRECEDING) - tok)::BIGINT AS b,
+    1536 - first_value(CASE WHEN role = 'system' AND 2 * tok <= 1536 THEN tok ELSE 0 END) OVER o AS room FROM k WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text)),
+t1 AS (SELECT *, room - least(512, room // 2) AS width FROM t0),
+t AS (SELECT *, 2 * (b // width) + CASE WHEN b // width < (b + tok - 1) // width THEN 1 ELSE 0 END AS span FROM t1),
+s AS (SELECT conv_id, span, min(b) AS b0, min(rn) AS r0, least(512, greatest(0, any_value(room) - sum(tok))) AS h FROM t GROUP BY conv_id, span),
+again AS (SELECT t.conv_id, sum(t.n) AS n FROM t JOIN s ON t.conv_id = s.conv_id AND t.rn < s.r0 AND (t.b >= s.b0 - s.h OR (t.rn = 1 AND t.room < 1536)) GROUP BY t.conv_id)
 SELECT t.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY rn)) AS turns_sha256,
     coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY rn) FILTER (role = 'assistant'), '')) AS loss_sha256,
     (sum(t.n) + coalesce(any_value(again.n), 0))::BIGINT AS formatted_chars FROM t LEFT JOIN again ON again.conv_id = t.conv_id GROUP BY t.conv_id""")
 def op9_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = [(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))]
-    formatted = chat.windows(turns.unionByName(spark.createDataFrame(hard, turns.schema)), step=1024, history=512)
+    formatted = chat.windows(turns.unionByName(spark.createDataFrame(hard, turns.schema)), budget=1536, history=512)
     back = chat.read_back(formatted)
     digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
     return back.select("conv_id", "n_turns", digest("turns").alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), digest("loss").alias("loss_sha256"), "formatted_chars")
