@@ -6,7 +6,7 @@ import pytest
 from xxhash import xxh64_intdigest
 
 from tests.llm.cases import AWKWARD, awkward, empty
-from vidspark.llm import bk_tree, simhash
+from vidspark.llm import bk_forest, bk_tree, simhash
 from vidspark.llm.queries import QUERIES
 
 
@@ -117,3 +117,64 @@ def test_shingles():
     one = partial(simhash.shingle_hashes, words=3)
     assert len(one(b"")) == 0 and len(one(b"A b")) == 1 and len(one(b"a b c d")) == 2
     assert one(b"A b")[0] == xxh64_intdigest(b"a b", 42)
+
+
+@pytest.mark.parametrize("radius", [2, 9, 13])
+@pytest.mark.parametrize("held", [5, 1_000_000])
+def test_nearest_forest_against_all_pairs(radius, held):
+    rng = random.Random(radius)
+    prints, shard = [], []
+    for s in range(3):
+        here = set()
+        for _ in range(25):
+            base = rng.getrandbits(64)
+            here |= {base} | {base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 14))) for _ in range(6)}
+        prints += sorted(here)
+        shard += [s] * len(here)
+    a, b = bk_forest.forest(np.array(shard), np.array(prints, dtype=np.uint64), radius, block=7, width=50, held=held)
+    # the weight of a minimum spanning forest is unique: one by one, nearest pairs first
+    label = list(range(len(prints)))
+    pairs = sorted((bin(prints[i] ^ prints[j]).count("1"), i, j) for i in range(len(prints)) for j in range(i) if shard[i] == shard[j])
+    want = []
+    for d, i, j in pairs:
+        if d <= radius and label[i] != label[j]:
+            want.append(d)
+            x, y = label[i], label[j]
+            label = [x if k == y else k for k in label]
+    assert sorted(bin(prints[i] ^ prints[j]).count("1") for i, j in zip(a, b, strict=True)) == want
+
+
+def jaccard(a, b, k=5):
+    one, two = ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (a.split(), b.split()))
+    return len(one & two) / len(one | two)
+
+
+@pytest.mark.parametrize("limit", [1, 16_384])
+def test_stage_links_what_is_alike_and_nothing_else(spark, limit):
+    """Pairs of a Jaccard similarity from 0.7 to 0.95, each pair of texts of its own, all with one common passage."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(30)]
+    rows, real = [], {}
+    for k in range(300):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((120, 400)))] + passage
+        other = list(base)
+        for _ in range(round(len(base) * rng.choice((0.005, 0.01, 0.015, 0.02, 0.025, 0.03)))):
+            other[rng.randrange(len(base))] = f"x{rng.randrange(10_000)}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        real[k] = jaccard(rows[-2][1], rows[-1][1])
+    kept = {r["doc_id"] for r in simhash.first_of_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), limit=limit).collect()}
+    gone = {k for k in real if 2 * k + 1 not in kept}
+    assert all(2 * k in kept for k in real)
+    assert all(real[k] >= 0.8 for k in gone)
+    alike = [k for k in real if real[k] >= 0.8]
+    close = [k for k in alike if real[k] < 0.85]
+    assert len(close) > 40 and len([k for k in real if real[k] < 0.8]) > 40
+    assert len(gone) >= 0.95 * len(alike) and len(gone.intersection(close)) >= 0.9 * len(close)
+
+
+def test_crowd_of_copies_leaves_one(spark):
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    rows = [(i, " ".join([*base[:at], f"n{i}", *base[at + 1 :]])) for i, at in ((i, rng.randrange(300)) for i in range(3000))]
+    kept = [r["doc_id"] for r in simhash.first_of_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert kept == [0]
