@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,3 +78,26 @@ def test_contexts_discover_identifiers(spark):
 def test_no_python_in_the_plan(spark, sf):
     plan = personal_data.with_base(spark.read.parquet(f"{sf}/documents.parquet"), id_col="doc_id", text_col="text").select(F.col("_email"))
     assert "Python" not in plan._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("unit", ["user{i}x{i} ", "a{i}@b.co 1.2.3.{i} w ", "+1 966 555 {i:04d} and "])
+def test_very_long_text(spark, unit):
+    """Two hundred thousand words with digits in one text: the work grows with the text, not with its square."""
+    text = "".join(unit.format(i=i % 250) for i in range(200_000 // (len(unit.split()) or 1)))
+    docs = spark.createDataFrame([(0, text), (1, "x" * 1_000_000 + " 5 " + " " * 300_000 + "y")], "doc_id long, text string")
+    begun = time.monotonic()
+    rows = personal_data.personal_spans(docs).collect()
+    assert time.monotonic() - begun < 90
+    check(rows, {0: text, 1: "x"})
+    words = docs.select(F.lit(0).alias("_row"), F.col("text").alias("_text"), *[F.array().cast("array<struct<start:long,end:long,match:string>>").alias(f"_{k}") for k in STATED])
+    found = personal_data.instances(words.filter("text not like 'x%'")).select("start", "end", "value", "left", "right").collect()
+    assert [(r["start"], r["end"], r["value"]) for r in found] == [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*", text)]
+
+
+def test_kinds_of_words(spark):
+    """A word has the first kind whose span it meets, wherever that stands in the text."""
+    text = " ".join(f"n{i} u{i}@x.org 10.0.0.{i} +44 20 7946 {i:04d} 4111 1111 1111 1111" for i in range(200))
+    rows = personal_data.with_base(spark.createDataFrame([(0, text)], "doc_id long, text string"), id_col="doc_id", text_col="text").withColumn("_row", F.lit(0))
+    base = sorted(plain(text), key=lambda s: s[1])
+    for r in personal_data.instances(rows).collect():
+        assert r["kind"] == next((k for a, _, k, b in base if a < r["end"] and b > r["start"]), None), r

@@ -20,7 +20,7 @@ scanned whole; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +45,12 @@ PATTERNS = {
 #: A text without this cannot match.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-TOKEN = r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*"
+TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: The nearest word in the text before and behind a token.
+BEFORE = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+$"
+BEHIND = r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++)"
+#: Matches whose places are summed up in one go; the sums of such parts are summed up in turn.
+PART = 128
 
 
 def _digits(match: Column) -> Column:
@@ -82,22 +87,47 @@ def with_base(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     for kind in KINDS:
         found, pieces = spans_of(F.col("_text"), PATTERNS[kind], NEEDS[kind])
         rows = rows.withColumn("_m", found).withColumn("_p", F.when(F.size("_m") > 0, pieces))
-        rows = rows.withColumn(f"_{kind}", _placed(F.col("_m"), F.col("_p"), lambda m, k=kind: passes(k, m))).drop("_m", "_p")
+        test = partial(passes, kind)
+        rows = _placed(rows, f"_{kind}").withColumn(f"_{kind}", F.filter(f"_{kind}", lambda s: test(s["match"]))).drop("_m", "_p")  # noqa: B023
     return rows
 
 
-def _placed(matches: Column, pieces: Column, test) -> Column:
-    """Spans (start, end, match) of the matches that pass; starts are sums over the pieces before."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long,match:string>>").alias("out"))
+def _sums(items: Column, size, kind: str) -> Column:
+    """Every item with the sum of the sizes before it, as (at, total of all, out). Copies the list for each
+    item, so it is for lists of up to about `PART`."""
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    return F.aggregate(items, begin, lambda acc, x: F.struct((acc["at"] + size(x)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), x.alias("x")))).alias("out")))
 
-    def step(acc: Column, i: Column) -> Column:
-        low = acc["at"] + F.char_length(F.get(pieces, i))
-        high = low + F.char_length(F.get(matches, i))
-        here = F.struct(low.cast("long").alias("start"), high.cast("long").alias("end"), F.get(matches, i).alias("match"))
-        return F.struct(high.cast("long").alias("at"), F.when(test(F.get(matches, i)), F.concat(acc["out"], F.array(here))).otherwise(acc["out"]).alias("out"))
 
-    none = F.array().cast("array<struct<start:long,end:long,match:string>>")
-    return F.when(F.size(matches) > 0, F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, step, lambda acc: acc["out"])).otherwise(none)
+def _placed(rows: DataFrame, name: str) -> DataFrame:
+    """`rows` with `name`: the spans (start, end, match) of the matches _m between the pieces _p. Starts are sums
+    over what comes before, inside parts of `PART` matches and then over the parts: never a list per match."""
+    item, span = "struct<gap:long,size:long,match:string>", "array<struct<start:long,end:long,match:string>>"
+    gaps = F.slice(F.coalesce("_p", F.array().cast("array<string>")), F.lit(1), F.size("_m"))
+    rows = rows.withColumn("_i", F.zip_with(gaps, F.col("_m"), lambda p, m: F.struct(F.char_length(p).cast("long").alias("gap"), F.char_length(m).cast("long").alias("size"), m.alias("match"))))
+    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.size("_i") - 1) / PART)), lambda k: F.slice("_i", (k * PART + 1).cast("int"), F.lit(PART)))
+    parts = F.transform(cuts, lambda part: _sums(part, lambda x: x["gap"] + x["size"], f"struct<start:long,x:{item}>"))
+    rows = rows.withColumn("_c", F.when(F.size("_i") > 0, parts))
+    tops = _sums(F.transform("_c", lambda c: c["at"]), lambda x: x, "struct<start:long,x:long>")["out"]
+    placed = F.zip_with(F.col("_c"), tops, lambda c, top: F.transform(c["out"], lambda s: F.struct(
+        (top["start"] + s["start"] + s["x"]["gap"]).alias("start"), (top["start"] + s["start"] + s["x"]["gap"] + s["x"]["size"]).alias("end"), s["x"]["match"].alias("match"))))
+    return rows.withColumn(name, F.when(F.size("_i") > 0, F.flatten(placed)).otherwise(F.array().cast(span))).drop("_i", "_c")
+
+
+def _met(spans: str, start: Column, end: Column) -> Column:
+    """Whether a span of the sorted list in column `spans` meets [start, end): the first that ends behind
+    `start`, found by halving."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)))
+    begin = F.struct(F.lit(0).alias("low"), F.size(spans).alias("high"))
+
+    def step(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        behind = F.get(F.col(spans), middle)["end"] > start
+        done = acc["low"] >= acc["high"]
+        return F.struct(F.when(done | behind, acc["low"]).otherwise(middle + 1).alias("low"), F.when(done | ~behind, acc["high"]).otherwise(middle).alias("high"))
+
+    first = F.get(F.col(spans), F.aggregate(steps, begin, step)["low"])
+    return F.when(F.size(spans) > 0, F.coalesce(first["start"] < end, F.lit(False))).otherwise(F.lit(False))
 
 
 def listed(spans: Column) -> Column:
@@ -114,17 +144,16 @@ def _ranked() -> Column:
 
 def instances(rows: DataFrame) -> DataFrame:
     """_row, start, end, value (lower case), kind (null: no base match), left, right of every word with a
-    digit or @. `rows`: _row, _text and the base spans."""
+    digit or @. `rows`: _row, _text and the base spans per kind."""
     found, pieces = spans_of(F.col("_text"), TOKEN, r"[0-9@]")
-    rows = rows.select("_row", "_base", found.alias("_m"), pieces.alias("_p")).filter(F.size("_m") > 0)
-    placed = _placed(F.col("_m"), F.col("_p"), lambda m: F.lit(True))
-    rows = rows.withColumn("_s", placed)
+    rows = rows.select("_row", *[f"_{k}" for k in KINDS], found.alias("_m"), pieces.alias("_p")).filter(F.size("_m") > 0)
+    rows = _placed(rows, "_s")
     # the word before and behind; where the neighbour is an instance itself, it counts as a number
-    word = lambda piece, last: F.lower(F.regexp_extract(piece, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$" if last else r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1))
+    word = lambda piece, pattern: F.lower(F.regexp_extract(piece, pattern, 1))
     near = F.transform(F.col("_s"), lambda s, i: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), F.lower(s["match"]).alias("value"),
-        F.element_at(F.concat(F.transform(F.filter("_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])), lambda b: b["kind"]), F.array(F.lit(None).cast("string"))), 1).alias("kind"),
-        word(F.get(F.col("_p"), i), True).alias("left"), word(F.get(F.col("_p"), i + 1), False).alias("right"),
+        F.coalesce(*[F.when(_met(f"_{k}", s["start"], s["end"]), F.lit(k)) for k in KINDS]).alias("kind"),
+        word(F.get(F.col("_p"), i), BEFORE).alias("left"), word(F.get(F.col("_p"), i + 1), BEHIND).alias("right"),
     ))
     return rows.select("_row", F.explode(near).alias("i")).select("_row", "i.*")
 
